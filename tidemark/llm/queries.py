@@ -10,16 +10,26 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import digests, encode_decode
 from .common import read
+from .html_text import extract
 from .pii import find_spans
+from .quality_classifier import classify
 from .quality_rules import measure
 from .sharding import shard
 from .token_count import count_tokens
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
@@ -40,7 +50,9 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_token_counts": op2_token_counts,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
