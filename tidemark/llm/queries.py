@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe_codec import digests, encode_decode
 from .common import read
 from .html_text import extract
+from .near_dup import classes
 from .pii import find_spans
 from .quality_classifier import classify
 from .quality_rules import measure
@@ -45,6 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(read(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op9_near_dup": op9_near_dup,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
