@@ -16,6 +16,7 @@ from .pii import find_spans
 from .quality_classifier import classify
 from .quality_rules import measure
 from .sharding import shard
+from .substring_dedup import remove_repeats
 from .token_count import count_tokens
 
 
@@ -46,6 +47,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_near_dup": op9_near_dup,
     "op10_bpe_codec": op10_bpe_codec,
 }
