@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import digests, encode_decode
 from .common import read
+from .decontaminate import hits
 from .html_text import extract
 from .near_dup import classes
 from .pii import find_spans
@@ -51,6 +52,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_near_dup": op9_near_dup,
     "op10_bpe_codec": op10_bpe_codec,
 }
