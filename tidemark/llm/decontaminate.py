@@ -44,7 +44,11 @@ COSINE = 0.3
 COVER = 0.7
 COVER_WITH_ANSWER = 0.5
 ANSWER = 4
-MIN_TERMS = 8
+#: An item part with fewer content terms keeps all its words, and must then be there nearly whole.
+MIN_TERMS = 4
+COVER_PLAIN = 0.95
+#: Least content terms for the answer to count.
+ANSWER_TERMS = 8
 ITEMS = 20_000
 #: Share of items above which a term is no content term, and of passages above which it has no weight.
 COMMON_ITEMS = 0.025
@@ -62,11 +66,15 @@ class Bench:
         seen = Counter(x for _, w in words for x in set(w))
         limit = max(5, COMMON_ITEMS * len(items))
         content = {x for x, n in seen.items() if n <= limit}
-        for _, w in parts:
-            if sum(x in content for x in w) < MIN_TERMS:
-                content.update(w)
-        self.terms = {x: k for k, x in enumerate(sorted(content))}
-        self.parts = [(i, s) for i, w in parts if (s := [self.terms[x] for x in w if x in self.terms])]
+        plain = {k for k, (_, w) in enumerate(parts) if sum(x in content for x in w) < MIN_TERMS}
+        self.terms = {x: k for k, x in enumerate(sorted(content.union(*(parts[k][1] for k in plain))))}
+        #: item, its terms, the cover it needs, and that which is enough with its answer
+        self.parts = []
+        for k, (i, w) in enumerate(parts):
+            s = [self.terms[x] for x in w if x in content or k in plain]
+            if s:
+                least = COVER_PLAIN if k in plain else COVER
+                self.parts.append((i, s, least, COVER_WITH_ANSWER if k not in plain and len(s) >= ANSWER_TERMS else least))
 
 
 def sparse_documents(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
@@ -201,7 +209,7 @@ def passage_counts(sparse: DataFrame, v: int) -> tuple[int, np.ndarray]:
 
 
 def bench_rows(bench: Bench, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pairs = sorted({(i, t) for i, (_, s) in enumerate(bench.parts) for t in s})
+    pairs = sorted({(i, t) for i, (_, s, _, _) in enumerate(bench.parts) for t in s})
     return unit_rows(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64), idf)
 
 
@@ -264,7 +272,7 @@ def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> Da
     sparse = table(sparse_documents(docs, bench.terms), "bench-terms")
     count, df = passage_counts(sparse, v)
     idf = np.where(df <= max(20, COMMON_PASSAGES * count), np.log((count + 1) / (df + 1)) + 1, 0.0)
-    for _, s in bench.parts:
+    for _, s, _, _ in bench.parts:
         if not any(idf[t] > 0 for t in s):  # an item of common words only is searched by them
             idf[s] = np.log((count + 1) / (df[s] + 1)) + 1
     basis = latent_basis(sparse, bench, idf, count)
@@ -292,12 +300,12 @@ def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> Da
                         at = np.frombuffer(places[row], np.int32)
                         lo, hi = np.searchsorted(at, [(p - base[row]) * STRIDE, (p - base[row] + 2) * STRIDE])
                         cached[p] = np.frombuffer(numbers[row], np.int32)[lo:hi].tolist()
-                    item = parts[c]
-                    if len(cached[p]) < COVER_WITH_ANSWER * len(item[1]):
+                    item, target, least, less = parts[c]
+                    if len(cached[p]) < less * len(target):
                         continue
-                    cover, answer = judge(cached[p], item[1])
-                    if cover >= COVER or cover >= COVER_WITH_ANSWER and answer:
-                        key = (int(owner[p]), item[0])
+                    cover, answer = judge(cached[p], target)
+                    if cover >= least or cover >= less and answer:
+                        key = (int(owner[p]), item)
                         best[key] = max(best.get(key, (0.0, 0.0, False)), (cover, float(near[r, c]), answer))
             got = [(ids[row], i, x[1], x[0], x[2]) for (row, i), x in best.items()]
             columns = list(zip(*got)) if got else [[]] * 5
