@@ -132,4 +132,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_doc"))
     base = base_measures(packed, "_text", ["_row"])
     scored = with_scores(base, log_ratios(docs, trusted_rows(labels), text_col, id_col))
-    return scored.where(~F.col("base_failed") & (F.col("score") >= threshold)).select("_row.*")
+    # rows leave by an explode, since a filter would carry the array literal through every rule on predicates
+    return scored.select(F.explode(F.when(~F.col("base_failed") & (F.col("score") >= threshold), F.array("_row"))).alias("_row")).select("_row.*")
