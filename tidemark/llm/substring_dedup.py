@@ -4,14 +4,14 @@ Every byte that lies in a 50-byte string which also starts in a document with a
 smaller doc_id is removed; strings are judged on the input, and matches never
 cross documents.
 
-1. Each 50-byte window has an anchor, the 12-gram of least hash inside it, which
+1. Each 50-byte window has an anchor, the 20-gram of least hash inside it, which
    depends on the window's bytes alone; runs of windows share an anchor. The
    anchor hashes of all documents, once per batch, are dealt by hash, and those
-   met in two batches or twice in one set a bit of a filter of bounded size.
+   met twice set a bit of a filter of bounded size.
 2. Where an anchor passes the filter, the bytes of its run of windows are kept.
-   Equal runs of one batch are settled there: all but the least document's are
+   Equal runs of one task are settled there: all but the least document's are
    repeats, and only the least goes on, so a passage that a third of all
-   documents share sends one row a batch.
+   documents share sends one row a task.
 3. Runs are dealt by anchor. Those of one anchor that differ are joined to a
    string whose suffix array is built in linear time by grouping: suffixes are
    grouped by their Lyndon prefix in descending order along previous-smaller
@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from .common import fields, prepare, table, text_rows
 
 LENGTH = 50
-GRAM = 12
+GRAM = 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes handled at once; a place in them takes PLACE bits beside the hash that picks anchors.
 PIECE = 1 << 20
@@ -52,21 +52,27 @@ PLACE = np.uint64(20)
 #: The filter has 2**FILTER bits, the upper 2**DEALT of an anchor hash choosing its segment.
 FILTER = 27
 DEALT = 11
+#: Low bytes of an anchor hash that are dealt; they hold the place in a segment of the filter.
+KEPT = 5
 #: Bytes of runs that one suffix array takes, unless one anchor alone has more.
 BLOCK = 1 << 16
+#: Anchors, and bytes of runs, that a task gathers before it sends what is distinct among them.
+GATHER_ANCHORS = 1 << 21
+GATHER_BYTES = 1 << 25
 
 M1 = np.uint64(0x9E3779B97F4A7C15)
-M2, M4 = (np.uint64(pow(0x9E3779B97F4A7C15, e, 1 << 64)) for e in (2, 4))
+M2, M4, M8 = (np.uint64(pow(0x9E3779B97F4A7C15, e, 1 << 64)) for e in (2, 4, 8))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def gram_hashes(a: np.ndarray) -> np.ndarray:
-    """A hash of the 12 bytes from each place on."""
+    """A hash of the 20 bytes from each place on."""
     h1 = a.astype(np.uint64) + np.uint64(1)
     h2 = h1[:-1] * M1 + h1[1:]
     h4 = h2[:-2] * M2 + h2[2:]
     h8 = h4[:-4] * M4 + h4[4:]
-    h = h8[:-4] * M4 + h4[8:]
+    h16 = h8[:-8] * M8 + h8[8:]
+    h = h16[:-4] * M4 + h4[16:]
     h ^= h >> np.uint64(32)
     h *= MIX
     h ^= h >> np.uint64(29)
@@ -84,9 +90,9 @@ def runs(a: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         return np.zeros(0, np.uint64), z, z
     h = gram_hashes(a)
     m = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
-    for step in (1, 2, 4, 8, 16):
+    for step in (1, 2, 4, 8):
         m = np.minimum(m[:-step], m[step:])
-    m = np.minimum(m[: len(m) - (SPAN - 32)], m[SPAN - 32 :])
+    m = np.minimum(m[: len(m) - (SPAN - 16)], m[SPAN - 16 :])
     anchor = (m & np.uint64((1 << 20) - 1)).astype(np.int64)
     n = len(anchor)
     fits = np.arange(n) + LENGTH <= ends[:n]
@@ -253,31 +259,41 @@ def filter_bits(docs: DataFrame) -> bytes:
     got = fields(("part", T.IntegerType()), ("segment", T.BinaryType()))
     per_part = 1 << (FILTER - DEALT)
 
+    def send(found: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(found))
+        # twice is enough to tell
+        keep = np.ones(len(h), bool)
+        keep[2:] = h[2:] != h[:-2]
+        h = h[keep]
+        part = deal(h)
+        edge = np.searchsorted(part, np.arange((1 << DEALT) + 1))
+        # what the part doesn't say of a hash: KEPT bytes are enough to tell anchors apart
+        low = h.view(np.uint8).reshape(-1, 8)[:, :KEPT]
+        rows = [(p, low[edge[p] : edge[p + 1]].tobytes()) for p in range(1 << DEALT) if edge[p] < edge[p + 1]]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=sent.names)
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
         for b in batches:
-            found = [np.zeros(0, np.uint64)]
             with np.errstate(over="ignore"):
                 for raw, ends, rows, _ in pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     h, first, _ = runs(np.frombuffer(raw, np.uint8), ends)
                     # once for each document; a repeat inside one document is none
-                    key = np.stack([h, rows[first].astype(np.uint64)])
-                    o = np.lexsort(key[::-1])
-                    key = key[:, o]
-                    new = np.ones(key.shape[1], bool)
-                    new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-                    found.append(key[0, new])
-            h = np.sort(np.concatenate(found))
-            # twice is enough to tell
-            keep = np.ones(len(h), bool)
-            keep[2:] = h[2:] != h[:-2]
-            h = h[keep]
-            part = deal(h)
-            edge = np.searchsorted(part, np.arange((1 << DEALT) + 1))
-            rows_out = [(p, h[edge[p] : edge[p + 1]].tobytes()) for p in range(1 << DEALT) if edge[p] < edge[p + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_out], pa.int32()), pa.array([r[1] for r in rows_out], pa.binary())], names=sent.names)
+                    owner = rows[first].astype(np.uint64)
+                    o = np.lexsort((owner, h))
+                    h, owner = h[o], owner[o]
+                    found.append(h[np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]] if len(h) else h)
+            if sum(map(len, found)) >= GATHER_ANCHORS:
+                yield send(found)
+                found = []
+        if found:
+            yield send(found)
 
     def segments(key, t):
-        h = np.sort(np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint64))
+        low = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint8).reshape(-1, KEPT)
+        h = np.zeros((len(low), 8), np.uint8)
+        h[:, :KEPT] = low
+        h = np.sort(h.reshape(-1).view(np.uint64))
         twice = h[1:][h[1:] == h[:-1]]
         bits = np.zeros(per_part, np.uint8)
         bits[(twice & np.uint64(per_part - 1)).astype(np.int64)] = 1
@@ -307,9 +323,19 @@ def shared_runs(docs: DataFrame, bits: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(held.value, np.uint8)
+        seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            out = []
+            for (anchor, s), places in seen.items():
+                low = min(places)[0]
+                for d, o in places:
+                    out.append((anchor, s, d, o, o + len(s)) if d == low else (None, None, d, o, o + len(s)))
+            return batch_of(RUN, out)
+
         for b in batches:
             ids = b.column(0).to_pylist()
-            seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             with np.errstate(over="ignore"):
                 for raw, ends, rows, shift in pieces(ids, b.column(1).to_pylist()):
                     h, first, last = runs(np.frombuffer(raw, np.uint8), ends)
@@ -319,12 +345,12 @@ def shared_runs(docs: DataFrame, bits: bytes) -> DataFrame:
                     at = zip(h.view(np.int64).tolist(), first.tolist(), (last + LENGTH).tolist(), rows[first].tolist(), (first - shift[first]).tolist())
                     for anchor, f, e, row, offset in at:
                         seen.setdefault((anchor, raw[f:e]), []).append((ids[row], offset))
-            out = []
-            for (anchor, s), places in seen.items():
-                low = min(places)[0]
-                for d, o in places:
-                    out.append((anchor, s, d, o, o + len(s)) if d == low else (None, None, d, o, o + len(s)))
-            yield batch_of(RUN, out)
+                        size += e - f
+            if size >= GATHER_BYTES:
+                yield send()
+                seen, size = {}, 0
+        if seen:
+            yield send()
 
     return docs.mapInArrow(run, RUN)
 
@@ -382,7 +408,7 @@ def repeats(runs_table: DataFrame) -> DataFrame:
         if out:
             yield batch_of(REPEAT, out)
 
-    dealt = runs_table.where(F.col("anchor").isNotNull()).repartition("anchor").sortWithinPartitions("anchor")
+    dealt = runs_table.where(F.col("anchor").isNotNull()).select("anchor", "run", "doc", "start").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, REPEAT)
 
 
