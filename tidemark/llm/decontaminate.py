@@ -290,7 +290,7 @@ def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> Da
             win, term, owner, base = passages(words, places, numbers, v)
             win, term, val = unit_rows(win, term, weight)
             best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-            cached: dict[int, list[int]] = {}
+            cached: dict[int, tuple[list[int], set[int]]] = {}
             for w, _, z in projected(win, term, val, space):
                 near = unit(z) @ targets.T
                 for r, c in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
@@ -299,11 +299,14 @@ def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> Da
                         row = int(owner[p])
                         at = np.frombuffer(places[row], np.int32)
                         lo, hi = np.searchsorted(at, [(p - base[row]) * STRIDE, (p - base[row] + 2) * STRIDE])
-                        cached[p] = np.frombuffer(numbers[row], np.int32)[lo:hi].tolist()
+                        terms = np.frombuffer(numbers[row], np.int32)[lo:hi].tolist()
+                        cached[p] = terms, set(terms)
                     item, target, least, less = parts[c]
-                    if len(cached[p]) < less * len(target):
+                    terms, held_terms = cached[p]
+                    # no subsequence is longer than the terms that both have
+                    if sum(map(held_terms.__contains__, target)) < less * len(target):
                         continue
-                    cover, answer = judge(cached[p], target)
+                    cover, answer = judge(terms, target)
                     if cover >= least or cover >= less and answer:
                         key = (int(owner[p]), item)
                         best[key] = max(best.get(key, (0.0, 0.0, False)), (cover, float(near[r, c]), answer))
