@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the duplicate and cycle rules.
 BUCKET = 6
@@ -46,7 +47,7 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
             df["ratio"] = [SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(df[a], df[b])]
             yield df
 
-    return pairs.mapInPandas(run, pairs.schema.add("ratio", "double"))
+    return pairs.mapInPandas(run, T.StructType([*pairs.schema.fields, T.StructField("ratio", T.DoubleType())]))
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
