@@ -49,10 +49,11 @@ def density_score(penalty: Column, loc: Column) -> Column:
     return F.when(penalty <= 0, 0.0).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 * (1.0 - F.exp(-per_kloc / SATURATION)))))
 
 
-def category_scores(findings: DataFrame, loc: DataFrame, repo: str, weights: DataFrame) -> DataFrame:
-    """Score of every active category of every repository; ``loc`` has (repo, loc), ``weights`` (category, weight)."""
+def category_scores(findings: DataFrame, loc: DataFrame, repo: str, weights: dict[str, float]) -> DataFrame:
+    """Score of every active category of every repository; ``loc`` has (repo, loc), ``weights`` the active categories."""
     penalties = rule_penalty(findings, [repo, "category", "rule_id"]).groupBy(repo, "category").agg(F.sum("penalty").alias("penalty"), F.sum("n_findings").alias("n_findings"))
-    cells = loc.crossJoin(F.broadcast(weights))  # weights are a literal table of the categories
+    each = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w).alias("weight")) for c, w in weights.items()])
+    cells = loc.select(repo, "loc", F.inline(each))
     joined = cells.join(penalties, [repo, "category"], "left")
     return joined.select(repo, "category", "weight", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"), F.round(density_score(F.coalesce("penalty", F.lit(0.0)), F.col("loc")), 1).alias("score"))
 

@@ -135,7 +135,7 @@ SQL = {
     "redact_secrets": "SELECT doc_id, substr(sha256(regexp_replace(text, '(?i)(token)(\\s*=\\s*)\"[^\"\\n]+\"', '\\1\\2\"[REDACTED_SECRET]\"', 'g')), 1, 16) AS redacted_hash FROM documents",
     "exact_duplicates": "SELECT d.low AS representative, f.doc_id AS member FROM v_func f JOIN v_dup d USING (exact_hash) WHERE f.doc_id <> d.low",
     "similar_candidates": "SELECT least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, round(2.0 * least(a.size, b.size) / (a.size + b.size), 6) AS bound FROM v_func a JOIN v_func b ON a.doc_id < b.doc_id AND a.lang = b.lang AND a.statements = b.statements AND abs(a.size // 6 - b.size // 6) <= 1 WHERE 2.0 * least(a.size, b.size) / (a.size + b.size) >= 0.85",
-    "length_bound_pairs": "SELECT a.doc_id AS a, b.doc_id AS b, round(2.0 * least(a.size, b.size) / (a.size + b.size), 6) AS bound FROM v_func a JOIN v_func b ON a.exact_hash = b.exact_hash AND a.doc_id < b.doc_id WHERE 2.0 * least(a.size, b.size) / (a.size + b.size) >= 0.85",
+    "length_bound_pairs": "SELECT r.doc_id AS a, f.doc_id AS b, round(2.0 * least(f.size, r.size) / (f.size + r.size), 6) AS bound FROM v_func f JOIN (SELECT lang, statements, min(doc_id) AS doc_id, arg_min(size, doc_id) AS size FROM v_func GROUP BY 1, 2) r USING (lang, statements) WHERE f.doc_id <> r.doc_id AND 2.0 * least(f.size, r.size) / (f.size + r.size) >= 0.85",
     "connected_components": "SELECT f.doc_id AS node, d.low AS component FROM v_func f JOIN v_dup d USING (exact_hash)",
     "cluster_summary": "SELECT d.low AS component, first(f.doc_id ORDER BY f.file, f.doc_id) AS representative, count(*) AS members, count(DISTINCT f.file) AS files, 1.0::DOUBLE AS avg_similarity, true AS is_exact, CASE WHEN count(*) >= 3 THEN 'ENT-DUP-005' WHEN count(DISTINCT f.file) > 1 THEN 'ENT-DUP-004' ELSE 'ENT-DUP-001' END AS rule_id FROM v_func f JOIN v_dup d USING (exact_hash) GROUP BY 1",
     "boilerplate": "WITH s AS (SELECT *, lang || '-' || statements AS shape FROM v_func) SELECT shape, count(*) AS members, count(DISTINCT file) AS files FROM s WHERE shape IN (SELECT shape FROM s GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT file) >= 2) AND exact_hash NOT IN (SELECT exact_hash FROM v_dup) GROUP BY 1 HAVING count(*) >= 3",

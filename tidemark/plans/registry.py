@@ -45,7 +45,7 @@ def rule_penalty(spark, sf):
 
 
 def _scores(spark, sf):
-    return scoring.category_scores(tb.findings(spark, sf), tb.repo_loc(spark, sf), "repository_id", tb.weights(spark))
+    return scoring.category_scores(tb.findings(spark, sf), tb.repo_loc(spark, sf), "repository_id", tb.CATEGORIES)
 
 
 @query
@@ -425,10 +425,11 @@ def similar_candidates(spark, sf):
 
 @query
 def length_bound_pairs(spark, sf):
-    f = _functions(spark, sf).select("doc_id", "size", "exact_hash")
-    a, b = f.toDF("a", "size_a", "h"), f.toDF("b", "size_b", "h")
-    bound = 2.0 * F.least("size_a", "size_b") / (F.col("size_a") + F.col("size_b"))
-    return a.join(b, "h").where("a < b").where(bound >= 0.85).select("a", "b", F.round(bound, 6).alias("bound"))
+    """Members against the least of their language and line count, where lengths allow the similarity."""
+    f = _functions(spark, sf)
+    low = f.groupBy("lang", "statements").agg(F.min(F.struct("doc_id", "size")).alias("r"))
+    bound = 2.0 * F.least("size", "r.size") / (F.col("size") + F.col("r.size"))
+    return f.join(low, ["lang", "statements"]).where(F.col("doc_id") != F.col("r.doc_id")).where(bound >= 0.85).select(F.col("r.doc_id").alias("a"), F.col("doc_id").alias("b"), F.round(bound, 6).alias("bound"))
 
 
 @query

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import lines_of, route_group, route_path, short_hash
 
 CATEGORIES = {"STANDARD": 0.20, "LARGE": 0.20, "SMALL": 0.15, "MEDIUM": 0.15, "ECONOMY": 0.15, "PROMO": 0.10}
-EXTENSION = {"en": "py", "fr": "js", "de": "go", "es": "md"}
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,10 +49,6 @@ def repo_loc(spark: SparkSession, sf: str) -> DataFrame:
     return line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("repository_id")).agg(F.sum("l_quantity").alias("loc"))
 
 
-def weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CATEGORIES.items()), "category string, weight double")
-
-
 def scans(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders")
     return o.select(
