@@ -168,3 +168,33 @@ def public_endpoint(path: Column, method: Column, allow: tuple[str, ...], deny:
         return out
 
     return ~denied & F.when(F.upper(method).isin("POST", "PUT", "DELETE", "PATCH"), any_of(mutating_allow)).otherwise(any_of(allow))
+
+
+def repository_id(remote: Column, path: Column) -> Column:
+    """First 16 hex digits of the hash of the remote address, or of the path where there is none."""
+    return F.substring(F.sha2(F.lower(F.trim(F.coalesce(F.when(F.trim(remote) != "", remote), path))), 256), 1, 16)
+
+
+def git_url(url: Column) -> Column:
+    """HTTPS form of a repository address without user, suffix or slash at the end."""
+    https = F.regexp_replace(F.trim(url), r"^(?:git@|ssh://git@)([^:/]+)[:/]", "https://$1/")
+    return F.regexp_replace(F.regexp_replace(https, r"^https?://(?:[^@/]+@)?", "https://"), r"(?:\.git)?/*$", "")
+
+
+def drop_severity(severity: Column) -> Column:
+    """One level lower; info stays."""
+    return F.when(severity == "critical", "high").when(severity == "high", "medium").when(severity == "medium", "low").otherwise("info")
+
+
+def shown_path(path: Column, authenticated: bool) -> Column:
+    """The path for those who are signed in, its last part for others."""
+    return path if authenticated else F.element_at(F.split(path, "/"), -1)
+
+
+# Words that make a route sensitive.
+SENSITIVE_ROUTE_WORDS = ("admin", "user", "users", "account", "payment", "payments", "billing", "delete", "token", "password", "secret", "internal", "settings")
+
+
+def sensitive_route(path: Column) -> Column:
+    """Whether one of the route's words is sensitive."""
+    return F.arrays_overlap(F.regexp_extract_all(F.lower(path), F.lit("[a-z0-9]+"), F.lit(0)), F.array(*map(F.lit, SENSITIVE_ROUTE_WORDS)))

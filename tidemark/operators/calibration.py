@@ -45,3 +45,18 @@ def bootstrap_indices(n: int, resamples: int = 1000, seed: int = 42) -> list[lis
 
     rng = Random(seed)
     return [[rng.randrange(n) for _ in range(n)] for _ in range(resamples)]
+
+
+def bootstrap_interval(rows: DataFrame, score: str, positive: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> tuple[float, float]:
+    """Percentile interval of the AUC over resamples of a labelled corpus, which is a few dozen rows; those without both classes are left out."""
+    got = [(r[0], bool(r[1])) for r in rows.select(score, positive).orderBy(score, positive).collect()]
+    values = []
+    for at in bootstrap_indices(len(got), resamples, seed):
+        p, n = [got[i][0] for i in at if got[i][1]], [got[i][0] for i in at if not got[i][1]]
+        if p and n:
+            values.append(sum((x > y) + 0.5 * (x == y) for x in p for y in n) / (len(p) * len(n)))
+    if not values:
+        return 0.5, 0.5
+    values.sort()
+    tail = (1 - level) / 2
+    return values[int(tail * len(values))], values[min(len(values) - 1, int((1 - tail) * len(values)))]

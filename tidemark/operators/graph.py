@@ -189,3 +189,47 @@ def module_edges(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     last = aliases.groupBy("name").agg(F.max_by("module", F.struct("ord", "module")).alias("dst"))
     return imports.join(last, "name").where("src != dst").select("src", "dst").distinct()
+
+
+def not_trivial(functions: DataFrame) -> DataFrame:
+    """Functions large enough to compare: two statements and ten nodes, and more for constructors."""
+    return functions.where((F.col("statement_count") >= 2) & (F.col("node_count") >= 10) & ~((F.col("name") == "__init__") & (F.col("statement_count") <= 2)))
+
+
+def strong_components(edges: DataFrame, group: str) -> DataFrame:
+    """module and component (its least module) of the strongly connected components of each graph, single modules left out."""
+
+    def search(df: pd.DataFrame) -> pd.DataFrame:
+        adj: dict[str, list[str]] = {}
+        back: dict[str, list[str]] = {}
+        for s, d in sorted(set(zip(df["src"], df["dst"]))):
+            adj.setdefault(s, []).append(d)
+            back.setdefault(d, []).append(s)
+        order, seen = [], set()
+        for root in sorted(adj):
+            stack = [(root, iter(adj.get(root, ())))] if root not in seen else []
+            seen.add(root)
+            while stack:
+                for nxt in stack[-1][1]:
+                    if nxt not in seen:
+                        seen.add(nxt)
+                        stack.append((nxt, iter(adj.get(nxt, ()))))
+                        break
+                else:
+                    order.append(stack.pop()[0])
+        rows, done = [], set()
+        for root in reversed(order):
+            members, stack = [], [root] if root not in done else []
+            done.add(root)
+            while stack:
+                at = stack.pop()
+                members.append(at)
+                for b in back.get(at, ()):
+                    if b not in done:
+                        done.add(b)
+                        stack.append(b)
+            if len(members) > 1:
+                rows += [(m, min(members)) for m in members]
+        return pd.DataFrame({group: [df[group].iloc[0]] * len(rows), "module": pd.Series([r[0] for r in rows], dtype=object), "component": pd.Series([r[1] for r in rows], dtype=object)})
+
+    return edges.select(group, "src", "dst").groupBy(group).applyInPandas(search, f"{group} {dict(edges.dtypes)[group]}, module string, component string")

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.text import EXACT_PLACEHOLDERS, PLACEHOLDER_PARTS, SAFE_NAME_PARTS, SECRET_PREFIXES, SENSITIVE_NAMES
+
 LOG_METHODS = frozenset("debug info warning warn error exception critical fatal log".split())
 BROAD = frozenset(("Exception", "BaseException"))
 
@@ -119,6 +122,81 @@ def imports(text: str) -> list[tuple]:
     return sorted(rows, key=lambda r: (r[1], r[0]))
 
 
+def sensitive(name: str) -> bool:
+    low = name.lower()
+    return not any(p in low for p in SAFE_NAME_PARTS) and any(p in low for p in SENSITIVE_NAMES)
+
+
+def entropy(s: str) -> float:
+    return -sum((n := s.count(c) / len(s)) * math.log2(n) for c in set(s))
+
+
+def secret_confidence(name: str, value: str) -> str | None:
+    """Confidence that assigning ``value`` to ``name`` is a hardcoded credential; None if it isn't one."""
+    v = value.strip()
+    low = v.lower()
+    if len(v) < 8 or low in EXACT_PLACEHOLDERS or any(p in low for p in PLACEHOLDER_PARTS):
+        return None
+    if v.startswith(SECRET_PREFIXES):
+        return "high"
+    if not sensitive(name) or len(v) < 12:
+        return None
+    bits = entropy(v)
+    mixed = any(map(str.isupper, v)) and any(map(str.islower, v)) and any(map(str.isdigit, v))
+    if bits > 3.3 or mixed or len(v) >= 20:
+        return "high" if bits > 3.8 or mixed else "medium"
+    return None
+
+
+# Objects whose logging as a whole is reported, and names of loggers.
+WHOLE_OBJECTS = frozenset("request headers user session".split())
+LOGGERS = ("log", "logger", "logging")
+
+
+def is_log_call(n: ast.AST) -> bool:
+    if not (isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in LOG_METHODS):
+        return False
+    return any(x in ast.unparse(n.func.value).lower() for x in LOGGERS)
+
+
+def logged_names(call: ast.Call) -> Iterator[str]:
+    """Names and attributes that reach a log call's arguments, inside formatted strings as well."""
+    for a in [*call.args, *(k.value for k in call.keywords)]:
+        for n in ast.walk(a):
+            if isinstance(n, ast.Name):
+                yield n.id
+            elif isinstance(n, ast.Attribute):
+                yield n.attr
+            elif isinstance(n, ast.Dict):
+                yield from (k.value for k in n.keys if isinstance(k, ast.Constant) and isinstance(k.value, str))
+
+
+def logging_and_secrets(text: str) -> list[tuple]:
+    """ENT-LOG-001 to 004: sensitive values logged, credentials in code, whole objects logged, secret defaults."""
+    tree = parse(text)
+    rows = []
+
+    def add(n: ast.AST, rule: str, severity: str, confidence: str, title: str) -> None:
+        rows.append((rule, n.lineno, n.end_lineno, severity, confidence, "logging_and_secrets", title))
+
+    for n in ast.walk(tree) if tree else ():
+        if is_log_call(n):
+            names = set(logged_names(n))
+            if any(map(sensitive, names)):
+                add(n, "ENT-LOG-001", "high", "high", "Sensitive value logged")
+            if any(isinstance(a, ast.Name) and a.id.lower() in WHOLE_OBJECTS or isinstance(a, ast.Attribute) and a.attr.lower() in WHOLE_OBJECTS for a in n.args):
+                add(n, "ENT-LOG-003", "medium", "high", "Whole object logged")
+        elif isinstance(n, (ast.Assign, ast.AnnAssign)) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
+            for target in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                name = target.id if isinstance(target, ast.Name) else target.attr if isinstance(target, ast.Attribute) else ""
+                if name and (confidence := secret_confidence(name, n.value.value)):
+                    add(n, "ENT-LOG-002", "high", confidence, "Hardcoded credential")
+        elif isinstance(n, ast.Call) and len(n.args) == 2 and all(isinstance(a, ast.Constant) and isinstance(a.value, str) for a in n.args):
+            if ast.unparse(n.func) in ("os.getenv", "os.environ.get", "getenv", "environ.get") and sensitive(n.args[0].value) and len(n.args[1].value) >= 6:
+                add(n, "ENT-LOG-004", "medium", "high", "Default for a secret")
+    return rows
+
+
 def facts(files: DataFrame, extract: Callable[[str], list[tuple]], schema: str) -> DataFrame:
     """Rows of ``extract`` for every Python file; ``files`` has (path, language, content)."""
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -139,5 +217,9 @@ def python_error_handling(files: DataFrame) -> DataFrame:
     return facts(files, error_handling, FINDING_SCHEMA)
 
 
+def python_logging_and_secrets(files: DataFrame) -> DataFrame:
+    return facts(files, logging_and_secrets, FINDING_SCHEMA)
+
+
 def python_imports(files: DataFrame) -> DataFrame:
     return facts(files, imports, IMPORT_SCHEMA)
