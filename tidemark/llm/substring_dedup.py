@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, prepare, table, text_rows
+from .common import fields, prepare, text_rows
 
 LENGTH = 50
 GRAM = 20
@@ -331,7 +331,7 @@ def shared_runs(docs: DataFrame, bits: bytes) -> DataFrame:
             for (anchor, s), places in seen.items():
                 low = min(places)[0]
                 for d, o in places:
-                    out.append((anchor, s, d, o, o + len(s)) if d == low else (None, None, d, o, o + len(s)))
+                    out.append((anchor, s, d, o, o + len(s)) if d == low else (d, None, d, o, o + len(s)))
             return batch_of(RUN, out)
 
         for b in batches:
@@ -391,7 +391,10 @@ def repeats(runs_table: DataFrame) -> DataFrame:
                 out.extend((d, o, o + len(s)) for d, o in at if d > low)
 
         for b in batches:
-            for anchor, s, d, o in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for anchor, s, d, o, stop in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if s is None:
+                    out.append((d, o, stop))
+                    continue
                 if anchor != current:
                     end_group()
                     current, group = anchor, {}
@@ -408,7 +411,8 @@ def repeats(runs_table: DataFrame) -> DataFrame:
         if out:
             yield batch_of(REPEAT, out)
 
-    dealt = runs_table.where(F.col("anchor").isNotNull()).select("anchor", "run", "doc", "start").repartition("anchor").sortWithinPartitions("anchor")
+    # settled repeats go along, so that the texts are read and cut into runs once and nothing is written in between
+    dealt = runs_table.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, REPEAT)
 
 
@@ -427,9 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept of every row."""
     prepare(docs.sparkSession)
     rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = table(shared_runs(rows, filter_bits(rows)), "substring-runs")
-    settled = found.where(F.col("anchor").isNull()).select("doc", "start", "stop")
-    spans = settled.unionByName(repeats(found)).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeats(shared_runs(rows, filter_bits(rows))).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     both = rows.join(spans, rows["doc_id"] == spans["doc"], "left").select("doc_id", "text", F.col("spans.start").alias("a"), F.col("spans.stop").alias("b"))
     schema = fields(("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()))
 
