@@ -98,14 +98,17 @@ def sparse_documents(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def passages(words: list[int], places: list[bytes], numbers: list[bytes], v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Passage and term of each distinct pair, and the row and first word of each passage that has terms."""
+def passages(words: list[int], places: list[bytes], numbers: list[bytes], v: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passage and term of each distinct pair (of terms with weight, if given), the row of each passage, and each row's first passage."""
     last = np.array([max(0, -(-w // STRIDE) - 2) for w in words], np.int64)
     base = np.cumsum(last + 1) - (last + 1)
     lengths = [len(p) // 4 for p in places]
     row = np.repeat(np.arange(len(words)), lengths)
     at = np.frombuffer(b"".join(places), np.int32) // STRIDE
     term = np.frombuffer(b"".join(numbers), np.int32).astype(np.int64)
+    if weight is not None:
+        some = weight[term] > 0
+        row, at, term = row[some], at[some], term[some]
     keys = []
     for shift in (0, 1):
         p = at - shift
@@ -163,7 +166,7 @@ def gram_times(sparse: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndar
         weight, om = held.value
         total = np.zeros((v, k))
         for b in batches:
-            win, term, _, _ = passages(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), v)
+            win, term, _, _ = passages(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), v, weight)
             win, term, val = unit_rows(win, term, weight)
             for _, e, z in projected(win, term, val, om):
                 w, t, x = win[e], term[e], val[e]
@@ -287,7 +290,7 @@ def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> Da
         for b in batches:
             ids = b.column(0).to_pylist()
             words, places, numbers = (b.column(i).to_pylist() for i in (1, 2, 3))
-            win, term, owner, base = passages(words, places, numbers, v)
+            win, term, owner, base = passages(words, places, numbers, v, weight)
             win, term, val = unit_rows(win, term, weight)
             best: dict[tuple[int, int], tuple[float, float, bool]] = {}
             cached: dict[int, tuple[list[int], set[int]]] = {}
