@@ -303,6 +303,20 @@ def test_decontamination(spark):
     assert decontaminate.hits(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_an_item_that_a_third_of_the_rows_hold(spark):
+    rng = random.Random(18)
+    # each row has other words about the same paraphrase; the words that this left out stay rare
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(8)]
+    held = " ".join(w for k, w in enumerate(items[0][1].split()) if k % 4 != 3)
+    # a part of an item that is in order but for a few words, and one that has just its first half
+    weak = " ".join(items[1][1].split()[:19])
+    rows = [(i, f"{prose(rng, 30)} {held if i % 3 == 0 else weak if i % 3 == 1 else ''} {prose(rng, 30)}") for i in range(120)]
+    rows.append((500, prose(rng, 20) + " " + items[2][1]))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.hits(docs, bench).collect()}
+    assert got == {(i, 0) for i in range(0, 120, 3)} | {(500, 2)}
+
+
 def test_subsequence():
     rng = random.Random(9)
     for _ in range(300):

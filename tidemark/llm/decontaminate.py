@@ -3,8 +3,10 @@
 Documents are read as overlapping passages over the benchmark's content terms. A
 randomised range finder with one power step over the TF-IDF passages of the
 whole corpus, and of the benchmark at equal mass, gives a latent space;
-passages and benchmark items that are near in it by cosine are candidates. A
-candidate is a hit if the longest common subsequence of content terms covers
+passages and benchmark items that are near in it by cosine are candidates. Terms
+of many passages have no weight in that space, so a part of an item that has any
+is looked up by its terms instead: it is a candidate of every passage that has
+enough of them for a hit, however common they are. A candidate is a hit if the longest common subsequence of content terms covers
 ``COVER`` of the item, or ``COVER_WITH_ANSWER`` and the item's answer (its last
 ``ANSWER`` content terms) is there as well, in order.
 
@@ -18,7 +20,7 @@ Edge cases: null or empty texts have no passages, null or empty items no hits;
 repeated rows give repeated hits; empty tables give an empty result; items of
 over ``STRIDE`` words are searched in parts; an item of few content terms keeps
 all its words as terms. Ties don't matter, as every item near a passage is
-checked. Other columns are ignored by ``hits`` and kept by ``remove_hits``.
+checked; the cosine is 0 where passage and item share no term with weight. Other columns are ignored by ``hits`` and kept by ``remove_hits``.
 """
 
 from __future__ import annotations
@@ -50,10 +52,12 @@ COVER_PLAIN = 0.95
 #: Least content terms for the answer to count.
 ANSWER_TERMS = 8
 ITEMS = 20_000
-#: Share of items above which a term is no content term, and of passages above which it has no weight.
+#: Share of items above which a term is no content term, and of passages above which it has no weight in the latent space.
 COMMON_ITEMS = 0.025
 COMMON_PASSAGES = 0.01
 SLICE = 40_000
+#: Counts of (passages x parts) that are added up at a time.
+CELLS = 2_000_000
 SEED = 11
 
 
@@ -261,6 +265,33 @@ def judge(passage: list[int], item: list[int]) -> tuple[float, bool]:
     return common_subsequence(item, passage) / len(item), common_subsequence(answer, passage) == len(answer)
 
 
+def index_of(bench: Bench, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts with a term without weight, the terms that a hit of each needs, and by term: where its entries start, their parts (by order) and counts."""
+    which = np.array([c for c, (_, s, _, _) in enumerate(bench.parts) if any(idf[t] <= 0 for t in s)], np.int64)
+    need = np.array([bench.parts[c][3] * len(bench.parts[c][1]) for c in which])
+    entries = sorted((t, k, n) for k, c in enumerate(which) for t, n in Counter(bench.parts[c][1]).items())
+    term, part, times = np.array(entries, np.int64).reshape(-1, 3).T
+    return which, need, np.searchsorted(term, np.arange(len(idf) + 1)), part, times
+
+
+def shared_parts(win: np.ndarray, term: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Passage and part, in order of passages, where a passage has as many of an indexed part's terms as a hit needs."""
+    which, need, first, part, times = index
+    start = rows_of(win)
+    step = max(1, CELLS // max(1, len(which)))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a in range(0, len(start) if len(which) else 0, step):
+        rows = min(step, len(start) - a)
+        e = slice(int(start[a]), int(start[a + rows]) if a + rows < len(start) else len(win))
+        n = first[term[e] + 1] - first[term[e]]
+        at = np.repeat(first[term[e]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        nth = np.repeat(np.cumsum(np.r_[0, win[e][1:] != win[e][:-1]]), n)
+        held = np.bincount(nth * len(which) + part[at], times[at], rows * len(which)).reshape(rows, -1)
+        r, c = np.nonzero(held >= need - 1e-9)
+        out.append((win[start[a + r]], which[c]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
 
@@ -275,44 +306,52 @@ def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> Da
     sparse = table(sparse_documents(docs, bench.terms), "bench-terms")
     count, df = passage_counts(sparse, v)
     idf = np.where(df <= max(20, COMMON_PASSAGES * count), np.log((count + 1) / (df + 1)) + 1, 0.0)
-    for _, s, _, _ in bench.parts:
-        if not any(idf[t] > 0 for t in s):  # an item of common words only is searched by them
-            idf[s] = np.log((count + 1) / (df[s] + 1)) + 1
+    index = index_of(bench, idf)
     basis = latent_basis(sparse, bench, idf, count)
     latent = unit(dense(*bench_rows(bench, idf), len(bench.parts), basis))
-    held = spark.sparkContext.broadcast((idf, basis, latent, bench.parts))
+    held = spark.sparkContext.broadcast((idf, basis, latent, bench.parts, index))
     names = schema.names
     id_type = pa.int64() if isinstance(docs.schema["doc_id"].dataType, T.LongType) else None
     item_arrow = pa.int64() if isinstance(item_type, T.LongType) else pa.int32() if isinstance(item_type, T.IntegerType) else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, space, targets, parts = held.value
+        weight, space, targets, parts, by_term = held.value
+        plain = np.ones(len(parts), bool)
+        plain[by_term[0]] = False
         for b in batches:
             ids = b.column(0).to_pylist()
             words, places, numbers = (b.column(i).to_pylist() for i in (1, 2, 3))
-            win, term, owner, base = passages(words, places, numbers, v, weight)
+            win, term, owner, base = passages(words, places, numbers, v)
+            listed, part = shared_parts(win, term, by_term)
+            cosine = np.zeros(len(listed), np.float32)
             win, term, val = unit_rows(win, term, weight)
-            best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-            cached: dict[int, tuple[list[int], set[int]]] = {}
+            pairs: list[tuple[int, int, float]] = []
             for w, _, z in projected(win, term, val, space):
                 near = unit(z) @ targets.T
-                for r, c in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
-                    p = int(w[r])
-                    if p not in cached:
-                        row = int(owner[p])
-                        at = np.frombuffer(places[row], np.int32)
-                        lo, hi = np.searchsorted(at, [(p - base[row]) * STRIDE, (p - base[row] + 2) * STRIDE])
-                        terms = np.frombuffer(numbers[row], np.int32)[lo:hi].tolist()
-                        cached[p] = terms, set(terms)
-                    item, target, least, less = parts[c]
-                    terms, held_terms = cached[p]
-                    # no subsequence is longer than the terms that both have
-                    if sum(map(held_terms.__contains__, target)) < less * len(target):
-                        continue
-                    cover, answer = judge(terms, target)
-                    if cover >= least or cover >= less and answer:
-                        key = (int(owner[p]), item)
-                        best[key] = max(best.get(key, (0.0, 0.0, False)), (cover, float(near[r, c]), answer))
+                r, c = np.nonzero((near >= COSINE) & plain)
+                pairs += zip(w[r].tolist(), c.tolist(), near[r, c].tolist())
+                lo, hi = np.searchsorted(listed, [w[0], w[-1] + 1])
+                r = np.searchsorted(w, listed[lo:hi])
+                cosine[lo:hi] = np.where(w[r] == listed[lo:hi], near[r, part[lo:hi]], 0)
+            pairs += zip(listed.tolist(), part.tolist(), cosine.tolist())
+            best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+            cached: dict[int, tuple[list[int], set[int]]] = {}
+            for p, c, cos in pairs:
+                if p not in cached:
+                    row = int(owner[p])
+                    at = np.frombuffer(places[row], np.int32)
+                    lo, hi = np.searchsorted(at, [(p - base[row]) * STRIDE, (p - base[row] + 2) * STRIDE])
+                    terms = np.frombuffer(numbers[row], np.int32)[lo:hi].tolist()
+                    cached[p] = terms, set(terms)
+                item, target, least, less = parts[c]
+                terms, held_terms = cached[p]
+                # no subsequence is longer than the terms that both have
+                if sum(map(held_terms.__contains__, target)) < less * len(target):
+                    continue
+                cover, answer = judge(terms, target)
+                if cover >= least or cover >= less and answer:
+                    key = (int(owner[p]), item)
+                    best[key] = max(best.get(key, (0.0, 0.0, False)), (cover, cos, answer))
             got = [(ids[row], i, x[1], x[0], x[2]) for (row, i), x in best.items()]
             columns = list(zip(*got)) if got else [[]] * 5
             kinds = (id_type or b.column(0).type, item_arrow, pa.float64(), pa.float64(), pa.bool_())
