@@ -282,6 +282,19 @@ def test_near_dup(spark, docs, texts):
     assert near_dup.classes(empty(spark)).count() == 0
 
 
+def test_near_copies_that_only_share_buckets_of_a_common_passage(spark):
+    rng = random.Random(21)
+    # 40 pairs of near copies hold one passage of four fifths of their words, and are not near to other pairs
+    passage, rows = prose(rng, 800), []
+    for i in range(40):
+        own = prose(rng, 110)
+        rows += [(2 * i + k, f"{passage} {own} {prose(rng, 90)}") for k in range(2)]
+    h = [near_dup.shingles(t) for _, t in rows]
+    assert all((near_dup.similarity(h[i], h[j]) >= 0.8) == (i // 2 == j // 2) for i in range(80) for j in range(i))
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(80)}
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, prose(rng, rng.randrange(15, 60)).replace("0", "q")) for i in range(30)] + [(30, None), (31, ""), (None, "lone words here")]

@@ -12,11 +12,15 @@ similarity = common / (len a + len b - common), at least ``SIMILARITY``.
 
 Verification runs in rounds. The first takes for each node the centre that it
 shares most bands with. The second takes its other centres, unless links two
-steps long already show both in one class. Then, in buckets that still hold
-several components, a new centre meets the members of the others, until a round
-adds no link or ``ROUNDS`` are over. Classes are connected components of the
-links; a class id is the least doc_id in it. Copies are never expanded into
-pairs.
+steps long already show both in one class. Then come the buckets that still hold
+several components. Their nodes meet again by prefixes, which loses none: with
+shingles in one order for all, rare ones first, two texts of the least
+similarity share one of the first ``(1 - SIMILARITY) * n + 1`` of each. So a
+passage that many hold brings nobody together, unless it is nearly all of a
+text. ``CENTRE_ROUNDS`` times the holders of a shingle meet a centre of theirs;
+then all pairs that are still of different components are verified if lengths
+and places fit. Classes are connected components of the links; a class id is the
+least doc_id in it. Exact copies are never expanded into pairs.
 
 Edge cases: null and empty texts are one class; texts of under five words have
 one shingle of all their words; rows with a null doc_id get the class of their
@@ -43,7 +47,10 @@ WORDS = 5
 BANDS = 12
 PICKED = 3
 SIMILARITY = 0.8
-ROUNDS = 2
+#: Cells in which shingles are counted, to put the rare ones first.
+CELLS = 1 << 18
+#: Rounds in which the nodes of a prefix shingle meet one centre, so that fewer components are left for all pairs.
+CENTRE_ROUNDS = 2
 #: Match points per shingle beyond which the alignment goes row by row instead.
 DENSE = 32
 CACHE_WORDS = 300_000
@@ -116,6 +123,14 @@ def sketch(h: np.ndarray) -> list[int]:
     return keys
 
 
+def prefix(h: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The first labelled shingles of a text, rare ones first, of which a text as similar as ``least`` has one among its own; and the text's length."""
+    x = labelled(h)
+    n = len(x)
+    order = np.lexsort((x, counts[(x % np.uint64(CELLS)).astype(np.int64)]))
+    return x[order[: n - int(np.ceil(least * n - 1e-9)) + 1]].view(np.int64), n
+
+
 def common(a: np.ndarray, b: np.ndarray, width: int) -> int:
     """Length of the longest common subsequence whose matches have offsets of at most ``width``."""
     order = np.argsort(a, kind="stable")
@@ -242,6 +257,76 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links, found on the components that these join."""
+    ca = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    cb = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct()
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("further"))
+    alone = joined.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), "component")
+    return table(found.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("further", "component").alias("component")), "near-components")
+
+
+def mixed_nodes(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes in buckets that hold several components."""
+    at = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    keys = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
+    return at.join(keys, "key").select("node").distinct()
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many labelled shingles fall into each cell."""
+    schema = fields(("n", T.BinaryType()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                total += np.bincount((labelled(shingles(t.as_py() or "")) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                total += np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
+
+    groups = max(1, int(texts.rdd.getNumPartitions() ** 0.5))
+    shares = texts.select("text").mapInArrow(count, schema).repartition(groups).mapInArrow(add, schema)
+    return sum((np.frombuffer(r.n, np.int64) for r in shares.toLocalIterator()), np.zeros(CELLS, np.int64))
+
+
+def prefixes(nodes: DataFrame, least: float) -> DataFrame:
+    """key, at, node and n: the shingles in the prefix of each of ``nodes`` (node, text), their places in it, and the text's length."""
+    held = nodes.sparkSession.sparkContext.broadcast(shingle_counts(nodes))
+    schema = T.StructType([*fields(("node", T.BinaryType()), ("n", T.LongType())).fields, T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
+        for b in batches:
+            got = [prefix(shingles(t.as_py() or ""), counts, least) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in got], pa.int64()), pa.array([k for k, _ in got], pa.list_(pa.int64()))], names=schema.names)
+
+    rows = nodes.select("node", "text").mapInArrow(run, schema)
+    return rows.select("node", "n", F.posexplode("keys").alias("at", "key"))
+
+
+def several(rows: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """The rows of keys that hold several components, with component, and a centre, its component, place and length."""
+    at = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    draw = F.xxhash64("node", F.lit(turn))
+    keys = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("node", "component", "at", "n"), draw).alias("c")).where("c0 != c1")
+    return at.join(keys.select("key", F.col("c.node").alias("b"), F.col("c.component").alias("cb"), F.col("c.at").alias("bt"), F.col("c.n").alias("nb")), "key")
+
+
+def fitting(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs a (node) and b of different components that their lengths, and the places of a first common shingle, allow to be similar."""
+    most = 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("nb") - 1 - F.col("bt"))
+    fits = (F.col("component") != F.col("cb")) & (F.least("n", "nb") >= F.lit(least - 1e-9) * F.greatest("n", "nb")) & (most >= F.lit(least / (1 + least) - 1e-9) * (F.col("n") + F.col("nb")))
+    return rows.where(fits).select(F.col("node").alias("a"), "b").distinct()
+
+
 def two_steps(links: DataFrame) -> DataFrame:
     """node and mark: the least node within a link, and of that again; equal marks mean one component."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -276,18 +361,20 @@ def node_classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
     done = done.unionByName(second)
     links = links.unionByName(second.where("linked").select("a", "b"))
     found = components(links)
-    for turn in range(1, ROUNDS + 1):
-        at = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        draw = F.xxhash64("node", "key", F.lit(turn))
-        mixed_buckets = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("node", "component"), draw).alias("c")).where("c0 != c1").select("key", F.col("c.node").alias("b"), F.col("c.component").alias("cb"))
-        again = at.join(mixed_buckets, "key").where(F.col("component") != F.col("cb")).select(F.col("node").alias("a"), "b").distinct()
+    again = table(mixed_nodes(members, found).join(texts, "node"), "near-mixed")
+    left = prefixes(again, least)
+    for turn in range(1, CENTRE_ROUNDS + 2):
+        left = table(several(left.select("key", "at", "node", "n"), found, turn), "near-prefixes")
+        pairs = left
+        if turn > CENTRE_ROUNDS:
+            other = left.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("at").alias("bt"), F.col("n").alias("nb"))
+            pairs = left.select("key", "at", "node", "n", "component").join(other, "key").where("node < b")
         seen = done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        new = table(verify(again.join(seen, ["a", "b"], "left_anti"), texts, least), "near-links")
-        if new.where("linked").isEmpty():
-            break
+        new = table(verify(fitting(pairs, least).join(seen, ["a", "b"], "left_anti"), again, least), "near-links")
         done = done.unionByName(new)
-        links = links.unionByName(new.where("linked").select("a", "b"))
-        found = components(links)
+        linked = new.where("linked").select("a", "b")
+        if not linked.isEmpty():
+            found = merged(found, linked)
     return rows.select("doc_id", "node"), found
 
 
