@@ -12,9 +12,8 @@ shuffle.
 Edge cases: a null or empty text has no words, fails the base rules and is not
 kept; a text without tokens scores 0; repeated rows give repeated results; an
 empty table gives an empty result. Other columns are ignored by ``measure`` and
-kept by ``filter_documents``. Trusted rows are a bounded choice of the labelled
-rows (``TRUSTED_ROWS``, least hash first); without any the score is 0 for all,
-and the base rules alone decide.
+kept by ``filter_documents``. Trusted rows are all rows labelled good; without
+any the score is 0 for all, and the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of unigrams, and as many of bigrams.
 BUCKETS = 1 << 15
-#: Labelled rows that the target model is fitted on, at most.
-TRUSTED_ROWS = 20_000
 SMOOTHING = 1.0
 #: Mean log ratio below which a document is rejected.
 THRESHOLD = -0.5
@@ -87,16 +84,17 @@ def bigram(t: Column, following: Column) -> Column:
 
 
 def trusted_rows(labels: DataFrame) -> DataFrame:
-    """At most ``TRUSTED_ROWS`` ids of documents labelled good, those of least hash."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
+    """The ids of documents labelled good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row with ``w``: the log ratio of each bucket, unigrams first."""
     spark = docs.sparkSession
-    mark = F.broadcast(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted")))
-    toks = docs.select(F.col(id_col).alias("_id"), tokens(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t")).join(mark, "_id", "left")
+    # by shuffle at any size, so that no broadcast grows with the labels; texts are made into tokens after the join
+    mark = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted"))
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(mark.hint("shuffle_merge"), "_id", "left")
+    toks = marked.select("_trusted", tokens(F.coalesce("_text", F.lit(""))).alias("t"))
     pairs = toks.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("b"))).alias("p"))
     grams = pairs.select("_trusted", F.explode(F.array(unigram(F.col("p.a")), F.when(F.col("p.b").isNotNull(), bigram(F.col("p.a"), F.col("p.b"))))).alias("bucket")).where(F.col("bucket").isNotNull())
     counts = grams.groupBy("bucket", "_trusted").count().groupBy("bucket").agg(F.sum("count").alias("raw"), F.sum(F.when(F.col("_trusted") == 1, F.col("count")).otherwise(0)).alias("target"))
