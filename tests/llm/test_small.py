@@ -237,26 +237,52 @@ def test_suffix_array():
         assert substring_dedup.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_substring_dedup(spark, docs):
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+def without_repeats(rows):
+    """What is left of every (doc_id, text), by looking each 50-byte string up."""
+    rows = [(d, (t or "").encode()) for d, t in rows]
     first = {}
     for d, b in rows:
         for i in range(len(b) - 49) if d is not None else ():
             first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], d))
-    got = {}
-    for r in substring_dedup.remove_repeats(docs).collect():
-        got.setdefault(r.doc_id, []).append(r)
+    out = []
     for d, b in rows:
         cut = bytearray(len(b))
         for i in range(len(b) - 49) if d is not None else ():
             if first[b[i : i + 50]] < d:
                 cut[i : i + 50] = b"\1" * 50
         spans = sum(bool(c) and (i == 0 or not cut[i - 1]) for i, c in enumerate(cut))
-        r = got[d][0]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept) == (len(b), sum(cut), spans, bytes(x for x, c in zip(b, cut) if not c))
+        out.append((str(d), len(b), sum(cut), spans, bytes(x for x, c in zip(b, cut) if not c)))
+    return sorted(out)
+
+
+def removed(df, **limits):
+    return sorted((str(r[0]), *r[1:4], bytes(r[4])) for r in substring_dedup.remove_repeats(df, **limits).collect())
+
+
+def test_substring_dedup(spark, docs):
+    assert removed(docs) == without_repeats([(r.doc_id, r.text) for r in docs.collect()])
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "limits"), [("long", {}), ("int", {"hot": 20}), ("long", {"split": 3}), ("long", {"hot": 70, "split": 4}), ("string", {})])
+def test_substring_dedup_of_edited_copies_and_repeated_ids(spark, kind, limits):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcde\u00e9") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base, passages, rows = some(300).split(), [some(12) for _ in range(6)], []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(12)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts = (" ".join(t[: rng.randrange(20, 300)]), f"{some(rng.randrange(20))} {rng.choice(passages)} {some(20)}", "z" * rng.randrange(200) + "ab " * rng.randrange(100), some(100))
+        # ids below zero, and several texts of one id
+        rows.append((rng.randrange(-20, 110), rng.choice(texts)))
+    rows += [(None, " ".join(base)), (3, None), (4, ""), *rows[5:8]]
+    if kind == "string":
+        rows = [(None if d is None else f"x{d}", t) for d, t in rows]
+    assert removed(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3), **limits) == without_repeats(rows)
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(400):
