@@ -316,6 +316,14 @@ def test_near_dup(spark, docs, texts):
     assert near_dup.classes(empty(spark)).count() == 0
 
 
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    rng = random.Random(31)
+    x, y, z, w = (prose(rng, 80) for _ in range(4))
+    rows = [(5, x), (7, x), (7, y), (8, y), (3, z), (3, w), (None, x), (None, "only here"), (None, "only here"), (7, y)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, x), (7, y), (3, z), (3, w), (0, "only here")])
+
+
 def test_near_copies_that_only_share_buckets_of_a_common_passage(spark):
     rng = random.Random(21)
     # 40 pairs of near copies hold one passage of four fifths of their words, and are not near to other pairs

@@ -196,7 +196,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return same / (na + nb - same)
 
 
-def node_of(text: str) -> Column:
+def node_of(text: str | Column) -> Column:
     """128 bits of the text's SHA-256."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
@@ -313,9 +313,13 @@ def prefixes(nodes: DataFrame, least: float) -> DataFrame:
 
 
 def several(rows: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """The rows of keys that hold several components, with component, and a centre, its component, place and length."""
+    """The rows of keys that hold several components, with component, and a centre, its component, place and length.
+
+    In the first turn the centre is the node in which the fewest shingles are
+    rarer than the key: that with the least of its own, to which most are near.
+    """
     at = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    draw = F.xxhash64("node", F.lit(turn))
+    draw = F.struct(F.when(F.lit(turn) == 1, F.col("at")), F.xxhash64("node", F.lit(turn)))
     keys = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("node", "component", "at", "n"), draw).alias("c")).where("c0 != c1")
     return at.join(keys.select("key", F.col("c.node").alias("b"), F.col("c.component").alias("cb"), F.col("c.at").alias("bt"), F.col("c.n").alias("nb")), "key")
 
@@ -390,9 +394,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: the first of its least doc_id; rows of a class without any id all stay."""
-    named = classes(docs, least, id_col, text_col)
-    first = named.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    unnamed = docs.where(F.col(id_col).isNull())
-    kept = docs.join(first, docs[id_col] == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(unnamed)
+    """``docs`` with one row of each class: that of its least doc_id, and of several texts of that id the least node's.
+
+    Rows without an id go unless their whole class has none; then one of the least node stays.
+    """
+    prepare(docs.sparkSession)
+    rows, found = node_classes(text_rows(docs, id_col, text_col), least)
+    placed = rows.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    best = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_keep_id"), F.col("k.node").alias("_keep_node"))
+    named = docs.withColumn("_own_node", node_of(F.col(text_col).cast("string")))
+    kept = named.join(best, (F.col("_own_node") == F.col("_keep_node")) & named[id_col].eqNullSafe(F.col("_keep_id")), "left_semi")
+    return kept.dropDuplicates([id_col, "_own_node"]).drop("_own_node")
