@@ -9,7 +9,8 @@ that rank-ordered merging gives. Decoding concatenates slices of one buffer
 that holds all token strings, addressed by an offset table.
 
 Edge cases: a null text is empty and gives no ids; strings of special tokens
-inside a text become their ids and are decoded as such; very long pre-tokens are
+inside a text become their ids and are decoded as such; texts with code points
+that Python's Unicode tables don't know are split by the library's tables; very long pre-tokens are
 encoded whole; an unknown byte can't occur as all 256 are in the vocabulary.
 Repeated rows give repeated results, empty tables an empty result, and other
 columns are ignored.
@@ -29,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from .common import fields, prepare, text_rows
 from .token_count import LETTER, NUMBER, SPACE, byte_alphabet, is_latin
@@ -40,6 +42,19 @@ LATIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPA
 SCHEMA = fields(("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("decoded", T.StringType()))
 
 
+def unassigned() -> re.Pattern:
+    """Code points without a category in Python's tables; the library's are newer and know some of them."""
+    found, start = [], None
+    for c in range(256, 0x110001):
+        none = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if none and start is None:
+            start = c
+        elif not none and start is not None:
+            found.append((start, c - 1))
+            start = None
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found) + "]")
+
+
 class Codec:
     """Encoder and decoder for a vocabulary with an end-of-word suffix."""
 
@@ -80,6 +95,9 @@ class Codec:
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pre = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pre)
+        self.unassigned = unassigned()
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.split = pre_tokenizers.Split(Regex(pre), "removed", invert=True)
         self.cache: dict[str, bytes] = {}
         self.packed = [struct.pack("<I", i) for i in range(max(max(vocab.values()), *self.special.values()) + 1)]
         self._offsets(spec)
@@ -182,6 +200,9 @@ class Codec:
         """Pre-tokens of the normalised text."""
         if is_latin(text):
             return LATIN_WORD.findall(text.lower())
+        if self.unassigned.search(text) is not None:
+            # only the library's own tables say what these code points are
+            return [w for w, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(text))]
         text = unicodedata.normalize("NFC", text)
         # lower case is taken for each character by itself, so a final sigma has no form of its own
         return self.words.findall("".join([c.lower() for c in text]) if "Σ" in text else text.lower())

@@ -38,13 +38,31 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one for tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = getattr(spark.sparkContext, "_tidemark_scratch", None)
-        if where is None:
-            where = spark.sparkContext._tidemark_scratch = "file://" + tempfile.mkdtemp(prefix="tidemark-scratch-")
-    return where.rstrip("/")
+    """This application's part of the folder that driver and executors share; it goes when the application ends.
+
+    The folder is spark.checkpoint.dir; only in local mode may that be unset, and a local one is made.
+    """
+    sc = spark.sparkContext
+    where = getattr(sc, "_tidemark_scratch", None)
+    if where is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="tidemark-scratch-")
+        where = sc._tidemark_scratch = f"{shared.rstrip('/')}/tidemark-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(where)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return where
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a scratch table (from ``table``) that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +70,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

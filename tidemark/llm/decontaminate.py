@@ -6,9 +6,12 @@ whole corpus, and of the benchmark at equal mass, gives a latent space;
 passages and benchmark items that are near in it by cosine are candidates. Terms
 of many passages have no weight in that space, so a part of an item that has any
 is looked up by its terms instead: it is a candidate of every passage that has
-enough of them for a hit, however common they are. A candidate is a hit if the longest common subsequence of content terms covers
-``COVER`` of the item, or ``COVER_WITH_ANSWER`` and the item's answer (its last
-``ANSWER`` content terms) is there as well, in order.
+enough of them for a hit, however common they are. A candidate is a hit if the
+longest common subsequence of content terms covers ``COVER`` of the item, or
+``COVER_WITH_ANSWER`` and the item's answer (its last ``ANSWER`` content terms)
+is there as well, in order. An item of over ``STRIDE`` words is looked for in
+parts of that many, and one part that is found is a hit of the item; only the
+last part has the answer.
 
 The corpus is tokenised once, into a table of content terms and their places;
 all later passes read that. The driver holds matrices of (terms x rank), which
@@ -17,8 +20,7 @@ task adds up its share of the matrix and sends one, and those are added in
 about the square root of as many groups before they meet the driver.
 
 Edge cases: null or empty texts have no passages, null or empty items no hits;
-repeated rows give repeated hits; empty tables give an empty result; items of
-over ``STRIDE`` words are searched in parts; an item of few content terms keeps
+repeated rows give repeated hits; empty tables give an empty result; an item of few content terms keeps
 all its words as terms. Ties don't matter, as every item near a passage is
 checked; the cosine is 0 where passage and item share no term with weight. Other columns are ignored by ``hits`` and kept by ``remove_hits``.
 """
@@ -42,7 +44,7 @@ WORD = re.compile(r"\w+")
 STRIDE = 64
 RANK = 96
 OVERSAMPLE = 10
-COSINE = 0.3
+COSINE = 0.2
 COVER = 0.7
 COVER_WITH_ANSWER = 0.5
 ANSWER = 4
@@ -67,6 +69,7 @@ class Bench:
     def __init__(self, items: list[tuple]):
         words = [(i, WORD.findall((t or "").lower())) for i, t in items]
         parts = [(i, w[at : at + STRIDE]) for i, w in words for at in range(0, len(w), STRIDE)]
+        final = [at + STRIDE >= len(w) for _, w in words for at in range(0, len(w), STRIDE)]
         seen = Counter(x for _, w in words for x in set(w))
         limit = max(5, COMMON_ITEMS * len(items))
         content = {x for x, n in seen.items() if n <= limit}
@@ -78,7 +81,7 @@ class Bench:
             s = [self.terms[x] for x in w if x in content or k in plain]
             if s:
                 least = COVER_PLAIN if k in plain else COVER
-                self.parts.append((i, s, least, COVER_WITH_ANSWER if k not in plain and len(s) >= ANSWER_TERMS else least))
+                self.parts.append((i, s, least, COVER_WITH_ANSWER if k not in plain and final[k] and len(s) >= ANSWER_TERMS else least))
 
 
 def sparse_documents(docs: DataFrame, terms: dict[str, int]) -> DataFrame:

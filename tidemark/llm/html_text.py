@@ -8,9 +8,11 @@ items get a bullet or number and are indented by depth, preformatted text keeps
 its spaces, and tables have their cells padded to common column widths.
 
 Not visible: head, script, style, template, noscript, dialog that isn't open,
-details bodies that aren't open, anything with the ``hidden`` attribute or
-``display:none``, and text under ``visibility:hidden`` unless a descendant turns
-it on again. No text that is visible is dropped, navigation included.
+details bodies that aren't open, titles, descriptions and definitions of SVG,
+annotations of MathML, fallbacks of audio, video, canvas and frames, anything
+with the ``hidden`` attribute or ``display:none``, and text under
+``visibility:hidden`` unless a descendant turns it on again. No text that is
+visible is dropped, navigation, SVG texts and fallbacks of objects included.
 
 Edge cases: null and empty pages give an empty text; unclosed tags end with the
 page, stray end tags are ignored, an unclosed comment or tag swallows the rest as
@@ -38,7 +40,7 @@ INDENTS = 24
 #: Fixed element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist audio video canvas desc defs metadata symbol annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr".split())
 CLOSES_P = BLOCK - frozenset("body caption dd dt html legend li optgroup option summary tbody td tfoot th thead tr".split())
@@ -147,7 +149,7 @@ def parse(html: str) -> Node:
         attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else None
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag in VOID or raw.endswith("/") and tag not in BLOCK and tag not in RAW and tag in ("svg", "path", "use"):
+        if tag in VOID or raw.endswith("/") and (tag in ("svg", "math") or is_open.get("svg") or is_open.get("math")):
             continue
         if tag in RAW:
             end = END[tag].search(html, pos)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, prepare, table, text_rows
+from .common import discard, fields, prepare, table, text_rows
 
 WORDS = 5
 BANDS = 12
@@ -245,15 +245,17 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and component (the least node) of every node that has a link: least labels spread along links and by jumps."""
     both = table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    labels = spent = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
         known = labels.select(F.col("node").alias("b"), F.col("component").alias("c"))
         near = both.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("least"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "least").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
         moved = table(lower.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("component"), (F.coalesce("further", "label") != F.col("old")).alias("changed")), "labels")
-        labels = moved.select("node", "component")
+        discard(spent)
+        spent, labels = moved, moved.select("node", "component")
         if moved.where("changed").isEmpty():
+            discard(both)
             return labels
 
 

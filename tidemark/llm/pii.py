@@ -5,9 +5,9 @@ wider set of candidate spans is drawn up (assigned secrets, local phone numbers,
 written-out addresses, and base shapes that failed their test). Regular
 expression, gazetteer and context labelers vote on each candidate; expectation
 maximisation over the counts of vote patterns estimates how reliable each
-labeler is, and its posteriors train a logistic classifier on span features. A
-candidate that the classifier accepts, and that overlaps no span already held,
-is added.
+labeler is, and its posteriors train a logistic classifier on span features. Its
+weights score every candidate by its features, whatever votes it had; one that
+is accepted, and overlaps no span already held, is added.
 
 Only counts by pattern reach the driver: votes and features are small integers,
 so there are at most 3^7 * 2^12 patterns however large the corpus is. The counts
@@ -21,6 +21,7 @@ Very long texts are scanned whole and each pattern is linear in their length.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -192,16 +193,31 @@ def describe(text: str, span: tuple[int, int, int]) -> tuple[int, int]:
     return sum(v * 3**i for i, v in enumerate(votes)), sum(1 << i for i, x in enumerate(bits) if x)
 
 
-def fit(patterns: list[tuple[int, int, int]], rounds: int = 60) -> dict[tuple[int, int], float]:
-    """Probability of personal data for each (votes, features) pattern, from their counts.
+def fit(patterns: list[tuple[int, int, int]], rounds: int = 60) -> list[float] | None:
+    """Weights of the span classifier (the bias first), from counts of (votes, features) patterns; None without any.
 
     Two-class expectation maximisation with one confusion table a labeler, then
     logistic regression of the posteriors on the features by Newton steps.
     """
     if not patterns:
-        return {}
+        return None
     patterns = sorted(patterns)
     count = np.array([p[2] for p in patterns], float)
+    post = posteriors(patterns, rounds)
+    x = np.array([[1.0, *(p[1] >> i & 1 for i in range(N_FEATURES))] for p in patterns])
+    w = np.zeros(x.shape[1])
+    scale = count / count.sum()
+    for _ in range(40):
+        z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (scale * (post - z)) - 1e-4 * w
+        hessian = (x * (scale * z * (1 - z))[:, None]).T @ x + 1e-4 * np.eye(len(w))
+        w += np.linalg.solve(hessian, gradient)
+    return w.tolist()
+
+
+def posteriors(patterns: list[tuple[int, int, int]], rounds: int = 60) -> np.ndarray:
+    """The probability of personal data that expectation maximisation gives each pattern of votes."""
+    count = np.array([p[2] for p in patterns], float)
     votes = np.array([[p[0] // 3**i % 3 for i in range(N_VOTES)] for p in patterns])
     yes, no = (votes == 1).sum(1), (votes == 2).sum(1)
     post = (yes + 1.0) / (yes + no + 2.0)  # the majority's view to start from
@@ -220,20 +236,19 @@ def fit(patterns: list[tuple[int, int, int]], rounds: int = 60) -> dict[tuple[in
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    x = np.array([[1.0, *(p[1] >> i & 1 for i in range(N_FEATURES))] for p in patterns])
-    w = np.zeros(x.shape[1])
-    scale = count / count.sum()
-    for _ in range(40):
-        z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (scale * (post - z)) - 1e-4 * w
-        hessian = (x * (scale * z * (1 - z))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        w += np.linalg.solve(hessian, gradient)
-    z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return {(p[0], p[1]): float(q) for p, q in zip(patterns, z)}
+    return post
+
+
+def probability(features: int, weights: list[float] | None) -> float:
+    """The classifier's probability that a span with these features is personal data; 0 without a classifier."""
+    if weights is None:
+        return 0.0
+    z = weights[0] + sum(w for i, w in enumerate(weights[1:]) if features >> i & 1)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, int], float]:
-    """The classifier's probability by pattern, learnt from all candidates of ``docs``."""
+def train(docs: DataFrame, text_col: str = "text") -> list[float] | None:
+    """The classifier's weights, learnt from all candidates of ``docs``."""
     prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +264,13 @@ def train(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, int], floa
     return fit([tuple(r) for r in counts.collect()])
 
 
-def spans_of(text: str, model: dict[tuple[int, int], float], accept: float = ACCEPT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str, model: list[float] | None, accept: float = ACCEPT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans, by start and then kind."""
     good, found = candidates(text)
     key = lambda x: (x[1], x[0], x[2])
     out, last = list(good), -1
     for s, base in found:
-        if not base and s[1] >= last and model.get(describe(text, s), 0.0) >= accept:
+        if not base and s[1] >= last and probability(describe(text, s)[1], model) >= accept:
             out.append(s)
             last = s[2]
     return sorted(good, key=key), sorted(out, key=key)
@@ -268,7 +283,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 SPANS = fields(("doc_id", T.LongType()), *((f"n_{k}", T.LongType()) for k in KINDS[:4]), ("base_spans", T.StringType()), ("spans", T.StringType()))
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None) -> DataFrame:
     """doc_id, counts of base spans by kind, base_spans and spans (``kind:start:end``, joined by commas) of every row."""
     prepare(docs.sparkSession)
     learnt = train(docs, text_col) if model is None else model
@@ -293,7 +308,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text", model: dict | None = None) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", model: list[float] | None = None) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by its kind in angle brackets; a null stays null."""
     prepare(docs.sparkSession)
     learnt = train(docs, text_col) if model is None else model

@@ -111,10 +111,16 @@ def with_scores(measured: DataFrame, ratios: DataFrame) -> DataFrame:
     w = F.lit(np.array(ratios.first()["w"]))
 
     def total(weights: Column) -> Column:
-        each = F.transform("_tokens", lambda t, i: F.get(weights, unigram(t)) + F.coalesce(F.get(weights, bigram(t, F.get(F.col("_tokens"), i + 1))), F.lit(0.0)))
+        def weight(t: Column, i: Column) -> Column:
+            following = F.get(F.col("_tokens"), i + 1)
+            return F.get(weights, unigram(t)) + F.when(following.isNotNull(), F.get(weights, bigram(t, following))).otherwise(0.0)
+
+        each = F.transform("_tokens", weight)
         return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.greatest(2 * F.size("_tokens") - 1, F.lit(1))
 
-    return measured.withColumn("score", let(w, total)).drop("_tokens")
+    # an explode of one element ends the projections here: a later filter is not written into them, where lambdas would compute it again and again
+    kept = [c for c in measured.columns if c != "_tokens"]
+    return measured.select(F.explode(F.array(F.struct(*kept, let(w, total).alias("score")))).alias("_measured")).select("_measured.*")
 
 
 def measure(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,5 +136,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_doc"))
     base = base_measures(packed, "_text", ["_row"])
     scored = with_scores(base, log_ratios(docs, trusted_rows(labels), text_col, id_col))
-    # rows leave by an explode, since a filter would carry the array literal through every rule on predicates
-    return scored.select(F.explode(F.when(~F.col("base_failed") & (F.col("score") >= threshold), F.array("_row"))).alias("_row")).select("_row.*")
+    return scored.where(~F.col("base_failed") & (F.col("score") >= threshold)).select("_row.*")

@@ -35,8 +35,8 @@ from .common import prepare, table, text_rows
 SHARDS = 16
 FIRST_DIGITS = 4
 MORE_DIGITS = 3
-#: Parts that the rows of a shard are numbered in.
-SLOT_PARTS = 256
+#: Rows for each of the parts in which the rows of a shard are numbered.
+SLOT_ROWS = 1 << 18
 
 
 class Cells:
@@ -137,6 +137,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     groups = table(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     top = [(r.key, r.bytes) for r in groups.orderBy(F.desc("bytes"), "key").limit(shards + 1).collect()]
     left = groups.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(1, -(-rows.count() // SLOT_ROWS))
     alone: list[str] = []
     while len(alone) < min(shards - 1, len(top)) and top[len(alone)][1] * (shards - len(alone)) >= left:
         left -= top[len(alone)][1]
@@ -151,11 +152,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         at = at + (F.col("key") >= c).cast("int")
     for i, key in enumerate(alone):
         at = F.when(F.col("key") == key, i).otherwise(at)
-    placed = rows.withColumn("shard", at.cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOT_PARTS)).cast("int"))
+    placed = rows.withColumn("shard", at.cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int"))
     counts = placed.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # at most shards * SLOT_PARTS rows
-    offsets = F.broadcast(counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")))
+    # a row for each quarter of a million rows or so
+    offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "part").orderBy("key", "doc_id")
     numbered = placed.withColumn("rank", F.row_number().over(inside)).join(offsets, ["shard", "part"])
     return numbered.select(
