@@ -13,11 +13,15 @@ def con():
     return connect(SF)
 
 
+#: No SQL searches cycles of ten modules; tests/test_graph.py holds the query against brute force.
+WITHOUT_SQL = {"bounded_cycles"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(registry.QUERIES) == set(oracles.ORACLES)
+    assert set(registry.QUERIES) - WITHOUT_SQL == set(oracles.ORACLES)
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", [q for q in registry.QUERIES if q not in WITHOUT_SQL])
 def test_query_equals_oracle(spark, con, name):
     assert differences(registry.QUERIES[name](spark, SF), con, oracles.ORACLES[name]) is None
 

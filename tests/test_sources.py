@@ -92,8 +92,8 @@ def test_redaction(spark):
     assert {r.x: r.y for r in rows} == cases
 
 
-def test_entropy(spark):
-    rows = spark.createDataFrame([("aaaa",), ("ab",), ("abcd",), ("",)], "s string").select(t.shannon_entropy(F.col("s")).alias("e")).collect()
+def test_bits_per_char(spark):
+    rows = spark.createDataFrame([("aaaa",), ("ab",), ("abcd",), ("",)], "s string").select(t.bits_per_char(F.col("s")).alias("e")).collect()
     assert [r.e for r in rows] == [0.0, 1.0, 2.0, 0.0]
 
 

@@ -39,6 +39,34 @@ def scope_excluded(path: Column, names=EXCLUDED_NAMES, globs=EXCLUDED_GLOBS) ->
     return reduce(or_, [name.rlike(glob_regex(g)) | path.rlike(glob_regex(g)) for g in globs], by_name)
 
 
+# Parts of paths that duplicate and architecture rules leave out.
+DUPLICATION_PARTS = ("/tests/", "tests/", "/test/", "test_", "_test.py", "fixtures/", "/fixtures/", "conftest.py", "migrations/", "site-packages", ".venv")
+ARCHITECTURE_PARTS = (
+    "test/", "tests/", "fixtures/", "fixture/", "migrations/", "alembic/", "vendor/", "node_modules/", ".venv/", "venv/", "env/", "dist/", "build/", "scripts/", "setup.py",
+)
+
+
+def _holds(path: Column, parts: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(path, p))
+
+
+def duplication_excluded(path: Column) -> Column:
+    """Paths that rules on duplicates leave out: those out of scope, and test or generated code."""
+    return scope_excluded(path) | _holds(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), DUPLICATION_PARTS)
+
+
+def architecture_excluded(path: Column) -> Column:
+    """Paths that architecture rules leave out."""
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    return _holds(low, ARCHITECTURE_PARTS) | F.startswith(low, F.lit("test_"))
+
+
+def search_files(files: DataFrame, part: str = "", language: str | None = None) -> DataFrame:
+    """Files whose path holds ``part``, whatever the case, in one language if one is named."""
+    found = files.where(F.contains(F.lower("path"), F.lit(part.lower()))) if part else files
+    return found.where(F.lower("language") == language.lower()) if language else found
+
+
 def pruned(path: Column) -> Column:
     """Whether a directory on the way is never entered."""
     parts = F.split(path, "/")
@@ -150,7 +178,34 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def inline_directives(file_lines: DataFrame, marker: str = r"entropy:ignore") -> DataFrame:
+def inline_directives(file_lines: DataFrame, marker: str = "tidemark:ignore") -> DataFrame:
     """Rule ids that comments on a line switch off."""
     found = F.regexp_extract("line", rf"(?:#|//)\s*{marker}\s+([A-Z0-9, -]+)", 1)
     return file_lines.where(found != "").select("file", "line_number", F.explode(F.regexp_extract_all(found, F.lit(r"[A-Z]+(?:-[A-Z0-9]+)+"), F.lit(0))).alias("rule_id"))
+
+
+# Web frameworks whose routes are read, and those that are only known by name.
+WEB_FRAMEWORKS = ("django", "express", "fastapi", "fastify", "flask", "hono", "nestjs", "nextjs")
+OTHER_FRAMEWORKS = ("koa", "hapi", "restify", "adonis", "sails", "tornado", "aiohttp", "bottle", "falcon", "pyramid", "sanic", "litestar", "cherrypy", "web2py")
+
+
+def framework_coverage(imports: DataFrame, routes: DataFrame, repositories: DataFrame, key: str) -> DataFrame:
+    """Whether authentication and authorisation can be judged in each repository, and why not.
+
+    ``imports`` has (key, name), ``routes`` (key, framework), ``repositories`` key.
+    """
+    low = F.lower("name")
+    seen = imports.groupBy(key).agg(
+        *[F.bool_or(F.contains(low, F.lit(f))).alias(f"i_{f}") for f in WEB_FRAMEWORKS],
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.array(*map(F.lit, OTHER_FRAMEWORKS)), lambda f: F.contains(low, f)))))), ", ").alias("others"),
+    )
+    routed = routes.groupBy(key).agg(F.count("*").alias("n_routes"), F.count_if(F.col("framework").isin(*WEB_FRAMEWORKS)).alias("n_known"))
+    out = repositories.select(key).distinct().join(seen, key, "left").join(routed, key, "left")
+    n, others = F.coalesce("n_routes", F.lit(0)), F.coalesce("others", F.lit(""))
+    detected = reduce(or_, [F.coalesce(f"i_{f}", F.lit(False)) for f in WEB_FRAMEWORKS], F.coalesce(F.col("n_known") > 0, F.lit(False)))
+    why = (
+        F.when((others != "") & ~(detected & (n > 0)), F.concat(others, F.lit(" detected, not supported")))
+        .when(~detected, F.lit(f"No supported web framework detected (supported: {', '.join(WEB_FRAMEWORKS)})"))
+        .when(n == 0, "no HTTP routes detected")
+    )
+    return out.select(key, n.alias("n_routes"), why.isNull().alias("is_analyzed"), why.alias("explanation"))

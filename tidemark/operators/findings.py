@@ -29,17 +29,17 @@ def apply_suppressions(findings: DataFrame, rules: DataFrame, ids: DataFrame, in
 
     ``rules`` has rule_id, ``ids`` has key, ``inline`` has file, rule_id and line.
     A directive counts from the line before a finding to its end; the first
-    matching line is reported. The range join has file and rule as equi keys.
+    matching line is reported. The few lines of each distinct place are spread
+    out, so directives are met by an equi-join and not by a range.
     """
-    by_rule = F.broadcast(rules.select("rule_id").distinct().withColumn("_rule", F.lit(True)))
+    by_rule = rules.select("rule_id").distinct().withColumn("_rule", F.lit(True))
     keys = ids.select(F.col("key")).distinct()
-    out = findings.join(by_rule, "rule_id", "left")
+    place = ["file", "rule_id", "line_start", "line_end"]
+    spread = findings.select(*place).distinct().where("line_end >= greatest(1, line_start - 1)").withColumn("line", F.explode(F.sequence(F.greatest(F.lit(1), F.col("line_start") - 1), F.col("line_end"))))
+    first = spread.join(inline.select("file", "rule_id", "line").distinct(), ["file", "rule_id", "line"]).groupBy(*place).agg(F.min("line").alias("_line"))
+    out = findings.join(by_rule, "rule_id", "left").join(first, place, "left")
     out = out.join(keys.select(F.col("key").alias("id"), F.lit(True).alias("_id")), "id", "left")
     out = out.join(keys.select(F.col("key").alias("fingerprint"), F.lit(True).alias("_fp")), "fingerprint", "left")
-    spans = findings.select("id", "file", "rule_id", "line_start", "line_end").distinct()
-    near = (inline["file"] == spans["file"]) & (inline["rule_id"] == spans["rule_id"]) & inline["line"].between(F.greatest(F.lit(1), spans["line_start"] - 1), spans["line_end"])
-    lines = spans.join(inline, near).groupBy(spans["id"]).agg(F.min(inline["line"]).alias("_line"))
-    out = out.join(lines, "id", "left")
     source = F.when(F.col("_rule"), "config_rule").when(F.coalesce("_id", "_fp"), "config_finding").when(F.col("_line").isNotNull(), "inline")
     return out.withColumn("suppression_source", source).withColumn("suppression_line", F.when(F.col("suppression_source") == "inline", F.col("_line"))).drop("_rule", "_id", "_fp", "_line")
 
@@ -68,9 +68,13 @@ def enclosing_scope(lines: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """The narrowest span around each line; of equals the first declared.
 
     ``lines`` has (key, line_id, line), ``spans`` (key, span_id, start, stop, ord).
+    Distinct places meet distinct extents, so many findings on one line of a hot
+    file are one row until the last join.
     """
-    inside = (lines[key] == spans[key]) & lines["line"].between(spans["start"], spans["stop"])
-    return lines.join(spans, inside, "left").groupBy(lines[key], lines["line_id"], lines["line"]).agg(F.min_by(spans["span_id"], F.struct(spans["stop"] - spans["start"], spans["ord"])).alias("scope"))
+    extents = spans.groupBy(F.col(key).alias("_key"), "start", "stop").agg(F.min_by("span_id", "ord").alias("span_id"), F.min("ord").alias("ord"))
+    inside = (F.col(key) == F.col("_key")) & F.col("line").between(F.col("start"), F.col("stop"))
+    found = lines.select(key, "line").distinct().join(extents, inside).groupBy(key, "line").agg(F.min_by("span_id", F.struct(F.col("stop") - F.col("start"), "ord")).alias("scope"))
+    return lines.join(found, [key, "line"], "left").select(key, "line_id", "line", "scope")
 
 
 def group_inconsistency(endpoints: DataFrame, keys: list[str], guarded: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,19 +24,45 @@ def exact_duplicates(functions: DataFrame, key: str, member: str) -> DataFrame:
     return functions.join(low, key).where(F.col(member) != F.col("representative")).select("representative", F.col(member).alias("member"))
 
 
+def size_classes(functions: DataFrame, size: str, member: str, same: list[str]) -> DataFrame:
+    """Functions of equal ``same`` columns and size as one row: its representative (the least member) and how many there are."""
+    return functions.groupBy(*same, F.col(size).alias("size")).agg(F.min(member).alias("representative"), F.count("*").alias("members"))
+
+
+def size_class_members(functions: DataFrame, size: str, member: str, same: list[str]) -> DataFrame:
+    """Each member with the representative that stands for it in pairs."""
+    classes = size_classes(functions, size, member, same).withColumnRenamed("size", size)
+    return functions.select(F.col(member).alias("member"), *same, size).join(classes, [*same, size]).select("member", "representative")
+
+
+def _class_pairs(classes: DataFrame, same: list[str], band: Column) -> DataFrame:
+    """Pairs of classes in the same or neighbouring bands, and each class of several with itself.
+
+    Each row goes to its band and the next, which makes it an equi-join; a pair
+    in neighbouring bands meets once, in the higher of them.
+    """
+    left = classes.select(*same, F.col("representative").alias("l"), F.col("size").alias("size_l"), F.col("members").alias("n_l"), band.alias("band"), band.alias("own_l"))
+    right = classes.select(*same, F.col("representative").alias("r"), F.col("size").alias("size_r"), F.col("members").alias("n_r"), F.explode(F.array(band, band + 1)).alias("band"), band.alias("own_r"))
+    pair = left.join(right, [*same, "band"]).where((F.col("own_l") != F.col("own_r")) | (F.col("l") < F.col("r")) | (F.col("l") == F.col("r")) & (F.col("n_l") > 1))
+    bound = 2.0 * F.least("size_l", "size_r") / (F.col("size_l") + F.col("size_r"))
+    first = F.col("l") <= F.col("r")
+    n_a, n_b = F.when(first, F.col("n_l")).otherwise(F.col("n_r")), F.when(first, F.col("n_r")).otherwise(F.col("n_l"))
+    return pair.where(bound >= MIN_SIMILARITY).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), n_a.alias("n_a"), n_b.alias("n_b"), F.round(bound, 6).alias("bound"))
+
+
 def similar_candidates(functions: DataFrame, size: str, member: str, same: list[str]) -> DataFrame:
-    """Pairs whose size buckets are at most one apart and whose lengths allow the similarity.
+    """Class pairs whose size buckets are at most one apart and whose lengths allow the similarity.
 
-    Each row goes to its bucket and the next, which makes the band an equi-join;
-    a pair in neighbouring buckets meets once, in the higher of them.
+    Members of equal size are one class (``size_class_members`` says which), so
+    a hot bucket's pairs grow with its sizes, not with its members.
     """
-    b = F.floor(F.col(size) / BUCKET)
-    left = functions.select(F.col(member).alias("a"), F.col(size).alias("size_a"), *same, b.alias("bucket"), b.alias("own_a"))
-    right = functions.select(F.col(member).alias("b"), F.col(size).alias("size_b"), *same, F.explode(F.array(b, b + 1)).alias("bucket"), b.alias("own_b"))
-    pair = left.join(right, [*same, "bucket"]).where((F.col("own_a") != F.col("own_b")) | (F.col("a") < F.col("b")))
-    bound = 2.0 * F.least("size_a", "size_b") / (F.col("size_a") + F.col("size_b"))
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    return pair.where(bound >= MIN_SIMILARITY).select(low.alias("a"), high.alias("b"), F.round(bound, 6).alias("bound"))
+    return _class_pairs(size_classes(functions, size, member, same), same, F.floor(F.col("size") / BUCKET))
+
+
+def length_bound_pairs(functions: DataFrame, size: str, member: str, same: list[str]) -> DataFrame:
+    """Class pairs whose lengths allow the similarity, whatever their buckets; bands grow with the size."""
+    ratio = (2 - MIN_SIMILARITY) / MIN_SIMILARITY
+    return _class_pairs(size_classes(functions.where(F.col(size) > 0), size, member, same), same, F.floor(F.log(F.col("size") + F.lit(0.0)) / F.lit(math.log(ratio * 1.0001))))
 
 
 def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,6 +101,8 @@ def _ensure_checkpoints(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if where is None:
             import tempfile
 
@@ -109,32 +139,90 @@ def degrees(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return modules.select("module").join(out, "module", "left").join(into, "module", "left").na.fill(0, ["fan_in", "fan_out"])
 
 
-def bounded_cycles(edges: DataFrame, group: str, depth: int = MAX_DEPTH, limit: int = MAX_CYCLES) -> DataFrame:
-    """Elementary cycles of each graph, rotated to their least member, shortest first, at most ``limit`` a graph.
-
-    A module graph is small; each is searched whole by one Python call. Only edges
-    inside a strongly connected component are walked.
+def components_of(pairs: set[tuple[str, str]]) -> dict[str, str]:
+    """The least member of the strongly connected component of every node of one graph."""
+    adj: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for s, d in sorted(pairs):
+        adj.setdefault(s, []).append(d)
+        back.setdefault(d, []).append(s)
+    order, seen = [], set()
+    for root in sorted(adj):
+        stack = [(root, iter(adj.get(root, ())))] if root not in seen else []
+        seen.add(root)
+        while stack:
+            for nxt in stack[-1][1]:
+                if nxt not in seen:
+                    seen.add(nxt)
+                    stack.append((nxt, iter(adj.get(nxt, ()))))
+                    break
+            else:
+                order.append(stack.pop()[0])
+    out: dict[str, str] = {}
+    done = set()
+    for root in reversed(order):
+        members, stack = [], [root] if root not in done else []
+        done.add(root)
+        while stack:
+            at = stack.pop()
+            members.append(at)
+            for b in back.get(at, ()):
+                if b not in done:
+                    done.add(b)
+                    stack.append(b)
+        out |= dict.fromkeys(members, min(members, default=root))
+    return out
+
+
+def shortest_cycles(pairs: set[tuple[str, str]], depth: int, limit: int) -> list[tuple[str, ...]]:
+    """Elementary cycles from their least node, by length and then by name, until ``limit`` are found.
+
+    Lengths are tried one after the other; a path goes on only to nodes from
+    which its start can still be reached in the steps that are left.
     """
-
-    def cycles(df: pd.DataFrame) -> pd.DataFrame:
-        adj: dict[str, list[str]] = {}
-        for s, d in sorted(set(zip(df["src"], df["dst"]))):
+    component = components_of(pairs)
+    adj: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for s, d in sorted(pairs):
+        if s != d and component[s] == component[d]:
             adj.setdefault(s, []).append(d)
-        found: list[tuple[str, ...]] = []
+            back.setdefault(d, []).append(s)
+    found: list[tuple[str, ...]] = []
+    for length in range(2, depth + 1):
         for start in sorted(adj):
+            steps, edge = {start: 0}, [start]
+            for n in range(1, length):
+                edge = [b for x in edge for b in back.get(x, ()) if b > start and b not in steps and not steps.update({b: n})]
             stack = [(start, (start,))]
-            while stack and len(found) < limit:
+            while stack:
                 at, path = stack.pop()
-                for nxt in reversed(adj.get(at, [])):
-                    if nxt == start:
+                left = length - len(path)
+                if not left:
+                    if start in adj.get(at, ()):
                         found.append(path)
-                    elif nxt > start and nxt not in path and len(path) < depth:
+                        if len(found) >= limit:
+                            return found
+                    continue
+                for nxt in reversed(adj.get(at, ())):
+                    if nxt > start and steps.get(nxt, length) <= left and nxt not in path:
                         stack.append((nxt, (*path, nxt)))
-        found = sorted(set(found), key=lambda c: (len(c), c))[:limit]
+    return found
+
+
+def bounded_cycles(edges: DataFrame, group: str, depth: int = MAX_DEPTH, limit: int = MAX_CYCLES) -> DataFrame:
+    """Elementary cycles of each graph, rotated to their least member, shortest first, at most ``limit`` a graph.
+
+    The graph of one repository's modules is small; each is searched whole by
+    one Python call, inside its strongly connected components only. The limit is
+    the report's, not a guard: the cycles left out are the longer ones.
+    """
+
+    def cycles(df: pd.DataFrame) -> pd.DataFrame:
+        found = shortest_cycles(set(zip(df["src"], df["dst"])), depth, limit)
         return pd.DataFrame({group: [df[group].iloc[0]] * len(found), "cycle": pd.Series(["->".join(c) for c in found], dtype=object), "length": [len(c) for c in found]})
 
     kind = dict(edges.dtypes)[group]
-    return edges.select(group, "src", "dst").groupBy(group).applyInPandas(cycles, f"{group} {kind}, cycle string, length long")
+    return edges.select(group, "src", "dst").distinct().groupBy(group).applyInPandas(cycles, f"{group} {kind}, cycle string, length long")
 
 
 def with_layers(edges: DataFrame, modules: DataFrame) -> DataFrame:
@@ -200,36 +288,41 @@ def strong_components(edges: DataFrame, group: str) -> DataFrame:
     """module and component (its least module) of the strongly connected components of each graph, single modules left out."""
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
-        adj: dict[str, list[str]] = {}
-        back: dict[str, list[str]] = {}
-        for s, d in sorted(set(zip(df["src"], df["dst"]))):
-            adj.setdefault(s, []).append(d)
-            back.setdefault(d, []).append(s)
-        order, seen = [], set()
-        for root in sorted(adj):
-            stack = [(root, iter(adj.get(root, ())))] if root not in seen else []
-            seen.add(root)
-            while stack:
-                for nxt in stack[-1][1]:
-                    if nxt not in seen:
-                        seen.add(nxt)
-                        stack.append((nxt, iter(adj.get(nxt, ()))))
-                        break
-                else:
-                    order.append(stack.pop()[0])
-        rows, done = [], set()
-        for root in reversed(order):
-            members, stack = [], [root] if root not in done else []
-            done.add(root)
-            while stack:
-                at = stack.pop()
-                members.append(at)
-                for b in back.get(at, ()):
-                    if b not in done:
-                        done.add(b)
-                        stack.append(b)
-            if len(members) > 1:
-                rows += [(m, min(members)) for m in members]
+        found = components_of(set(zip(df["src"], df["dst"])))
+        size = Counter(found.values())
+        rows = [(m, c) for m, c in found.items() if size[c] > 1]
         return pd.DataFrame({group: [df[group].iloc[0]] * len(rows), "module": pd.Series([r[0] for r in rows], dtype=object), "component": pd.Series([r[1] for r in rows], dtype=object)})
 
     return edges.select(group, "src", "dst").groupBy(group).applyInPandas(search, f"{group} {dict(edges.dtypes)[group]}, module string, component string")
+
+
+def central_config(modules: DataFrame, edges: DataFrame, least: int = 3, share: float = 0.15) -> DataFrame:
+    """One row: how many modules depend on a configuration module, of how many, and whether that is a convention."""
+    config = modules.where((F.col("layer") == "config") | F.lower("module").rlike("config|settings")).select(F.col("module").alias("dst"))
+    dependents = edges.join(config, "dst", "left_semi").select(F.col("src").alias("module")).distinct().withColumn("d", F.lit(1))
+    n = modules.select("module").join(dependents, "module", "left").agg(F.coalesce(F.sum("d"), F.lit(0)).alias("dependents"), F.count("*").alias("modules"))
+    return n.withColumn("is_convention", (F.col("dependents") >= least) | (F.col("modules") > 0) & (F.col("dependents") >= share * F.col("modules")) & (F.col("dependents") > 0))
+
+
+# What a relative import may name, in the order it is tried.
+SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
+def script_targets(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """``imports`` (path, module) of scripts with target: the file that a relative import names, by the first ending that exists, else null; and external: the package of any other.
+
+    ``paths`` has path. Dots are resolved by folding the parts of the path.
+    """
+    folder = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    parts = F.concat(folder, F.split("module", "/"))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", up(acc)).otherwise(F.concat(acc, F.array(p))))
+    asked = imports.select("path", "module").distinct()
+    relative = asked.where(F.startswith("module", F.lit("."))).withColumn("base", F.array_join(folded, "/"))
+    tried = relative.select("path", "module", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in SCRIPT_ENDINGS])).alias("turn", "target"))
+    known = paths.select(F.col("path").alias("target")).distinct()
+    first = tried.join(known, "target").groupBy("path", "module").agg(F.min_by("target", "turn").alias("target"))
+    pieces = F.split("module", "/")
+    package = F.when(F.startswith("module", F.lit("@")), F.array_join(F.slice(pieces, 1, 2), "/")).otherwise(pieces[0])
+    out = asked.join(first, ["path", "module"], "left")
+    return out.withColumn("external", F.when(F.startswith("module", F.lit(".")), F.when(F.col("target").isNull(), F.col("module"))).otherwise(package))

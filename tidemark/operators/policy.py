@@ -20,16 +20,17 @@ def policy_rules(spark: SparkSession, rules=DEFAULT_POLICY) -> DataFrame:
     return spark.createDataFrame(list(rules), "rule_name string, kind string, metric string, threshold double, verdict string")
 
 
-def evaluate(metrics: DataFrame, rules: DataFrame, key: str, kind: str) -> DataFrame:
-    """Verdict of each rule of ``kind`` for each key: above the threshold violates, equal passes.
+def evaluate(metrics: DataFrame, rules: DataFrame, key: str, kind: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict of each rule (of one ``kind``, if named) for each key: above the threshold violates, equal passes.
 
     ``metrics`` has (key, metric, actual, has_baseline). Without a baseline a
-    delta rule doesn't apply; a null delta counts as 0.
+    delta rule doesn't apply; a null delta counts as 0. ``by`` names columns that
+    metrics and rules have in common beside the metric, such as the category.
     """
-    wanted = F.broadcast(rules.where(F.col("kind") == kind))
+    wanted = rules.where(F.col("kind") == kind) if kind else rules
     actual = F.coalesce("actual", F.lit(0.0))
-    status = F.when((F.lit(kind) == "delta") & ~F.col("has_baseline"), "not_applicable").when(actual > F.col("threshold"), F.col("verdict")).otherwise("pass")
-    return metrics.join(wanted, "metric").select(key, "rule_name", "threshold", F.round(actual, 6).alias("actual"), status.alias("status"))
+    status = F.when((F.col("kind") == "delta") & ~F.col("has_baseline"), "not_applicable").when(actual > F.col("threshold"), F.col("verdict")).otherwise("pass")
+    return metrics.join(wanted, ["metric", *by]).select(key, *by, "rule_name", "threshold", F.round(actual, 6).alias("actual"), status.alias("status"))
 
 
 def verdict(results: DataFrame, key: str) -> DataFrame:

@@ -127,7 +127,7 @@ def sensitive(name: str) -> bool:
     return not any(p in low for p in SAFE_NAME_PARTS) and any(p in low for p in SENSITIVE_NAMES)
 
 
-def entropy(s: str) -> float:
+def bits_per_char(s: str) -> float:
     return -sum((n := s.count(c) / len(s)) * math.log2(n) for c in set(s))
 
 
@@ -141,7 +141,7 @@ def secret_confidence(name: str, value: str) -> str | None:
         return "high"
     if not sensitive(name) or len(v) < 12:
         return None
-    bits = entropy(v)
+    bits = bits_per_char(v)
     mixed = any(map(str.isupper, v)) and any(map(str.islower, v)) and any(map(str.isdigit, v))
     if bits > 3.3 or mixed or len(v) >= 20:
         return "high" if bits > 3.8 or mixed else "medium"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SEVERITIES, band, dimension, finding_weight, severity_rank
+from .files import scope_excluded
 
 # Fixed values of the penalty and density formulas.
 FULL_WEIGHT = 20
@@ -58,16 +59,20 @@ def category_scores(findings: DataFrame, loc: DataFrame, repo: str, weights: dic
     return joined.select(repo, "category", "weight", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"), F.round(density_score(F.coalesce("penalty", F.lit(0.0)), F.col("loc")), 1).alias("score"))
 
 
-def overall(scores: DataFrame, repo: str) -> DataFrame:
-    """Weighted mean of the category scores, rounded half to even, and its band."""
+def overall(scores: DataFrame, repo: str, floors: DataFrame | None = None) -> DataFrame:
+    """Weighted mean of the category scores, rounded half to even, and its band; never below the floor, where ``floors`` (repo, floor) has one."""
     total = F.sum(F.coalesce("score", F.lit(0.0)) * F.col("weight")) / F.sum("weight")
     out = scores.groupBy(repo).agg(F.least(F.lit(100), F.greatest(F.lit(0), F.bround(F.round(total, 9), 0).cast("int"))).alias("score"), F.sum("n_findings").alias("n_findings"))
+    if floors is not None:
+        out = out.join(floors.select(repo, "floor"), repo, "left").withColumn("score", F.greatest("score", F.coalesce("floor", F.lit(0))))
     return out.select(repo, "score", band(F.col("score")).alias("band"), "n_findings")
 
 
-def severity_floor(findings: DataFrame, keys: list[str], trigger: Column) -> DataFrame:
-    """The score that severe findings of high confidence guarantee."""
+def severity_floor(findings: DataFrame, keys: list[str], trigger: Column, active: list[str] | None = None) -> DataFrame:
+    """The score that severe findings of high confidence guarantee; of ``active`` categories, if given, and files in scope."""
     hit = (F.col("confidence") == "high") & trigger
+    if active is not None:
+        hit = hit & F.col("category").isin(active) & ~scope_excluded(F.col("file"))
     counted = findings.groupBy(*keys).agg(F.count_if(hit & (F.col("severity") == "critical")).alias("n_critical"), F.count_if(hit & (F.col("severity") == "high")).alias("n_high"))
     return counted.withColumn("floor", F.when(F.col("n_critical") >= 2, FLOOR_TWO_CRITICAL).when(F.col("n_critical") == 1, FLOOR_CRITICAL).when(F.col("n_high") >= 1, FLOOR_HIGH).otherwise(0))
 

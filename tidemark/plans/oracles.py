@@ -47,12 +47,12 @@ SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS file, path, CAS
   (SELECT page_id, url, CASE WHEN length(c) > 1 THEN regexp_replace(c, '/$', '') ELSE c END AS path FROM
     (SELECT page_id, url, regexp_replace('/' || regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/+', '/', 'g') AS c FROM pages))""",
     "v_module": """
-SELECT 'm' || s_suppkey AS module, ['api', 'service', 'repository', 'model', 'config', 'utility'][s_suppkey % 6 + 1] AS layer, s_suppkey % 10 = 0 AS is_root FROM supplier""",
-    "v_edge": "SELECT DISTINCT 'm' || l_suppkey AS src, 'm' || (l_partkey % 100) AS dst FROM lineitem WHERE l_quantity >= 49 AND l_suppkey <> l_partkey % 100",
+SELECT 'm' || c_custkey AS module, ['api', 'service', 'repository', 'model', 'config', 'utility'][c_custkey % 6 + 1] AS layer, c_mktsegment = 'MACHINERY' AS is_root FROM customer""",
+    "v_edge": "SELECT DISTINCT 'm' || o_custkey AS src, 'm' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_partkey",
     "v_ledge": "SELECT e.src, e.dst, a.layer AS src_layer, b.layer AS dst_layer, a.is_root FROM v_edge e JOIN v_module a ON a.module = e.src JOIN v_module b ON b.module = e.dst",
     "v_label": "SELECT doc_id, lang, source, CAST(n_chars % 101 AS INTEGER) AS score, quality = 1 AS positive, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "v_assign": """
-SELECT doc_id, value, -(SELECT sum(p * log2(p)) FROM (SELECT count(*) / length(value)::DOUBLE AS p FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c)) AS entropy
+SELECT doc_id, value, -(SELECT sum(p * log2(p)) FROM (SELECT count(*) / length(value)::DOUBLE AS p FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c)) AS bits
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'token = "([0-9a-f]+)"', 1)) AS value FROM documents)""",
     "v_dup": "SELECT exact_hash, min(doc_id) AS low, count(*) AS n FROM v_func GROUP BY 1 HAVING count(*) >= 2",
     "v_func": """
@@ -107,14 +107,14 @@ SQL = {
     "policy_verdict": "SELECT repository_id, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS verdict, NOT bool_or(status = 'fail') AS passed, count(*) FILTER (status IN ('fail', 'warn')) AS n_violations FROM v_result GROUP BY 1",
     "findings_filter": "SELECT id, file, rule_id, line_start FROM v_finding WHERE category = 'PROMO' AND severity = 'high' AND contains(lower(file), 'm3/f1')",
     "findings_search": "SELECT id, title, file FROM v_finding WHERE contains(lower(title), 'ring') OR contains(lower(file), 'ring') OR contains(lower(rule_id), 'ring') OR contains(lower(symbol), 'ring')",
-    "apply_suppressions": "SELECT rule_id, source, count(*) AS n, min(line) FILTER (source = 'inline') AS first_line FROM (SELECT f.rule_id, CASE WHEN f.rule_id = 'Brand#5' THEN 'config_rule' WHEN f.fingerprint IN (SELECT fingerprint FROM v_finding WHERE scan_id % 50 = 0) THEN 'config_finding' WHEN l.line IS NOT NULL THEN 'inline' ELSE 'active' END AS source, l.line FROM v_finding f LEFT JOIN (SELECT s.id, min(d.line_start) AS line FROM (SELECT DISTINCT id, file, rule_id, line_start, line_end FROM v_finding) s JOIN (SELECT DISTINCT file, rule_id, line_start FROM v_finding WHERE scan_id % 10 = 3) d ON d.file = s.file AND d.rule_id = s.rule_id AND d.line_start BETWEEN greatest(1, s.line_start - 1) AND s.line_end GROUP BY 1) l ON l.id = f.id) GROUP BY 1, 2",
+    "apply_suppressions": "SELECT rule_id, source, count(*) AS n, min(line) FILTER (source = 'inline') AS first_line FROM (SELECT f.rule_id, CASE WHEN f.rule_id = 'Brand#5' THEN 'config_rule' WHEN f.id IN (SELECT id FROM v_finding WHERE severity = 'critical' AND side = 'A') THEN 'config_finding' WHEN l.line IS NOT NULL THEN 'inline' ELSE 'active' END AS source, l.line FROM v_finding f LEFT JOIN (SELECT s.id, min(d.line_start) AS line FROM (SELECT DISTINCT id, file, rule_id, line_start, line_end FROM v_finding) s JOIN (SELECT DISTINCT file, rule_id, line_start FROM v_finding WHERE severity = 'info' AND confidence = 'low') d ON d.file = s.file AND d.rule_id = s.rule_id AND d.line_start BETWEEN greatest(1, s.line_start - 1) AND s.line_end GROUP BY 1) l ON l.id = f.id) GROUP BY 1, 2",
     "dedupe_first": "SELECT fingerprint, first(id ORDER BY scan_id, line_start, id) AS id FROM v_finding GROUP BY 1",
     "overlap_suppression": "SELECT rule_id, count(*) AS n FROM v_finding f WHERE NOT (rule_id = 'Brand#1' AND EXISTS (SELECT 1 FROM v_finding g WHERE g.rule_id = 'Brand#2' AND g.file = f.file AND g.line_start = f.line_start)) AND NOT (rule_id = 'Brand#4' AND EXISTS (SELECT 1 FROM v_finding g WHERE g.rule_id = 'Brand#3' AND g.file = f.file AND g.line_start = f.line_start)) GROUP BY 1",
     "union_findings": "SELECT category, count(*) AS n, count(DISTINCT rule_id) AS rules FROM v_finding GROUP BY 1",
-    "enclosing_scope": "SELECT l.file, l.line_id, l.line, first(s.span_id ORDER BY s.stop - s.start, s.span_id) AS scope FROM (SELECT DISTINCT file, id AS line_id, line_start AS line FROM v_finding WHERE scan_id % 20 = 1) l LEFT JOIN (SELECT file, id AS span_id, line_start AS start, line_end + scan_id % 5 AS stop FROM v_finding WHERE scan_id % 20 = 0) s ON s.file = l.file AND l.line BETWEEN s.start AND s.stop GROUP BY 1, 2, 3",
+    "enclosing_scope": "SELECT l.file, l.line_id, l.line, f.scope FROM (SELECT DISTINCT file, id AS line_id, line_start AS line FROM v_finding) l LEFT JOIN (SELECT p.file, p.line, first(s.span_id ORDER BY s.stop - s.start, s.span_id) AS scope FROM (SELECT DISTINCT file, line_start AS line FROM v_finding) p JOIN (SELECT file, line_start AS start, line_end AS stop, min(id) AS span_id FROM v_finding GROUP BY 1, 2, 3) s ON s.file = p.file AND p.line BETWEEN s.start AND s.stop GROUP BY 1, 2) f USING (file, line)",
     "group_inconsistency": "SELECT page_id, file, route_group, members, n_guarded FROM (SELECT *, count(*) OVER w AS members, count(*) FILTER (guarded) OVER w AS n_guarded FROM v_endpoint WINDOW w AS (PARTITION BY file, route_group)) WHERE NOT guarded AND members >= 2 AND n_guarded BETWEEN 1 AND members - 1",
     "duplicated_pattern": "SELECT page_id, pattern, endpoints FROM v_endpoint JOIN (SELECT pattern, count(DISTINCT path) AS endpoints FROM v_endpoint GROUP BY 1 HAVING count(DISTINCT path) >= 2) USING (pattern)",
-    "middleware_scope": "SELECT r.file, r.page_id AS route_id, m.page_id AS mw_id FROM v_endpoint r JOIN (SELECT *, CASE WHEN page_id % 12 = 0 THEN '*' ELSE route_group END AS mount FROM v_endpoint WHERE page_id % 6 = 0) m ON m.file = r.file AND r.line > m.line AND (m.mount = '*' OR r.path = m.mount OR starts_with(r.path, m.mount || '/'))",
+    "middleware_scope": "SELECT r.file, r.page_id AS route_id, m.page_id AS mw_id FROM v_endpoint r JOIN (SELECT *, CASE WHEN method = 'POST' THEN path ELSE route_group END AS mount FROM v_endpoint) m ON m.file = r.file AND r.line > m.line AND (m.mount = '*' OR r.path = m.mount OR starts_with(r.path, m.mount || '/'))",
     "language_counts": "SELECT language, count(*) AS n_files FROM v_file GROUP BY 1",
     "file_disposition": "SELECT path, disposition FROM v_disposed",
     "manifest_summary": "SELECT repository_id, count(*) AS total_files, sum(size)::BIGINT AS total_bytes, coalesce(sum(line_count) FILTER (disposition = 'analyzable'), 0)::BIGINT AS total_loc, count(*) FILTER (disposition = 'analyzable') AS analyzable_files, count(*) FILTER (disposition <> 'analyzable') AS skipped_files, count(*) FILTER (disposition = 'scope_excluded') AS excluded_files FROM v_disposed GROUP BY 1",
@@ -129,23 +129,28 @@ SQL = {
     "sarif_levels": "SELECT CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, rule_id, count(*) AS n, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END)::INTEGER AS top_rank FROM v_finding GROUP BY 1, 2",
     "route_groups": "SELECT route_group, count(*) AS n, count(DISTINCT path) AS paths FROM v_endpoint GROUP BY 1",
     "public_endpoint": "SELECT page_id, len(string_split(path, '/')) = 3 AND CASE WHEN method = 'POST' THEN route_group = '/fr' ELSE route_group IN ('/en', '/de') END AND NOT list_has_any(string_split(lower(path), '/'), ['admin', 'internal']) AS is_public FROM v_endpoint",
-    "shannon_entropy": "SELECT doc_id, value, round(entropy, 6) AS entropy FROM v_assign",
-    "secret_candidates": "SELECT doc_id, value FROM v_assign WHERE length(value) >= 8 AND value <> '123456' AND (length(value) >= 12 AND (entropy > 3.3 OR length(value) >= 20))",
+    "bits_per_char": "SELECT doc_id, value, round(bits, 6) AS bits FROM v_assign",
+    "secret_candidates": "SELECT doc_id, value FROM v_assign WHERE length(value) >= 8 AND value <> '123456' AND (length(value) >= 12 AND (bits > 3.3 OR length(value) >= 20))",
     "mask_secret": "SELECT doc_id, CASE WHEN length(value) > 10 THEN substr(value, 1, 4) || '...' || right(value, 4) ELSE '***' END AS masked FROM v_assign",
     "redact_secrets": "SELECT doc_id, substr(sha256(regexp_replace(text, '(?i)(token)(\\s*=\\s*)\"[^\"\\n]+\"', '\\1\\2\"[REDACTED_SECRET]\"', 'g')), 1, 16) AS redacted_hash FROM documents",
     "exact_duplicates": "SELECT d.low AS representative, f.doc_id AS member FROM v_func f JOIN v_dup d USING (exact_hash) WHERE f.doc_id <> d.low",
-    "similar_candidates": "SELECT least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, round(2.0 * least(a.size, b.size) / (a.size + b.size), 6) AS bound FROM v_func a JOIN v_func b ON a.doc_id < b.doc_id AND a.lang = b.lang AND a.statements = b.statements AND abs(a.size // 6 - b.size // 6) <= 1 WHERE 2.0 * least(a.size, b.size) / (a.size + b.size) >= 0.85",
-    "length_bound_pairs": "SELECT r.doc_id AS a, f.doc_id AS b, round(2.0 * least(f.size, r.size) / (f.size + r.size), 6) AS bound FROM v_func f JOIN (SELECT lang, statements, min(doc_id) AS doc_id, arg_min(size, doc_id) AS size FROM v_func GROUP BY 1, 2) r USING (lang, statements) WHERE f.doc_id <> r.doc_id AND 2.0 * least(f.size, r.size) / (f.size + r.size) >= 0.85",
+    "similar_candidates": "WITH c AS (SELECT lang, statements, size, min(doc_id) AS rep, count(*) AS n FROM v_func GROUP BY 1, 2, 3) SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b, round(2.0 * least(a.size, b.size) / (a.size + b.size), 6) AS bound FROM c a JOIN c b ON a.lang = b.lang AND a.statements = b.statements AND (a.rep < b.rep OR a.rep = b.rep AND a.n > 1) AND abs(a.size // 6 - b.size // 6) <= 1 WHERE 2.0 * least(a.size, b.size) / (a.size + b.size) >= 0.85",
+    "length_bound_pairs": "WITH c AS (SELECT lang, statements, size, min(doc_id) AS rep, count(*) AS n FROM v_func WHERE size > 0 GROUP BY 1, 2, 3) SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b, round(2.0 * least(a.size, b.size) / (a.size + b.size), 6) AS bound FROM c a JOIN c b ON a.lang = b.lang AND a.statements = b.statements AND (a.rep < b.rep OR a.rep = b.rep AND a.n > 1) WHERE 2.0 * least(a.size, b.size) / (a.size + b.size) >= 0.85",
+    "size_class_members": "SELECT doc_id AS member, min(doc_id) OVER (PARTITION BY lang, statements, size) AS representative FROM v_func",
+    "central_config": "WITH c AS (SELECT module FROM v_module WHERE layer = 'config'), d AS (SELECT count(DISTINCT src) AS dependents FROM v_edge WHERE dst IN (FROM c) AND src IN (SELECT module FROM v_module)), n AS (SELECT count(*) AS modules FROM v_module) SELECT dependents, modules, dependents >= 3 OR dependents > 0 AND dependents >= 0.15 * modules AS is_convention FROM d, n",
+    "path_exclusions": "SELECT path, coalesce(contains(path, 'tests/') OR contains(path, 'test_'), false) OR path LIKE '%/node_modules/%' AS no_duplication, contains(path, 'tests/') OR contains(path, 'node_modules/') AS no_architecture FROM v_file",
+    "search_files": "SELECT path, language FROM v_file WHERE contains(lower(path), 'src/') AND language = 'go'",
+    "overall_with_floor": "SELECT repository_id, score, CASE WHEN score <= 20 THEN 'very_low' WHEN score <= 40 THEN 'low' WHEN score <= 60 THEN 'moderate' WHEN score <= 80 THEN 'high' ELSE 'very_high' END AS band, n_findings FROM (SELECT repository_id, greatest(o.score, coalesce(CASE WHEN c >= 2 THEN 81 WHEN c = 1 THEN 61 WHEN h >= 1 THEN 41 ELSE 0 END, 0))::INTEGER AS score, n_findings FROM v_overall o LEFT JOIN (SELECT repository_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h FROM v_finding WHERE confidence = 'high' AND rule_id IN ('Brand#1', 'Brand#2', 'Brand#3') AND category IN (SELECT category FROM v_weight) GROUP BY 1) f USING (repository_id))",
+    "policy_categories": "SELECT repository_id, category, 'categories.' || category || '.max_score' AS rule_name, CASE category WHEN 'STANDARD' THEN 60.0 ELSE 20.0 END AS threshold, score AS actual, CASE WHEN category = 'STANDARD' AND score > 60 THEN 'fail' WHEN category = 'PROMO' AND score > 20 THEN 'warn' ELSE 'pass' END AS status FROM v_score WHERE category IN ('STANDARD', 'PROMO')",
     "connected_components": "SELECT f.doc_id AS node, d.low AS component FROM v_func f JOIN v_dup d USING (exact_hash)",
     "cluster_summary": "SELECT d.low AS component, first(f.doc_id ORDER BY f.file, f.doc_id) AS representative, count(*) AS members, count(DISTINCT f.file) AS files, 1.0::DOUBLE AS avg_similarity, true AS is_exact, CASE WHEN count(*) >= 3 THEN 'ENT-DUP-005' WHEN count(DISTINCT f.file) > 1 THEN 'ENT-DUP-004' ELSE 'ENT-DUP-001' END AS rule_id FROM v_func f JOIN v_dup d USING (exact_hash) GROUP BY 1",
     "boilerplate": "WITH s AS (SELECT *, lang || '-' || statements AS shape FROM v_func) SELECT shape, count(*) AS members, count(DISTINCT file) AS files FROM s WHERE shape IN (SELECT shape FROM s GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT file) >= 2) AND exact_hash NOT IN (SELECT exact_hash FROM v_dup) GROUP BY 1 HAVING count(*) >= 3",
-    "module_degrees": "SELECT m.module, coalesce((SELECT count(*) FROM v_edge e WHERE e.src = m.module), 0) AS fan_out, coalesce((SELECT count(*) FROM v_edge e WHERE e.dst = m.module), 0) AS fan_in FROM v_module m",
-    "bounded_cycles": "WITH e AS (SELECT CAST(substr(src, 2) AS INTEGER) % 8 AS g, src, dst FROM v_edge WHERE CAST(substr(src, 2) AS INTEGER) % 8 = CAST(substr(dst, 2) AS INTEGER) % 8) SELECT g, length, count(*) AS n FROM (SELECT a.g, 2::BIGINT AS length FROM e a JOIN e b ON a.g = b.g AND a.dst = b.src AND b.dst = a.src AND a.src < a.dst UNION ALL SELECT a.g, 3::BIGINT FROM e a JOIN e b ON a.g = b.g AND a.dst = b.src JOIN e c ON b.g = c.g AND b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src) GROUP BY 1, 2",
+    "module_degrees": "SELECT m.module, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) AS fan_in FROM v_module m LEFT JOIN (SELECT src AS module, count(*) AS n FROM v_edge GROUP BY 1) o USING (module) LEFT JOIN (SELECT dst AS module, count(*) AS n FROM v_edge GROUP BY 1) i USING (module)",
     "layer_violations": "SELECT src, count(DISTINCT dst) AS n_repositories FROM v_ledge WHERE src_layer = 'api' AND dst_layer = 'repository' GROUP BY 1",
     "cross_layer_coupling": "SELECT src, count(DISTINCT dst_layer) AS n_layers FROM v_ledge WHERE NOT is_root GROUP BY 1 HAVING count(DISTINCT dst_layer) >= 4",
-    "dominant_pattern": "WITH api AS (SELECT m.module, m.module IN (SELECT src FROM v_ledge WHERE dst_layer = 'service' AND (CAST(substr(src, 2) AS INTEGER) % 7 <> 0 OR CAST(substr(dst, 2) AS INTEGER) % 6 <> 1)) AS u FROM v_module m WHERE layer = 'api'), r AS (SELECT avg(u::INTEGER) AS rate, count(*) AS n FROM api) SELECT module, round(rate, 6) AS rate FROM api, r WHERE NOT u AND n >= 3 AND rate >= 0.65",
+    "dominant_pattern": "WITH api AS (SELECT m.module, m.module IN (SELECT src FROM v_ledge WHERE dst_layer = 'service') AS u FROM v_module m WHERE layer = 'api'), r AS (SELECT avg(u::INTEGER) AS rate, count(*) AS n FROM api) SELECT module, round(rate, 6) AS rate FROM api, r WHERE NOT u AND n >= 3 AND rate >= 0.65",
     "god_objects": "SELECT file, count(DISTINCT symbol) AS n_members, count(DISTINCT category) AS n_domains FROM v_finding GROUP BY 1 HAVING count(DISTINCT symbol) >= 10 AND count(DISTINCT category) >= 3",
-    "module_edges": "SELECT DISTINCT i.src, a.dst FROM (SELECT 'm' || l_suppkey AS src, 'n' || (l_partkey % 300) AS name FROM lineitem WHERE l_quantity >= 49) i JOIN (SELECT 'n' || (p_partkey % 250) AS name, 'm' || (max(p_partkey) % 90) AS dst FROM part GROUP BY 1) a USING (name) WHERE i.src <> a.dst",
+    "module_edges": "SELECT DISTINCT i.src, a.dst FROM (SELECT 'm' || l_suppkey AS src, 'n' || (l_partkey % 300) AS name FROM lineitem) i JOIN (SELECT 'n' || (p_partkey % 250) AS name, 'm' || (max(p_partkey) % 90) AS dst FROM part GROUP BY 1) a USING (name) WHERE i.src <> a.dst",
     "layer_inference": "SELECT CASE WHEN path LIKE '%/api/%' THEN 'api' ELSE 'unknown' END AS layer, language, count(*) AS n FROM v_file GROUP BY 1, 2",
     "roc_auc": "SELECT c.lang, round(CASE WHEN max(np) > 0 AND max(nn) > 0 THEN sum(u) / (max(np) * max(nn)) ELSE 0.5 END, 6) AS auc, max(np) AS n_positive, max(nn) AS n_negative FROM (SELECT p.lang, count(*) FILTER (n.score < p.score) + 0.5 * count(*) FILTER (n.score = p.score) AS u FROM (SELECT * FROM v_label WHERE positive) p JOIN (SELECT * FROM v_label WHERE NOT positive) n USING (lang) GROUP BY 1) a RIGHT JOIN (SELECT lang, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nn FROM v_label GROUP BY 1) c ON c.lang = a.lang GROUP BY 1",
     "score_distribution": "SELECT lang, count(*) AS n, min(score) AS min, max(score) FILTER (rn = floor(0.25 * (n - 1)) + 1) AS p25, max(score) FILTER (rn = floor(0.5 * (n - 1)) + 1) AS median, max(score) FILTER (rn = floor(0.75 * (n - 1)) + 1) AS p75, max(score) AS max, round(avg(score), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM v_label) GROUP BY 1",
@@ -153,7 +158,7 @@ SQL = {
     "class_separation": "SELECT round(avg(score) FILTER (positive) - avg(score) FILTER (NOT positive), 6) AS gap, min(score) FILTER (positive) AS min_positive, max(score) FILTER (NOT positive) AS max_negative, min(score) FILTER (positive) > max(score) FILTER (NOT positive) AS separated FROM v_label",
     "event_dedupe": "SELECT user_id, event_type, first(event_id ORDER BY ts, event_id) AS event_id, count(*) AS copies FROM events GROUP BY 1, 2",
     "event_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
-    "cache_misses": "SELECT event_id, sha256(event_type || ':' || user_id) AS cache_key FROM events WHERE event_id % 3 = 0 AND (event_type, user_id) NOT IN (SELECT (event_type, user_id) FROM events WHERE event_id % 3 = 1)",
+    "cache_misses": "SELECT event_id, sha256(user_id::VARCHAR) AS cache_key FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
     "inline_directives": "SELECT path AS file, i::INTEGER AS line_number, unnest(['ENT-LOG-' || length(line), 'ENT-ERR-001']) AS rule_id FROM (SELECT path, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM v_file) WHERE starts_with(line, 'Licensed under')",
     "gitignore_last_match": "SELECT path, CASE WHEN regexp_matches(path, '^src[2-4]/api(/|$)') THEN true WHEN regexp_matches(path, '(^|/)f1[^/]*[.]md(/|$)') THEN false WHEN contains(path, 'node_modules/') THEN true WHEN regexp_matches(path, '^src1/') THEN true WHEN path LIKE '%.md' THEN true ELSE false END AS is_ignored FROM v_file",
 }

@@ -58,6 +58,13 @@ def overall_score(spark, sf):
     return scoring.overall(_scores(spark, sf), "repository_id")
 
 
+@query
+def overall_with_floor(spark, sf):
+    f = tb.findings(spark, sf)
+    floors = scoring.severity_floor(f, ["repository_id"], F.col("rule_id").isin("Brand#1", "Brand#2", "Brand#3"), list(tb.CATEGORIES))
+    return scoring.overall(_scores(spark, sf), "repository_id", floors)
+
+
 @query
 def severity_floor(spark, sf):
     return scoring.severity_floor(tb.findings(spark, sf), ["repository_id"], F.col("rule_id").isin("Brand#1", "Brand#2", "Brand#3"))
@@ -223,8 +230,15 @@ def policy_delta(spark, sf):
 
 @query
 def policy_verdict(spark, sf):
-    m, r = _metrics(spark, sf), policy.policy_rules(spark)
-    return policy.verdict(policy.evaluate(m, r, "repository_id", "absolute").unionByName(policy.evaluate(m, r, "repository_id", "delta")), "repository_id")
+    return policy.verdict(policy.evaluate(_metrics(spark, sf), policy.policy_rules(spark), "repository_id"), "repository_id")
+
+
+@query
+def policy_categories(spark, sf):
+    """Thresholds of single categories, on their scores."""
+    rules = spark.createDataFrame([("categories.STANDARD.max_score", "absolute", "score", 60.0, "fail", "STANDARD"), ("categories.PROMO.max_score", "absolute", "score", 20.0, "warn", "PROMO")], "rule_name string, kind string, metric string, threshold double, verdict string, category string")
+    m = _scores(spark, sf).select("repository_id", "category", F.lit(True).alias("has_baseline"), F.lit("score").alias("metric"), F.col("score").alias("actual"))
+    return policy.evaluate(m, rules, "repository_id", by=("category",))
 
 
 # --- findings
@@ -244,8 +258,8 @@ def findings_search(spark, sf):
 def apply_suppressions(spark, sf):
     f = tb.findings(spark, sf)
     rules = spark.createDataFrame([("Brand#5",)], "rule_id string")
-    ids = f.where("scan_id % 50 = 0").select(F.col("fingerprint").alias("key")).distinct()
-    inline = f.where("scan_id % 10 = 3").select("file", "rule_id", F.col("line_start").alias("line")).distinct()
+    ids = f.where("severity = 'critical' and side = 'A'").select(F.col("id").alias("key")).distinct()
+    inline = f.where("severity = 'info' and confidence = 'low'").select("file", "rule_id", F.col("line_start").alias("line")).distinct()
     out = findings.apply_suppressions(f, rules, ids, inline)
     return out.groupBy("rule_id", F.coalesce("suppression_source", F.lit("active")).alias("source")).agg(F.count("*").alias("n"), F.min("suppression_line").alias("first_line"))
 
@@ -270,8 +284,8 @@ def union_findings(spark, sf):
 @query
 def enclosing_scope(spark, sf):
     f = tb.findings(spark, sf)
-    spans = f.where("scan_id % 20 = 0").select("file", F.col("id").alias("span_id"), F.col("line_start").alias("start"), (F.col("line_end") + F.col("scan_id") % 5).alias("stop"), F.col("id").alias("ord"))
-    lines = f.where("scan_id % 20 = 1").select("file", F.col("id").alias("line_id"), F.col("line_start").alias("line")).distinct()
+    spans = f.select("file", F.col("id").alias("span_id"), F.col("line_start").alias("start"), F.col("line_end").alias("stop"), F.col("id").alias("ord"))
+    lines = f.select("file", F.col("id").alias("line_id"), F.col("line_start").alias("line")).distinct()
     return findings.enclosing_scope(lines, spans, "file")
 
 
@@ -288,7 +302,7 @@ def duplicated_pattern(spark, sf):
 @query
 def middleware_scope(spark, sf):
     e = tb.endpoints(spark, sf)
-    mw = e.where("page_id % 6 = 0").select("file", F.col("page_id").alias("mw_id"), F.when(F.col("page_id") % 12 == 0, F.lit("*")).otherwise(F.col("route_group")).alias("mount"), F.col("line").alias("mw_line"))
+    mw = e.select("file", F.col("page_id").alias("mw_id"), F.when(F.col("method") == "POST", F.col("path")).otherwise(F.col("route_group")).alias("mount"), F.col("line").alias("mw_line"))
     return findings.middleware_scope(e.select("file", F.col("page_id").alias("route_id"), "path", "line"), mw).select("file", "route_id", "mw_id")
 
 
@@ -324,6 +338,17 @@ def scope_exclusion(spark, sf):
     return tb.files(spark, sf).select("path", files.scope_excluded(F.col("path")).alias("excluded"))
 
 
+@query
+def path_exclusions(spark, sf):
+    p = F.col("path")
+    return tb.files(spark, sf).select("path", files.duplication_excluded(p).alias("no_duplication"), files.architecture_excluded(p).alias("no_architecture"))
+
+
+@query
+def search_files(spark, sf):
+    return files.search_files(tb.files(spark, sf), "SRC/", "Go").select("path", "language")
+
+
 @query
 def detect_language(spark, sf):
     return tb.files(spark, sf).select("path", t.language_of(F.col("path")).alias("detected"))
@@ -381,17 +406,17 @@ def public_endpoint(spark, sf):
 def _assignments(spark, sf):
     d = tb.read(spark, sf, "documents")
     found = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r'token = "([0-9a-f]+)"'), F.lit(1))).alias("value"))
-    return found.withColumn("entropy", t.shannon_entropy(F.col("value")))
+    return found.withColumn("bits", t.bits_per_char(F.col("value")))
 
 
 @query
-def shannon_entropy(spark, sf):
-    return _assignments(spark, sf).select("doc_id", "value", F.round("entropy", 6).alias("entropy"))
+def bits_per_char(spark, sf):
+    return _assignments(spark, sf).select("doc_id", "value", F.round("bits", 6).alias("bits"))
 
 
 @query
 def secret_candidates(spark, sf):
-    return _assignments(spark, sf).where(t.is_secret(F.lit("token"), F.col("value"), F.col("entropy"))).select("doc_id", "value")
+    return _assignments(spark, sf).where(t.is_secret(F.lit("token"), F.col("value"), F.col("bits"))).select("doc_id", "value")
 
 
 @query
@@ -423,13 +448,14 @@ def similar_candidates(spark, sf):
     return graph.similar_candidates(_functions(spark, sf), "size", "doc_id", ["lang", "statements"])
 
 
+@query
+def size_class_members(spark, sf):
+    return graph.size_class_members(_functions(spark, sf), "size", "doc_id", ["lang", "statements"])
+
+
 @query
 def length_bound_pairs(spark, sf):
-    """Members against the least of their language and line count, where lengths allow the similarity."""
-    f = _functions(spark, sf)
-    low = f.groupBy("lang", "statements").agg(F.min(F.struct("doc_id", "size")).alias("r"))
-    bound = 2.0 * F.least("size", "r.size") / (F.col("size") + F.col("r.size"))
-    return f.join(low, ["lang", "statements"]).where(F.col("doc_id") != F.col("r.doc_id")).where(bound >= 0.85).select(F.col("r.doc_id").alias("a"), F.col("doc_id").alias("b"), F.round(bound, 6).alias("bound"))
+    return graph.length_bound_pairs(_functions(spark, sf), "size", "doc_id", ["lang", "statements"])
 
 
 @query
@@ -461,9 +487,9 @@ def module_degrees(spark, sf):
 
 @query
 def bounded_cycles(spark, sf):
-    m, e = tb.modules(spark, sf)
-    groups = e.select((F.substring("src", 2, 9).cast("int") % 8).alias("g"), "src", "dst").where((F.substring("dst", 2, 9).cast("int") % 8) == F.col("g"))
-    return graph.bounded_cycles(groups, "g", depth=3, limit=10**6).groupBy("g", "length").agg(F.count("*").alias("n"))
+    """The report of one repository's module graph; no SQL searches cycles of ten modules, so tests hold it against brute force."""
+    _, e = tb.modules(spark, sf)
+    return graph.bounded_cycles(e.withColumn("repository", F.lit("all")), "repository")
 
 
 @query
@@ -481,7 +507,12 @@ def cross_layer_coupling(spark, sf):
 @query
 def dominant_pattern(spark, sf):
     m, e = tb.modules(spark, sf)
-    return graph.dominant_pattern(m, e.where("substring(src, 2) % 7 != 0 or substring(dst, 2) % 6 != 1"))
+    return graph.dominant_pattern(m, e)
+
+
+@query
+def central_config(spark, sf):
+    return graph.central_config(*tb.modules(spark, sf))
 
 
 @query
@@ -492,7 +523,7 @@ def god_objects(spark, sf):
 @query
 def module_edges(spark, sf):
     line = tb.read(spark, sf, "lineitem")
-    imports = line.where("l_quantity >= 49").select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("n"), (F.col("l_partkey") % 300).cast("string")).alias("name"))
+    imports = line.select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("n"), (F.col("l_partkey") % 300).cast("string")).alias("name"))
     part = tb.read(spark, sf, "part")
     aliases = part.select(F.concat(F.lit("n"), (F.col("p_partkey") % 250).cast("string")).alias("name"), F.concat(F.lit("m"), (F.col("p_partkey") % 90).cast("string")).alias("module"), F.col("p_partkey").alias("ord"))
     return graph.module_edges(imports, aliases)
@@ -542,15 +573,16 @@ def event_daily_counts(spark, sf):
 
 @query
 def cache_misses(spark, sf):
-    e = tb.read(spark, sf, "events").select("event_id", findings.cache_key(F.col("event_type"), F.col("user_id").cast("string")).alias("cache_key"))
-    return findings.cache_misses(e.where("event_id % 3 = 0"), e.where("event_id % 3 = 1")).select("event_id", "cache_key")
+    """All events ask by their user; what users bought from is cached."""
+    e = tb.read(spark, sf, "events").select("event_id", "event_type", findings.cache_key(F.col("user_id").cast("string")).alias("cache_key"))
+    return findings.cache_misses(e, e.where("event_type = 'purchase'")).select("event_id", "cache_key")
 
 
 @query
 def inline_directives(spark, sf):
     """Test texts have no directives, so each line that opens a licence stands for one."""
     ls = files.lines(tb.files(spark, sf).withColumnRenamed("path", "file"), ["file"])
-    as_comment = F.when(F.startswith("line", F.lit("Licensed under")), F.concat(F.lit("# entropy:ignore ENT-LOG-"), F.length("line").cast("string"), F.lit(", ENT-ERR-001"))).otherwise(F.col("line"))
+    as_comment = F.when(F.startswith("line", F.lit("Licensed under")), F.concat(F.lit("# tidemark:ignore ENT-LOG-"), F.length("line").cast("string"), F.lit(", ENT-ERR-001"))).otherwise(F.col("line"))
     return files.inline_directives(ls.withColumn("line", as_comment))
 
 

@@ -94,11 +94,11 @@ def endpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(modules, edges): suppliers and part classes as modules of layers, lines as imports."""
+    """(modules, edges): customers as modules of layers, each importing the parts that its lines name."""
     layer = lambda n: F.element_at(F.array(*map(F.lit, ("api", "service", "repository", "model", "config", "utility"))), (n % 6 + 1).cast("int"))
-    line = read(spark, sf, "lineitem")
-    s = read(spark, sf, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("module"), layer(F.col("s_suppkey")).alias("layer"), (F.col("s_suppkey") % 10 == 0).alias("is_composition_root"))
-    e = line.where("l_quantity >= 49").select(F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("m"), (F.col("l_partkey") % 100).cast("string")).alias("dst")).where("src != dst").distinct()
+    line = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    s = read(spark, sf, "customer").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("module"), layer(F.col("c_custkey")).alias("layer"), (F.col("c_mktsegment") == "MACHINERY").alias("is_composition_root"))
+    e = line.select(F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("dst")).where("src != dst").distinct()
     return s, e
 
 

@@ -25,13 +25,16 @@ def directory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def archive(spark: SparkSession, path: str) -> DataFrame:
-    """The same of ZIP files, opened where they are read; entries that leave the archive are refused."""
+    """The same of ZIP files, opened where they are read; entries that leave the archive, and archives beyond a tree's limits, are refused."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = []
             for raw in df["content"]:
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    n, size = len(z.infolist()), sum(i.file_size for i in z.infolist())
+                    if n > MAX_FILES or size > MAX_REPO_BYTES:
+                        raise ValueError(f"the archive has {n} entries of {size} bytes; the limits are {MAX_FILES} and {MAX_REPO_BYTES}")
                     for info in z.infolist():
                         p = PurePosixPath(info.filename)
                         if p.is_absolute() or ".." in p.parts:
@@ -78,7 +81,20 @@ def policy(spark: SparkSession, text: str) -> DataFrame:
                 raise ValueError(f"unknown policy key {section}.{key}")
             kind, metric, verdict = known[section, key]
             if value is not None:
-                rows.append((key, kind, metric, float(value), verdict))
+                rows.append((key, kind, metric, float(value), verdict, None))
+    per_category = {"max_score": ("absolute", "score", "fail"), "max_delta": ("delta", "score_delta", "fail"), "warn_delta": ("delta", "score_delta", "warn")}
+    for key, values in (doc.get("categories") or {}).items():
+        if key not in per_category:
+            raise ValueError(f"unknown policy key categories.{key}")
+        kind, metric, verdict = per_category[key]
+        rows += [(f"categories.{c}.{key}", kind, metric, float(v), verdict, c) for c, v in (values or {}).items() if v is not None]
+    if extra := set(doc.get("rules") or {}) - {"forbidden_rules"}:
+        raise ValueError(f"unknown policy keys {sorted('rules.' + k for k in extra)}")
     if unknown := set(doc) - {"name", "description", "enabled", "version", "score", "findings", "categories", "rules"}:
         raise ValueError(f"unknown policy keys {sorted(unknown)}")
-    return spark.createDataFrame(rows, "rule_name string, kind string, metric string, threshold double, verdict string")
+    return spark.createDataFrame(rows, "rule_name string, kind string, metric string, threshold double, verdict string, category string")
+
+
+def forbidden_rules(text: str) -> list[str]:
+    """The rules that a JSON policy document forbids, for ``compare.forbidden_rules``."""
+    return list((json.loads(text).get("rules") or {}).get("forbidden_rules") or [])
