@@ -75,3 +75,12 @@ def upsert_coalesce(old: DataFrame, new: DataFrame, key: str, columns: list[str]
 def idempotent_insert(existing: DataFrame, incoming: DataFrame, keys: list[str], *order) -> DataFrame:
     """Incoming rows whose key isn't there yet, one of each key."""
     return latest_per_key(incoming.join(existing.select(*keys).distinct(), keys, "left_anti"), keys, *order)
+
+
+def order_pairs(pairs: DataFrame, scans: DataFrame) -> DataFrame:
+    """Selected pairs (first_id, second_id) as (current_id, previous_id): the later scan is current, of equal times the first."""
+    a = scans.select(F.col("scan_id").alias("first_id"), F.col("started_at").alias("_a"))
+    b = scans.select(F.col("scan_id").alias("second_id"), F.col("started_at").alias("_b"))
+    later = F.col("_a") >= F.col("_b")
+    both = pairs.select("first_id", "second_id").join(a, "first_id").join(b, "second_id")
+    return both.select(F.when(later, F.col("first_id")).otherwise(F.col("second_id")).alias("current_id"), F.when(later, F.col("second_id")).otherwise(F.col("first_id")).alias("previous_id"))

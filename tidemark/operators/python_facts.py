@@ -223,3 +223,21 @@ def python_logging_and_secrets(files: DataFrame) -> DataFrame:
 
 def python_imports(files: DataFrame) -> DataFrame:
     return facts(files, imports, IMPORT_SCHEMA)
+
+
+STRUCTURE_SCHEMA = "file string, imports_count int, classes_count int, functions_count int, calls_count int, handlers_count int, raises_count int"
+
+
+def structure(text: str) -> list[tuple]:
+    """One row: how many imports, classes, functions, calls, handlers and raises a file has."""
+    tree = parse(text)
+    if tree is None:
+        return []
+    kinds = ((ast.ClassDef,), (ast.FunctionDef, ast.AsyncFunctionDef), (ast.Call,), (ast.ExceptHandler,), (ast.Raise,))
+    nodes = list(ast.walk(tree))
+    names = sum(len(n.names) for n in nodes if isinstance(n, (ast.Import, ast.ImportFrom)))
+    return [(names, *(sum(isinstance(n, k) for n in nodes) for k in kinds))]
+
+
+def python_structure(files: DataFrame) -> DataFrame:
+    return facts(files, structure, STRUCTURE_SCHEMA)

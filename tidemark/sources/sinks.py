@@ -15,21 +15,27 @@ def json_lines(findings: DataFrame) -> DataFrame:
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
-    """A SARIF result object for each finding; columns count from 1 there."""
+    """A SARIF result object for each finding, beside what orders it; columns count from 1 there."""
     region = [F.col("line_start").alias("startLine"), F.col("line_end").alias("endLine")]
     if "column_start" in findings.columns:
         region += [(F.col("column_start") + 1).alias("startColumn"), (F.col("column_end") + 1).alias("endColumn")]
     region = F.struct(*region)
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    return findings.orderBy("file", "line_start", "line_end", "id").select(
+    return findings.select(
+        "file", "line_start", "line_end", "id", "rule_id", "title",
         F.struct(F.col("rule_id").alias("ruleId"), pick(F.col("severity"), SARIF_LEVEL, "none").alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"), F.create_map(F.lit("primary"), F.col("fingerprint")).alias("partialFingerprints")).alias("result")
     )
 
 
 def sarif(findings: DataFrame, tool: str, version: str) -> DataFrame:
     """The whole SARIF 2.1.0 document as one JSON text; for one scan's report, as one document can't be distributed."""
-    rules = findings.groupBy("rule_id").agg(F.min("title").alias("title")).agg(F.array_sort(F.collect_list(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription")))).alias("rules"))
-    results = sarif_results(findings).agg(F.collect_list("result").alias("results"))
+    place = ["file", "line_start", "line_end", "id"]
+    first = findings.groupBy("rule_id").agg(F.min_by("title", F.struct(*place)).alias("title"))  # the title of a rule's first finding
+    rules = first.agg(F.array_sort(F.collect_list(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription")))).alias("rules"))
+    # a map can't be compared, so the order is taken from the columns before it
+    in_order = F.array_sort(F.collect_list(F.struct(*place, F.to_json("result").alias("json"))))
+    kind = sarif_results(findings).schema["result"].dataType
+    results = sarif_results(findings).agg(F.transform(in_order, lambda x: F.from_json(x["json"], kind)).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
     return rules.join(results).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("value"))
 
