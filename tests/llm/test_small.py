@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe_codec, decontaminate, html_text, near_dup, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_count
+from tests.oracle import connect, differences
+from tidemark.llm import bpe_codec, decontaminate, html_text, near_dup, pii, quality_classifier, quality_rules, queries, sharding, substring_dedup, token_count
 
 WORDS = "stone river lamp quiet orange seven walked under bright tables morning never glass finds green wood paper train over small house".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, kept boolean, shard int"
@@ -483,6 +484,12 @@ def test_subsequence():
         assert decontaminate.common_subsequence(a, b) == t[-1, -1]
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_parts_equal_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    assert differences(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLES[name]) is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -15,7 +15,7 @@ from .html_text import extract
 from .near_dup import classes
 from .pii import find_spans
 from .quality_classifier import classify
-from .quality_rules import measure
+from .quality_rules import base_measures, measure
 from .sharding import shard
 from .substring_dedup import remove_repeats
 from .token_count import count_tokens
@@ -64,6 +64,16 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op5 by themselves, which SQL can express: a classifier that accepts nothing adds no span."""
+    return find_spans(read(spark, sf_dir, "documents"), model=[-30.0]).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of op6 by themselves, which SQL can express."""
+    return base_measures(read(spark, sf_dir, "documents"), "text", ["doc_id"]).drop("_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_token_counts": op2_token_counts,
@@ -75,6 +85,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dup": op9_near_dup,
     "op10_bpe_codec": op10_bpe_codec,
+    "base_personal_data": base_personal_data,
+    "base_quality_measures": base_quality_measures,
 }
 
-ORACLES: dict[str, str] = {}
+#: No operator has SQL as a whole; these are for the parts that do.
+ORACLES: dict[str, str] = {
+    "base_personal_data": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS cards,
+    list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones FROM d)
+SELECT doc_id, len(emails) AS n_email,
+  len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INTEGER), 256) > 255)) = 0)) AS n_ip,
+  len(list_filter(cards, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN x[i]::INTEGER WHEN x[i]::INTEGER > 4 THEN 2 * x[i]::INTEGER - 9 ELSE 2 * x[i]::INTEGER END)) % 10 = 0)) AS n_card,
+  len(list_filter(phones, lambda n: n BETWEEN 9 AND 15)) AS n_phone FROM m""",
+    "base_quality_measures": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+  twice AS (SELECT doc_id, k FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+  rep AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM win JOIN twice USING (doc_id, k), range(0, 8) AS r(d) GROUP BY 1),
+  m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  n_words < 20 OR 100 * coalesce(n, 0) > 30 * n_words AS base_failed FROM m LEFT JOIN rep USING (doc_id)""",
+}
