@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
-from . import line_rules, python_endpoints, python_facts
+from . import line_rules, python_endpoints, python_facts, script_facts
 from .findings import union_findings
 from .graph import _ensure_checkpoints
 
@@ -76,6 +76,10 @@ def with_ids(findings: DataFrame) -> DataFrame:
     return findings
 
 
+def endpoint_findings(files: DataFrame) -> DataFrame:
+    return python_endpoints.endpoint_findings(python_endpoints.python_endpoints(files).unionByName(script_facts.script_endpoints(files)))
+
+
 def of(category: str, *rules: str) -> tuple[tuple[str, str], ...]:
     return tuple((r, category) for r in rules)
 
@@ -88,7 +92,8 @@ ENDPOINT_RULES = (
 def default_registry() -> Registry:
     return Registry(
         Analyzer("error-handling", "Error handling", ("python",), of("error_handling", *(f"ENT-ERR-00{i}" for i in range(1, 6))), python_facts.python_error_handling),
-        Analyzer("endpoints", "Endpoints", ("python",), ENDPOINT_RULES, lambda files: python_endpoints.endpoint_findings(python_endpoints.python_endpoints(files))),
+        Analyzer("endpoints", "Endpoints", ("python", *script_facts.LANGUAGES), ENDPOINT_RULES, endpoint_findings),
+        Analyzer("scripts", "Errors and input of scripts", script_facts.LANGUAGES, (*of("error_handling", "ENT-ERR-JS-001", "ENT-ERR-JS-002"), *of("input_validation", "ENT-INPUT-JS-001")), script_facts.script_findings),
         Analyzer("logging-and-secrets", "Logging and secrets", ("python",), of("logging_and_secrets", *(f"ENT-LOG-00{i}" for i in range(1, 5))), python_facts.python_logging_and_secrets),
         Analyzer("lines", "Line rules", tuple(sorted({r.language for r in line_rules.RULES})), tuple((r.rule_id, r.category) for r in line_rules.RULES), line_rules.find),
     )
