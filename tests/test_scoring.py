@@ -70,3 +70,21 @@ def test_partitioning_does_not_matter(spark):
     f = unit_findings(spark, 500)
     a, b = (scoring.rule_penalty(f.repartition(n), ["rule_id"]).first().penalty for n in (1, 8))
     assert math.isclose(a, b)
+
+
+def test_floor_trigger(spark):
+    rows = [
+        ("ENT-LOG-002", "high", "", "", ""), ("ENT-LOG-002", "low", "", "", ""), ("ENT-AUTH-001", "high", "x", "an admin route", "delete_it"), ("ENT-AUTH-001", "high", "x", "an admin route", "show"),
+        ("ENT-INPUT-003", "high", "SQL built", "", ""), ("ENT-INPUT-003", "high", "redirect", "", ""), ("ENT-ERR-001", "high", "sql", "admin", "delete"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, rule_id string, confidence string, title string, description string, symbol string")
+    assert [r.i for r in df.where(scoring.floor_trigger()).orderBy("i").collect()] == [0, 2, 4]
+
+
+def test_floor_counts_active_categories_and_files_in_scope(spark):
+    rows = [("r", "a", "src/a.py", "critical", "high"), ("r", "b", "src/a.py", "critical", "high"), ("r", "a", "tests/a.py", "critical", "high"), ("s", "a", "src/a.py", "high", "high"), ("t", "a", "src/a.py", "high", "medium")]
+    df = spark.createDataFrame(rows, "repo string, category string, file string, severity string, confidence string")
+    floors = scoring.severity_floor(df, ["repo"], F.lit(True), ["a"])
+    assert {r.repo: r.floor for r in floors.collect()} == {"r": 61, "s": 41, "t": 0}
+    scores = spark.createDataFrame([("r", 10.0, 1.0, 1), ("s", 90.0, 1.0, 1), ("u", 5.0, 1.0, 0)], "repo string, score double, weight double, n_findings int")
+    assert {r.repo: (r.score, r.band) for r in scoring.overall(scores, "repo", floors).collect()} == {"r": (61, "high"), "s": (90, "very_high"), "u": (5, "very_low")}

@@ -85,7 +85,7 @@ def of(category: str, *rules: str) -> tuple[tuple[str, str], ...]:
 
 
 ENDPOINT_RULES = (
-    *of("authentication_consistency", "ENT-AUTH-001", "ENT-AUTH-002"), *of("authorization_consistency", "ENT-AUTHZ-001"), *of("input_validation", "ENT-INPUT-001", "ENT-INPUT-002", "ENT-INPUT-003"),
+    *of("authentication_consistency", "ENT-AUTH-001", "ENT-AUTH-002", "ENT-AUTH-003"), *of("authorization_consistency", "ENT-AUTHZ-001", "ENT-AUTHZ-002", "ENT-AUTHZ-003"), *of("input_validation", "ENT-INPUT-001", "ENT-INPUT-002", "ENT-INPUT-003"),
 )
 
 
