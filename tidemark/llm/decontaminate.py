@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fields, prepare, table, text_rows
+from .near_dup import node_of
 
 WORD = re.compile(r"\w+")
 #: A passage has 2 * STRIDE words and starts each STRIDE words.
@@ -381,7 +382,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = table(hits(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct(), "bench-hits")
-    return docs.join(found, docs[id_col] == found["_hit"], "left_anti")
+def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item; the text decides, so rows without an id, or of one id, are told apart."""
+    keyed = docs.withColumn("_own_node", node_of(F.col(text_col).cast("string")))
+    found = table(hits(keyed, benchmark, "_own_node", text_col).select(F.col("doc_id").alias("_hit")).distinct(), "bench-hits")
+    return keyed.join(found, keyed["_own_node"] == found["_hit"], "left_anti").drop("_own_node")
