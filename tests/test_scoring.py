@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import calibration, compare, policy, scoring
+from tidemark.operators import calibration, compare, history, policy, scoring
 from tidemark.schema import band
 
 
@@ -53,6 +53,28 @@ def test_lifecycle_counts(spark, cur, prev):
     assert n("new") + n("persistent") == len(cur)
 
 
+@pytest.mark.parametrize("hot_rows", [3, 100_000])
+def test_occurrences_of_a_hot_fingerprint(spark, hot_rows):
+    rows = [("hot", i % 3 or None, 3, f"{i * 7919 % 97:02x}{i}", "low") for i in range(60)] + [("hot", 1, 3, None, "low"), ("cold", 2, 2, "a", "low"), (None, 1, 1, "b", "low")]
+    df = spark.createDataFrame(rows, "fingerprint string, line_start int, line_end int, id string, severity string")
+    first = lambda v: (v is not None, v or 0 if not isinstance(v, str) else v)
+    want = {}
+    for f in ("hot", "cold", None):
+        for n, r in enumerate(sorted((r for r in rows if r[0] == f), key=lambda r: (first(r[1]), first(r[2]), (r[3] is not None, r[3] or "")))):
+            want[f, r[3]] = n + 1
+    assert {(r.fingerprint, r.id): r.occurrence for r in compare.occurrences(df, hot_rows).collect()} == want
+    same = compare.lifecycle(df, df.where("fingerprint is not null"), hot_rows).groupBy("state").count().collect()
+    assert {r.state: r["count"] for r in same} == {"persistent": 62, "new": 1}
+
+
+def test_current_head(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 7, "c"), (None, 1, "d"), (None, None, "e")], "r int, t int, id string")
+    out = history.current_head(rows, ["r"], ["t", "id"])
+    assert out.columns == ["r", "t", "id", "is_current_head"]
+    assert {r.id for r in out.collect() if r.is_current_head} == {"c", "d"} and out.count() == 5
+    assert history.current_head(rows.limit(0), ["r"], ["t", "id"]).count() == 0
+
+
 def test_auc(spark):
     rows = spark.createDataFrame([("g", 2, True), ("g", 1, True), ("g", 1, False), ("g", 0, False), ("h", 3, True)], "k string, s int, p boolean")
     assert {r.k: r.auc for r in calibration.roc_auc(rows, "s", "p", ["k"]).collect()} == {"g": 0.875, "h": 0.5}

@@ -8,19 +8,42 @@ from pyspark.sql import functions as F
 ORDER = ["line_start", "line_end", "id"]
 
 
-def lifecycle(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Multiset match by fingerprint: the i-th occurrence meets the i-th; what is left is new or resolved.
+#: Rows of one fingerprint beyond which its numbers are made up of parts.
+HOT_ROWS = 100_000
 
-    Occurrences only need numbers inside a fingerprint, so both sides use one
-    partitioning of (fingerprint, occurrence) for the join.
-    """
 
-    def numbered(df: DataFrame, tag: str) -> DataFrame:
-        w = Window.partitionBy("fingerprint").orderBy(*ORDER)
-        return df.select("fingerprint", F.row_number().over(w).alias("occurrence"), F.col("id").alias(f"{tag}_id"), F.col("severity").alias(f"{tag}_severity"))
+def occurrences(findings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """fingerprint, id, severity and occurrence: each row's number within its fingerprint, from 1, in canonical order.
 
-    both = numbered(current, "current").join(numbered(previous, "previous"), ["fingerprint", "occurrence"], "full_outer")
-    state = F.when(F.col("previous_id").isNull(), "new").when(F.col("current_id").isNull(), "resolved").otherwise("persistent")
+    One window over fingerprints does where each is a few rows. Where one has
+    more than ``hot_rows``, its rows are numbered within cells (place and first
+    two characters of the id, which keep the canonical order) and a cell's
+    numbers start after those of the cells before it, so no task gets the whole
+    fingerprint. Missing lines and ids come first.
+    """
+    rows = findings.select("fingerprint", *ORDER, "severity")
+    number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER))
+    hot = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("fingerprint")
+    if hot.isEmpty():
+        return rows.select("fingerprint", "id", "severity", number("fingerprint").alias("occurrence"))
+    cell = ["line_start", "line_end", "_head"]
+    rows = rows.withColumn("_head", F.substring("id", 1, 2))
+    counts = rows.groupBy("fingerprint", *cell).agg(F.count("*").alias("n")).join(hot, "fingerprint", "left_semi")
+    earlier = Window.partitionBy("fingerprint").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("fingerprint").alias("_f"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
+    same = [rows["fingerprint"].eqNullSafe(starts["_f"]), *[rows[c].eqNullSafe(starts[f"_c{i}"]) for i, c in enumerate(cell)]]
+    placed = rows.join(starts, same, "left").withColumn("_cell", F.when(F.col("_start").isNotNull(), F.struct(*cell)))
+    return placed.select("fingerprint", "id", "severity", (number("fingerprint", "_cell") + F.coalesce("_start", F.lit(0))).cast("int").alias("occurrence"))
+
+
+def lifecycle(current: DataFrame, previous: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Multiset match by fingerprint: the i-th occurrence meets the i-th; what is left is new or resolved. A null fingerprint meets none."""
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return occurrences(df, hot_rows).select("fingerprint", "occurrence", F.col("id").alias(f"{tag}_id"), F.col("severity").alias(f"{tag}_severity"), F.lit(True).alias(f"in_{tag}"))
+
+    both = side(current, "current").join(side(previous, "previous"), ["fingerprint", "occurrence"], "full_outer")
+    state = F.when(F.col("in_previous").isNull(), "new").when(F.col("in_current").isNull(), "resolved").otherwise("persistent")
     return both.select("fingerprint", "occurrence", state.alias("state"), F.coalesce("current_id", "previous_id").alias("id"), F.coalesce("current_severity", "previous_severity").alias("severity"))
 
 

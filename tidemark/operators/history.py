@@ -41,10 +41,16 @@ def latest_per_key(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def current_head(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """Marks the newest row of each key and no other."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("is_current_head", F.row_number().over(w) == 1)
+def current_head(rows: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
+    """Marks the newest row of each key, that of the greatest ``newest`` columns, and no other.
+
+    The newest is found by an aggregate and joined back, so a key with a third
+    of all rows isn't sorted in one task. ``newest`` must tell the rows of a key
+    apart; rows equal in all of it share the mark. A null key is a key as well.
+    """
+    heads = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(F.struct(*newest)).alias("_newest"))
+    same = [rows[k].eqNullSafe(heads[f"_k_{k}"]) for k in keys]
+    return rows.join(heads, same).withColumn("is_current_head", F.struct(*newest).eqNullSafe(F.col("_newest"))).drop("_newest", *[f"_k_{k}" for k in keys])
 
 
 def resolve(ids: DataFrame, scans: DataFrame) -> DataFrame:

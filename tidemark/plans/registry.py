@@ -164,7 +164,7 @@ def latest_per_key(spark, sf):
 
 @query
 def current_head(spark, sf):
-    return history.current_head(tb.scans(spark, sf), ["repository_id"], F.desc("started_at"), F.desc("scan_id")).select("repository_id", "scan_id", "is_current_head")
+    return history.current_head(tb.scans(spark, sf), ["repository_id"], ["started_at", "scan_id"]).select("repository_id", "scan_id", "is_current_head")
 
 
 @query
