@@ -104,6 +104,29 @@ def test_ignore_rules(spark):
     assert {r.p: r.i for r in rows} == {"a.md": True, "docs/a.md": True, "docs/keep.md": False, "build/x": True, "x/build/y": True, "src/a/b.c": True}
 
 
+def test_discover(spark):
+    code = b"x = 1\ny = 2\n"
+    cases = {
+        ".gitignore": (b"*.log.py\nout_*/\n# no rule\n\n!keep.log.py\n", "unrecognized_language"),
+        "a/.gitignore": (b"/b.py\n!a.log.py\n", "unrecognized_language"),
+        "a/b.py": (code, "gitignored"), "a/c/b.py": (code, "analyzable"), "b.py": (code, "analyzable"),
+        "a/a.log.py": (code, "analyzable"), "a.log.py": (code, "gitignored"), "x/keep.log.py": (code, "analyzable"),
+        "out_1/z.py": (code, "gitignored"), "out_1/keep.log.py": (code, "gitignored"), "out_2.py": (code, "analyzable"),
+        "node_modules/i.js": (code, "ignored_directory"), "l.py": (code, "symlink_ignored"), "m.min.js": (code, "ignored_pattern"), "p.PNG": (code, "binary_file"), "v.svg": (code, "binary_file"), "yarn.lock": (code, "ignored_pattern"),
+        "n.py": (None, "unreadable_file"), "nul.py": (b"a\0b", "binary_content_detected"), "latin.py": (b"\xe9", "unsupported_encoding_or_unreadable"),
+        "tests/t.py": (code, "scope_exclusion"), "gen/g.py": (code, "custom_exclude"), "g.pb.py": (code, "custom_exclude"), "s.go": (code, trees.NO_ANALYZER),
+    }
+    rows = [(1, p, len(raw or b""), raw, p == "l.py") for p, (raw, _) in cases.items()] + [(2, "a.log.py", 3, b"x\n", None), (1, "big.py", 3 << 20, code, False), (None, None, None, None, None)]
+    tree = spark.createDataFrame(rows, "repo int, path string, size long, raw binary, is_symlink boolean")
+    out = trees.discover(tree, ("repo",), custom_exclusions=("gen", "*.pb.py")).collect()
+    assert {r.path: r.disposition for r in out if r.repo == 1} == {p: d for p, (_, d) in cases.items()} | {"big.py": "file_size_exceeds_limit"}
+    assert [r.disposition for r in out if r.repo == 2] == ["analyzable"] and len(out) == len(rows)
+    assert next(r.line_count for r in out if r.path == "b.py") == 2
+    loose = trees.discover(tree.where("repo = 1"), respect_gitignore=False, include_tests=True).collect()
+    assert {r.path for r in loose if r.disposition == "analyzable"} >= {"a/b.py", "tests/t.py", "gen/g.py"}
+    assert trees.discover(tree.limit(0)).count() == 0
+
+
 def test_similarity_ratio(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "c"])], "a array<string>, b array<string>")
     assert graph.sequence_ratio(df, "a", "b").first().ratio == pytest.approx(0.8)

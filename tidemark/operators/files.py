@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import extension, glob_regex, language_of, lines_of
 
-# Limits, pruned directories, binary extensions and default scope exclusions.
+# Limits, pruned directories, binary extensions, endings of generated files and default scope exclusions.
 MAX_FILE_BYTES = 2 * 1024 * 1024
 MAX_FILES = 50_000
 MAX_REPO_BYTES = 500 * 1024 * 1024
@@ -19,8 +22,10 @@ IGNORED_DIRECTORIES = (
     "coverage", ".next", "target", "vendor", ".idea", ".vscode", ".gradle", "out", ".turbo", ".cache", "__generated__",
 )
 BINARY_EXTENSIONS = (
-    ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".tar", ".jar", ".exe", ".dll", ".so", ".dylib", ".class", ".pyc", ".woff", ".woff2", ".ttf", ".mp3", ".mp4", ".bin",
+    ".png", ".jpg", ".jpeg", ".gif", ".ico", ".webp", ".svg", ".bmp", ".tiff", ".mp4", ".mov", ".avi", ".mkv", ".mp3", ".wav", ".ogg", ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar", ".xz",
+    ".pyc", ".pyo", ".so", ".dll", ".dylib", ".exe", ".bin", ".class", ".o", ".a", ".wasm", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".sqlite", ".sqlite3", ".db",
 )
+IGNORED_ENDINGS = (".min.js", ".min.css", ".generated.js", ".generated.ts", ".map", ".lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock")
 EXCLUDED_NAMES = (
     "test", "tests", "__tests__", "spec", "e2e", "integration", "examples", "example", "bench", "benchmarks", "benchmark", "docs", "docs_src", "fixtures", "__mocks__",
     "vendor", "third_party", "node_modules", "dist", "build",
@@ -87,6 +92,13 @@ def disposition(path: Column, size: Column, content: Column) -> Column:
     )
 
 
+def excluded_by(path: Column, patterns: tuple[str, ...]) -> Column:
+    """``scope_excluded`` by a caller's patterns: those with a star are globs, others names."""
+    if not patterns:
+        return F.lit(False)
+    return scope_excluded(path, [p for p in patterns if "*" not in p] or ["/"], [p for p in patterns if "*" in p])
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("n_files"))
 
@@ -178,6 +190,49 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def _above(path: Column) -> Column:
+    """The directories that hold a path, outermost first, without the root."""
+    parts = F.split(path, "/")
+    inside = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when(F.size(parts) > 1, inside).otherwise(F.array().cast("array<string>"))
+
+
+def ignore_file_rules(files: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each rule of each .gitignore file (path, content): the directory it stands in, its turn, what it matches and whether it ignores."""
+    at = files.where(F.col("path").rlike(r"(^|/)\.gitignore$")).select(*keys, F.regexp_replace("path", r"/?\.gitignore$", "").alias("base"), "content")
+    schema = T.StructType([*at.drop("content").schema.fields, *T.StructType.fromDDL("turn int, regex string, ignores boolean").fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for *where, text in df.itertuples(index=False, name=None):
+                for turn, line in enumerate((text or "").splitlines()):
+                    if line.strip() and not line.strip().startswith("#"):
+                        regex, negated = ignore_regex(line.strip())
+                        rows.append((*where, turn, regex, not negated))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return at.mapInPandas(run, schema)
+
+
+def ignored_by_files(files: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and path of the files that the .gitignore files of their tree leave out.
+
+    Every file, and every directory once, meets the rules of the directories
+    above it; the last one that matches decides, deeper files counting as later.
+    What lies in an ignored directory is out, whatever later rules say of it.
+    ``keys`` tell trees apart; null paths are never ignored.
+    """
+    known = files.where("path is not null").select(*keys, "path")
+    as_dirs = F.transform(_above(F.col("path")), lambda d: F.concat(d, F.lit("/")))
+    places = known.withColumnRenamed("path", "place").unionByName(known.select(*keys, F.explode(as_dirs).alias("place"))).distinct()
+    bases = F.concat(F.array(F.lit("")), _above(F.rtrim("place", F.lit("/"))))
+    met = places.select(*keys, "place", F.explode(bases).alias("base")).join(ignore_file_rules(files, keys), [*keys, "base"])
+    inner = F.when(F.col("base") == "", F.col("place")).otherwise(F.substring("place", F.length("base") + 2, F.length("place")))
+    last = met.where(F.rlike(inner, F.col("regex"))).groupBy(*keys, "place").agg(F.max_by("ignores", F.struct(F.length("base"), "turn")).alias("out"))
+    return known.withColumn("place", F.explode(F.concat(F.array("path"), as_dirs))).join(last.where("out"), [*keys, "place"], "left_semi").select(*keys, "path").distinct()
+
+
 def inline_directives(file_lines: DataFrame, marker: str = "tidemark:ignore") -> DataFrame:
     """Rule ids that comments on a line switch off."""
     found = F.regexp_extract("line", rf"(?:#|//)\s*{marker}\s+([A-Z0-9, -]+)", 1)

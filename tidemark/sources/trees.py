@@ -6,14 +6,16 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import language_of, lines_of
-from ..operators.files import MAX_FILES, MAX_REPO_BYTES, disposition
+from ..functions.text import extension, language_of, lines_of
+from ..operators.files import BINARY_EXTENSIONS, IGNORED_ENDINGS, MAX_FILE_BYTES, MAX_FILES, MAX_REPO_BYTES, disposition, excluded_by, ignored_by_files, pruned, scope_excluded
 
 
 def directory(spark: SparkSession, root: str) -> DataFrame:
@@ -53,6 +55,57 @@ def source_files(tree: DataFrame) -> DataFrame:
     return out.withColumn("line_count", F.size(lines_of(F.col("content"))).cast("long")).withColumn("disposition", disposition(F.col("path"), F.col("size"), F.col("content")))
 
 
+# Languages analysed by default, and why another one isn't.
+ANALYZED_LANGUAGES = ("python", "javascript", "typescript")
+NO_ANALYZER = "language_detected_but_analyzer_unavailable"
+
+
+def discover(
+    tree: DataFrame,
+    keys: tuple[str, ...] = (),
+    respect_gitignore: bool = True,
+    include_tests: bool = False,
+    ignored_endings: tuple[str, ...] = IGNORED_ENDINGS,
+    custom_exclusions: tuple[str, ...] = (),
+    languages: tuple[str, ...] = ANALYZED_LANGUAGES,
+) -> DataFrame:
+    """Every file of one or more trees (``keys`` tell them apart) with what becomes of it: the first test that holds.
+
+    ``tree`` has path, size and raw, and may have is_symlink; a null raw is an
+    unreadable file. Tests by name come first, so contents are looked at only
+    where they decide. Files that stay are ``analyzable``, or tell that their
+    language has no analyzer. ``check_limits`` is for those that were not ignored.
+    """
+    trees = list(keys)
+    text = F.col("raw").cast("string")
+    rows = tree.select(*trees, "path", "size", "raw", (F.col("is_symlink") if "is_symlink" in tree.columns else F.lit(False)).alias("_link"))
+    if respect_gitignore:
+        out = ignored_by_files(tree.select(*trees, "path", text.alias("content")), trees).withColumn("_out", F.lit(True))
+        rows = rows.join(out, [*trees, "path"], "left")
+    else:
+        rows = rows.withColumn("_out", F.lit(None).cast("boolean"))
+    path = F.col("path")
+    ends = [F.endswith(path, F.lit(e)) for e in ignored_endings]
+    tests = [
+        (pruned(path), "ignored_directory"),
+        (F.coalesce("_link", F.lit(False)), "symlink_ignored"),
+        (reduce(or_, ends, F.lit(False)), "ignored_pattern"),
+        (F.coalesce("_out", F.lit(False)), "gitignored"),
+        (extension(path).isin(*BINARY_EXTENSIONS), "binary_file"),
+        (F.col("raw").isNull(), "unreadable_file"),
+        (F.col("size") > MAX_FILE_BYTES, "file_size_exceeds_limit"),
+        (F.contains(F.substring("raw", 1, 8192), F.lit(b"\0")), "binary_content_detected"),
+        (language_of(path) == "unknown", "unrecognized_language"),
+        (~F.is_valid_utf8(text), "unsupported_encoding_or_unreadable"),
+        (F.lit(False) if include_tests else scope_excluded(path), "scope_exclusion"),
+        (excluded_by(path, custom_exclusions), "custom_exclude"),
+        (~language_of(path).isin(*languages), NO_ANALYZER),
+    ]
+    said = reduce(lambda c, t: c.when(*t), tests[1:], F.when(*tests[0])).otherwise("analyzable")
+    content = F.when(F.is_valid_utf8(text), text)
+    return rows.select(*trees, "path", "size", language_of(path).alias("language"), content.alias("content"), F.size(lines_of(content)).cast("long").alias("line_count"), said.alias("disposition"))
+
+
 def check_limits(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_REPO_BYTES) -> None:
     n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if n > max_files or size > max_bytes:
