@@ -50,6 +50,29 @@ def test_script_targets(spark):
     assert got == {"../b": ("src/b.tsx", None), "./x": ("src/a/x.ts", None), "../../lib/y": ("lib/y.js", None), "./none": (None, "./none"), "react/jsx": (None, "react"), "@org/kit/deep": (None, "@org/kit"), "..": (None, "..")}
 
 
+def test_module_targets(spark):
+    names = ["app.core.db", "app.core.user", "app.api.user", "app.api.views", "main"]
+    modules = spark.createDataFrame([(m, i) for i, m in enumerate(names)], "module string, ord int")
+    cases = [
+        ("app.api.views", None, "user", 1, "app.api.user", None),  # from . import user
+        ("app.api.views", "core.db", "connect", 2, "app.core.db", None),  # from ..core.db import connect
+        ("app.api.views", "core", "user", 2, "app.core.user", None),
+        ("app.api.views", "none", "x", 1, None, "none"),
+        ("main", "app.core.db", "connect", 0, "app.core.db", None),
+        ("main", "core", "db", 0, "app.core.db", None),  # a path and a name
+        ("main", None, "user", 0, "app.api.user", None),  # of two modules the later
+        ("main", "src.app.core.db", "x", 0, "app.core.db", None),  # by the ending
+        ("main", "os.path", "join", 0, None, "os"),
+        ("main", "", "json", 0, None, "json"),
+        ("main", None, None, 0, None, None),
+    ]
+    schema = "src string, module string, name string, level int"
+    imports = spark.createDataFrame([c[:4] for c in cases] * 2, schema)
+    got = {tuple(r)[:4]: (r.target, r.external) for r in graph.module_targets(imports, modules).collect()}
+    assert got == {c[:4]: c[4:] for c in cases}
+    assert graph.module_targets(imports, modules.limit(0)).where("target is not null").count() == 0
+
+
 def test_framework_coverage(spark):
     imports = spark.createDataFrame([("a", "fastapi"), ("b", "tornado.web"), ("b", "koa"), ("c", "os"), ("d", "flask"), ("e", "Koa"), ("e", "express")], "r string, name string")
     routes = spark.createDataFrame([("a", "fastapi"), ("a", "fastapi"), ("e", "express")], "r string, framework string")

@@ -59,6 +59,19 @@ def test_rules(spark):
     ]
 
 
+def test_dependencies(spark):
+    files = [*FILES, ("app/core/__init__.py", "from . import config\nfrom .services.s import x\n"), ("app/services/t.py", "from ..core.config import X\nfrom . import s, none\ndef f():\n    import jwt\n"), ("app/v.py", "import bad\nimport app.bad\n")]
+    df = spark.createDataFrame([(p, "python", t) for p, t in files], "path string, language string, content string")
+    got = {(r.src, r.target, r.external) for r in pm.module_dependencies(df).collect()}
+    local = {(s, t) for s, t, _ in got if t}
+    assert local == {
+        ("app.services.s", "app.core"), ("app.models.m", "app.core.config"), ("app.utils.u", "app.core.config"), ("app.services.t", "app.core.config"), ("app.services.t", "app.services.s"),
+        ("app.core", "app.services.s"),
+    }
+    assert {(s, e) for s, _, e in got if e} >= {("app.api.users", "fastapi"), ("app.big", "jwt"), ("app.v", "bad"), ("app.v", "app"), ("app.services.t", "none"), ("app.core", "config")}
+    assert ("app.services.t", None, "jwt") not in got and pm.module_dependencies(df.limit(0)).count() == 0
+
+
 def test_without_a_convention_the_environment_may_be_read(spark):
     found = pm.module_findings(modules(spark, FILES[:1] + [(f"app/x{i}.py", "") for i in range(9)]))
     assert {r.rule_id for r in found.collect()} == {"ENT-ARCH-003"}

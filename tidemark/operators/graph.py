@@ -279,6 +279,43 @@ def module_edges(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     return imports.join(last, "name").where("src != dst").select("src", "dst").distinct()
 
 
+def _endings(name: Column) -> Column:
+    """Every dotted ending of a name, the whole first."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def module_targets(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """``imports`` (src, module, name, level) with target, a known module or null, and external, the package of any other.
+
+    ``modules`` has module and ord. A module goes by all its dotted endings; of
+    two with one ending the later has it. A relative import means the module
+    named by its package, the path and the name, else without the name; an
+    absolute one its path, else path and name, else the ending registered first.
+    All of that is an equi-join on the names in question. Without a name and a
+    path an import has neither target nor package.
+    """
+    spread = modules.select("module", "ord", F.posexplode(_endings(F.col("module"))).alias("pos", "alias"))
+    aliases = spread.groupBy("alias").agg(F.max_by("module", F.struct("ord", "module")).alias("target"), F.min(F.struct("ord", "pos")).alias("first"))
+    asked = imports.select("src", "module", "name", "level").distinct()
+    path = F.when(F.col("module") != "", F.col("module"))
+    parts = F.split("src", r"\.")
+    package = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    up = F.greatest(F.col("level") - 1, F.lit(0))
+    base = F.slice(package, F.lit(1), F.when(F.size(package) >= up, F.size(package) - up).otherwise(F.size(package)))
+    within = F.array_join(F.concat(base, F.array_compact(F.array(path))), ".")
+    raw = F.coalesce(path, F.col("name"))
+    case = lambda turn, alias: F.struct(F.lit(turn).alias("turn"), alias.alias("alias"))
+    relative = F.array(case(0, F.when(within == "", F.col("name")).otherwise(F.concat_ws(".", within, "name"))), case(1, within))
+    absolute = F.concat(F.array(case(0, raw), case(1, F.concat(path, F.lit("."), "name"))), F.transform(F.coalesce(_endings(raw), F.array().cast("array<string>")), lambda a: case(2, a)))
+    tried = asked.select("*", F.inline(F.when(F.col("level") > 0, relative).otherwise(absolute)))
+    found = tried.join(aliases, "alias").groupBy("src", "module", "name", "level").agg(F.min_by("target", F.struct("turn", "first")).alias("target"))
+    keys = ("src", "module", "name", "level")
+    other = found.select("target", *[F.col(k).alias(f"_{k}") for k in keys])
+    out = asked.join(other, [asked[k].eqNullSafe(other[f"_{k}"]) for k in keys], "left")
+    return out.select(*keys, "target", F.when(F.col("target").isNull(), F.split(raw, r"\.")[0]).alias("external"))
+
+
 def not_trivial(functions: DataFrame) -> DataFrame:
     """Functions large enough to compare: two statements and ten nodes, and more for constructors."""
     return functions.where((F.col("statement_count") >= 2) & (F.col("node_count") >= 10) & ~((F.col("name") == "__init__") & (F.col("statement_count") <= 2)))

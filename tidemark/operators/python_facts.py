@@ -22,6 +22,7 @@ BROAD = frozenset(("Exception", "BaseException"))
 FUNCTION_SCHEMA = "file string, name string, line_start int, line_end int, statement_count int, node_count int, parameter_count int, exact_hash string, tokens array<string>"
 FINDING_SCHEMA = "file string, rule_id string, line_start int, line_end int, severity string, confidence string, category string, title string"
 IMPORT_SCHEMA = "file string, name string, line int, is_deferred boolean"
+IMPORTED_NAME_SCHEMA = "file string, module string, name string, level int, line int, is_deferred boolean"
 
 
 def parse(text: str) -> ast.Module | None:
@@ -101,27 +102,35 @@ def error_handling(text: str) -> list[tuple]:
     return rows
 
 
-def imports(text: str) -> list[tuple]:
-    """Imported names; those inside functions or under TYPE_CHECKING are deferred."""
+def import_nodes(text: str) -> Iterator[tuple[ast.Import | ast.ImportFrom, bool]]:
+    """Import statements; those inside functions or under TYPE_CHECKING are deferred."""
     tree = parse(text)
-    rows: list[tuple] = []
+    stack: list[tuple[ast.AST, bool]] = [(tree, False)] if tree else []
+    while stack:
+        node, late = stack.pop()
+        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            yield node, late
+        late = late or isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) or isinstance(node, ast.If) and "TYPE_CHECKING" in ast.dump(node.test)
+        stack.extend((c, late) for c in ast.iter_child_nodes(node))
+
 
-    def visit(n: ast.AST, deferred: bool) -> None:
-        stack = [(n, deferred)]
-        while stack:
-            node, late = stack.pop()
-            if isinstance(node, ast.Import):
-                rows.extend((a.name, node.lineno, late) for a in node.names)
-            elif isinstance(node, ast.ImportFrom):
-                rows.append(("." * node.level + (node.module or ""), node.lineno, late))
-            late = late or isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) or isinstance(node, ast.If) and "TYPE_CHECKING" in ast.dump(node.test)
-            stack.extend((c, late) for c in ast.iter_child_nodes(node))
-
-    if tree:
-        visit(tree, False)
+def imports(text: str) -> list[tuple]:
+    """Imported modules, with a dot for each level."""
+    rows: list[tuple] = []
+    for node, late in import_nodes(text):
+        if isinstance(node, ast.Import):
+            rows.extend((a.name, node.lineno, late) for a in node.names)
+        else:
+            rows.append(("." * node.level + (node.module or ""), node.lineno, late))
     return sorted(rows, key=lambda r: (r[1], r[0]))
 
 
+def imported_names(text: str) -> list[tuple]:
+    """Each imported name with its module (null in a plain import) and level."""
+    rows = [(getattr(n, "module", None), a.name, getattr(n, "level", 0), n.lineno, late) for n, late in import_nodes(text) for a in n.names]
+    return sorted(rows, key=lambda r: (r[3], r[1]))
+
+
 def sensitive(name: str) -> bool:
     low = name.lower()
     return not any(p in low for p in SAFE_NAME_PARTS) and any(p in low for p in SENSITIVE_NAMES)
@@ -225,6 +234,10 @@ def python_imports(files: DataFrame) -> DataFrame:
     return facts(files, imports, IMPORT_SCHEMA)
 
 
+def python_imported_names(files: DataFrame) -> DataFrame:
+    return facts(files, imported_names, IMPORTED_NAME_SCHEMA)
+
+
 STRUCTURE_SCHEMA = "file string, imports_count int, classes_count int, functions_count int, calls_count int, handlers_count int, raises_count int"
 
 

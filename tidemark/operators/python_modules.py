@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.text import short_hash
 from .files import architecture_excluded
 from .findings import union_findings
-from .graph import layer_of
+from .graph import layer_of, module_targets
 from .python_endpoints import holds, low
-from .python_facts import parse
+from .python_facts import parse, python_imported_names, python_structure
 
 # What shows each responsibility.
 ROUTE_MARKS = ("router.", "app.", "route", "blueprint.", "api_view")
@@ -117,6 +117,20 @@ def python_modules(files: DataFrame) -> DataFrame:
     return rows.withColumn("duties", F.when(business, F.array_sort(F.concat("duties", F.array(F.lit("business_logic"))))).otherwise(F.col("duties")))
 
 
+def _module_name(path: Column) -> Column:
+    """``module_of`` as a column."""
+    return F.regexp_replace(F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit(".")), r"\.__init__$", "")
+
+
+def module_dependencies(files: DataFrame) -> DataFrame:
+    """src, target and external of the imports that run when a module is loaded; of equal endings the module last by path has it."""
+    known = files.where("language = 'python'").where(~architecture_excluded(F.col("path")))
+    modules = python_structure(known).select(_module_name(F.col("file")).alias("module"), F.col("file").alias("ord"))  # files that parse
+    named = python_imported_names(known).where(~F.col("is_deferred"))
+    imports = named.select(_module_name(F.col("file")).alias("src"), "module", "name", "level")
+    return module_targets(imports, modules).select("src", "target", "external").distinct()
+
+
 def config_convention(modules: DataFrame) -> DataFrame:
     """One row: whether enough modules import a configuration module for that to be the convention.
 
