@@ -137,6 +137,8 @@ def test_html_words_on_pages(spark):
         ("x<!-- y", "x"),
         ("1 < 2 &amp z", "1 < 2 & z"),
         ("<div>" * 30000 + "deep", "deep"),
+        ("<table><tr><td><table><tr><td>a<td>b<tr><td>c</table><td>d<tr><td>e<td>f</table>", "a b c  d\ne      f"),
+        *((("<table><tr><td>" * n + "deep" + "<td>side</table>" * n), "deep" + "  " * (n == 1) + " " * (n > 1) + "side" + " side" * (n - 2) + "  side" * (n > 1)) for n in (1, 2, 9, 40, 3000)),
     ],
 )
 def test_html_layout(html, text):
@@ -302,6 +304,13 @@ def test_quality_classifier_held_out(spark):
     assert sum(r.predicted == r.quality for r in out) / len(out) >= 0.95
 
 
+def test_quality_classifier_trains_on_each_id_once(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    once, often = (quality_classifier.train(d, labels) for d in (docs, docs.unionAll(docs).unionAll(docs)))
+    assert all((a == b).all() if hasattr(a, "all") else a == b for a, b in zip(once.values(), often.values()))
+
+
 def test_quality_classifier_edges(spark, docs, labels, texts):
     rows = quality_classifier.classify(docs, labels).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)

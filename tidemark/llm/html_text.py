@@ -16,9 +16,10 @@ visible is dropped, navigation, SVG texts and fallbacks of objects included.
 
 Edge cases: null and empty pages give an empty text; unclosed tags end with the
 page, stray end tags are ignored, an unclosed comment or tag swallows the rest as
-browsers do; depth is unbounded (no recursion except for tables inside tables,
-which beyond ``TABLE_DEPTH`` are written as plain blocks). Repeated rows give
-repeated results, empty tables an empty result, other columns are ignored.
+browsers do; depth is unbounded. A cell is one line, so a table inside a cell
+gives its words in order, at whatever depth, and only the outermost table is
+aligned. Repeated rows give repeated results, empty tables an empty result,
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from pyspark.sql import types as T
 
 from .common import prepare
 
-TABLE_DEPTH = 8
 #: Levels of indent that are written; deeper text stands at this depth.
 INDENTS = 24
 #: Fixed element classes.
@@ -291,11 +291,11 @@ def wrap(s: str) -> Node:
     return node
 
 
-def table_lines(table: Node, shown: bool, depth: int) -> list[str]:
+def table_lines(table: Node, shown: bool) -> list[str]:
     """The table with every column padded to its widest cell; what spans columns isn't counted."""
     grid: list[list[tuple[str, int]]] = []
     for row in cells(table, shown):
-        out = [(" ".join(render(c, s, depth + 1).split()), n) for c, s, n in row]
+        out = [(" ".join(render(c, s, in_cell=True).split()), n) for c, s, n in row]
         if any(t for t, _ in out):
             grid.append(out)
     widths: dict[int, int] = {}
@@ -315,7 +315,7 @@ def table_lines(table: Node, shown: bool, depth: int) -> list[str]:
     return lines
 
 
-def render(root: Node, shown: bool = True, depth: int = 0) -> str:
+def render(root: Node, shown: bool = True, in_cell: bool = False) -> str:
     w = Writer()
     lists: list[int] = []  # the next number of each open ordered list, -1 for bullets
     pre = 0
@@ -351,8 +351,8 @@ def render(root: Node, shown: bool = True, depth: int = 0) -> str:
             w.block(2 if tag in SPACED and not (lists and tag in ("ul", "ol")) else 1)
         elif tag in ("td", "th"):
             w.space = True
-        if tag == "table" and depth < TABLE_DEPTH:
-            for line in table_lines(node, shown, depth):
+        if tag == "table" and not in_cell:
+            for line in table_lines(node, shown):
                 w.newline()
                 w.put(line)
             w.block(2)
