@@ -55,16 +55,16 @@ def test_lifecycle_counts(spark, cur, prev):
 
 @pytest.mark.parametrize("hot_rows", [3, 100_000])
 def test_occurrences_of_a_hot_fingerprint(spark, hot_rows):
-    rows = [("hot", i % 3 or None, 3, f"{i * 7919 % 97:02x}{i}", "low") for i in range(60)] + [("hot", 1, 3, None, "low"), ("cold", 2, 2, "a", "low"), (None, 1, 1, "b", "low")]
+    rows = [("hot", i % 3 or None, 3, f"{i * 7919 % 97:02x}{i}", "low") for i in range(60)] + [("hot", 1, 3, None, "low"), ("cold", 2, 2, "a", "low"), *((None, 1, 1, f"b{i}", "low") for i in range(5))]
     df = spark.createDataFrame(rows, "fingerprint string, line_start int, line_end int, id string, severity string")
     first = lambda v: (v is not None, v or 0 if not isinstance(v, str) else v)
     want = {}
     for f in ("hot", "cold", None):
         for n, r in enumerate(sorted((r for r in rows if r[0] == f), key=lambda r: (first(r[1]), first(r[2]), (r[3] is not None, r[3] or "")))):
             want[f, r[3]] = n + 1
-    assert {(r.fingerprint, r.id): r.occurrence for r in compare.occurrences(df, hot_rows).collect()} == want
+    assert {(r.fingerprint, r.id): r.occurrence for r in compare.occurrences(df, compare.hot_fingerprints(hot_rows, df)).collect()} == want
     same = compare.lifecycle(df, df.where("fingerprint is not null"), hot_rows).groupBy("state").count().collect()
-    assert {r.state: r["count"] for r in same} == {"persistent": 62, "new": 1}
+    assert {r.state: r["count"] for r in same} == {"persistent": 62, "new": 5}
 
 
 def test_current_head(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +14,29 @@ ORDER = ["line_start", "line_end", "id"]
 HOT_ROWS = 100_000
 
 
-def occurrences(findings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_fingerprints(hot_rows: int, *sides: DataFrame) -> DataFrame | None:
+    """The fingerprints with more rows than that on all sides together, None if there are none; one job of narrow counts."""
+    every = reduce(DataFrame.unionAll, [df.select("fingerprint") for df in sides])
+    hot = every.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(F.col("fingerprint").alias("_hot"))
+    return None if hot.isEmpty() else hot
+
+
+def occurrences(findings: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """fingerprint, id, severity and occurrence: each row's number within its fingerprint, from 1, in canonical order.
 
-    One window over fingerprints does where each is a few rows. Where one has
-    more than ``hot_rows``, its rows are numbered within cells (place and first
+    One window over fingerprints does where each is a few rows. Rows of those
+    in ``hot`` (``hot_fingerprints``) are numbered within cells (place and first
     two characters of the id, which keep the canonical order) and a cell's
     numbers start after those of the cells before it, so no task gets the whole
     fingerprint. Missing lines and ids come first.
     """
     rows = findings.select("fingerprint", *ORDER, "severity")
     number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER))
-    hot = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("fingerprint")
-    if hot.isEmpty():
+    if hot is None:
         return rows.select("fingerprint", "id", "severity", number("fingerprint").alias("occurrence"))
     cell = ["line_start", "line_end", "_head"]
     rows = rows.withColumn("_head", F.substring("id", 1, 2))
-    counts = rows.groupBy("fingerprint", *cell).agg(F.count("*").alias("n")).join(hot, "fingerprint", "left_semi")
+    counts = rows.groupBy("fingerprint", *cell).agg(F.count("*").alias("n")).join(hot, F.col("fingerprint").eqNullSafe(F.col("_hot")), "left_semi")
     earlier = Window.partitionBy("fingerprint").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("fingerprint").alias("_f"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
     same = [rows["fingerprint"].eqNullSafe(starts["_f"]), *[rows[c].eqNullSafe(starts[f"_c{i}"]) for i, c in enumerate(cell)]]
@@ -38,9 +46,10 @@ def occurrences(findings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def lifecycle(current: DataFrame, previous: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Multiset match by fingerprint: the i-th occurrence meets the i-th; what is left is new or resolved. A null fingerprint meets none."""
+    hot = hot_fingerprints(hot_rows, current, previous)
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return occurrences(df, hot_rows).select("fingerprint", "occurrence", F.col("id").alias(f"{tag}_id"), F.col("severity").alias(f"{tag}_severity"), F.lit(True).alias(f"in_{tag}"))
+        return occurrences(df, hot).select("fingerprint", "occurrence", F.col("id").alias(f"{tag}_id"), F.col("severity").alias(f"{tag}_severity"), F.lit(True).alias(f"in_{tag}"))
 
     both = side(current, "current").join(side(previous, "previous"), ["fingerprint", "occurrence"], "full_outer")
     state = F.when(F.col("in_previous").isNull(), "new").when(F.col("in_current").isNull(), "resolved").otherwise("persistent")
