@@ -8,15 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import piece_codec
 from .bpe_codec import digests, encode_decode
 from .common import read
 from .decontaminate import hits
 from .html_text import extract
 from .near_dup import classes
+from .periodic_runs import find_runs, plant_repeats, summaries
 from .pii import find_spans
 from .quality_classifier import classify
 from .quality_rules import base_measures, measure
 from .sharding import shard
+from .spelling_variants import count_words, group_variants
 from .substring_dedup import remove_repeats
 from .token_count import count_tokens
 
@@ -64,6 +67,18 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(read(spark, sf_dir, "documents"), drop_every=199))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries(find_runs(plant_repeats(read(spark, sf_dir, "documents"))))
+
+
 def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of op5 by themselves, which SQL can express: a classifier that accepts nothing adds no span."""
     return find_spans(read(spark, sf_dir, "documents"), model=[-30.0]).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -85,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dup": op9_near_dup,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_piece_codec": op11_piece_codec,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
     "base_personal_data": base_personal_data,
     "base_quality_measures": base_quality_measures,
 }
