@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ignoring_case
+from .intervals import beginnings, later_pairs, narrowest_enclosing
 
 
 def select_findings(findings: DataFrame, file_part: str | None = None, **equal) -> DataFrame:
@@ -68,12 +69,10 @@ def enclosing_scope(lines: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """The narrowest span around each line; of equals the first declared.
 
     ``lines`` has (key, line_id, line), ``spans`` (key, span_id, start, stop, ord).
-    Distinct places meet distinct extents, so many findings on one line of a hot
-    file are one row until the last join.
+    Distinct places meet the blocks that make up the spans by an equi-join, so
+    neither a hot file nor many findings on one line multiply.
     """
-    extents = spans.groupBy(F.col(key).alias("_key"), "start", "stop").agg(F.min_by("span_id", "ord").alias("span_id"), F.min("ord").alias("ord"))
-    inside = (F.col(key) == F.col("_key")) & F.col("line").between(F.col("start"), F.col("stop"))
-    found = lines.select(key, "line").distinct().join(extents, inside).groupBy(key, "line").agg(F.min_by("span_id", F.struct(F.col("stop") - F.col("start"), "ord")).alias("scope"))
+    found = narrowest_enclosing(lines, spans, key)
     return lines.join(found, [key, "line"], "left").select(key, "line_id", "line", "scope")
 
 
@@ -96,10 +95,17 @@ def middleware_scope(routes: DataFrame, middleware: DataFrame) -> DataFrame:
     """Middleware of the same file that stands before a route and whose mount covers it.
 
     ``routes`` has (file, route_id, path, line), ``middleware`` (file, mw_id, mount, mw_line).
+    A mount is the route's path or one of its beginnings; one that covers all
+    has a key of its own. Both that and the order of lines are equalities.
     """
-    covers = F.col("mount").isNull() | (F.col("mount") == "*") | (F.col("path") == F.col("mount")) | F.startswith("path", F.concat(F.col("mount"), F.lit("/")))
-    m = middleware.withColumnRenamed("file", "_f")
-    return routes.join(m, (routes["file"] == m["_f"]) & (routes["line"] > m["mw_line"]) & covers).drop("_f")
+    everything = F.col("mount").isNull() | (F.col("mount") == "*")
+    keyed = middleware.withColumn("_mount", F.when(~everything, F.col("mount"))).withColumn("_all", everything)
+    own = F.transform(F.coalesce(beginnings(F.col("path")), F.array().cast("array<string>")), lambda p: F.struct(F.lit(False).alias("_all"), p.alias("_mount")))
+    for_all = F.array(F.struct(F.lit(True).alias("_all"), F.lit(None).cast("string").alias("_mount")))
+    spread = routes.select("*", F.inline(F.concat(for_all, own)))
+    text = F.coalesce("_mount", F.lit(""))
+    pairs = later_pairs(spread.withColumn("_mount", text), keyed.withColumn("_mount", text), ["file", "_all", "_mount"], "line", "mw_line")
+    return pairs.drop("_all", "_mount")
 
 
 def cache_key(*parts: Column) -> Column:
