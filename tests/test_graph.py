@@ -6,7 +6,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import files, graph
+from tidemark.operators import files, graph, reachability
 from tidemark.plans import registry
 from tidemark.sources import config, sinks, trees
 
@@ -16,14 +16,73 @@ def all_cycles(pairs, depth):
     return sorted((c for n in range(2, depth + 1) for c in permutations(nodes, n) if c[0] == min(c) and all((a, b) in pairs for a, b in zip(c, (*c[1:], c[0])))), key=lambda c: (len(c), c))
 
 
-def test_cycles_equal_brute_force():
+@pytest.mark.parametrize(("hub", "limit"), [(100_000, 2), (0, 10**6)])
+def test_graphs_equal_brute_force(spark, hub, limit):
+    """Many small graphs at once; with ``hub`` 0 every node is joined in parts."""
     rng = random.Random(3)
-    for _ in range(60):
+    graphs, rows = {}, []
+    for g in range(40):
         nodes = "abcdefg"[: rng.randrange(2, 8)]
-        pairs = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.randrange(1, 16))}
-        want = all_cycles({p for p in pairs if p[0] != p[1]}, 5)
-        assert graph.shortest_cycles(pairs, 5, 10**6) == want
-        assert graph.shortest_cycles(pairs, 5, 2) == want[:2]
+        graphs[g] = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.randrange(1, 16))}
+        rows += [(g, *p) for p in graphs[g]] * 2
+    edges = spark.createDataFrame([*rows, (None, "a", "b"), (1, None, "a")], "g int, src string, dst string").repartition(4).cache()
+    got = {}
+    for r in reachability.bounded_cycles(edges.where("g is not null and src is not null"), "g", 4, limit, hub).collect():
+        got.setdefault(r.g, []).append((r.length, tuple(r.cycle.split("->"))))
+    for g, pairs in graphs.items():
+        want = all_cycles({p for p in pairs if p[0] != p[1]}, 4)[:limit]
+        assert sorted(got.get(g, [])) == [(len(c), c) for c in want]
+    strong, weak = {}, {}
+    for g, pairs in graphs.items():
+        reach = {(a, b) for a, b in pairs}
+        near = reach | {(b, a) for a, b in pairs}
+        for k in "abcdefg":
+            for links in (reach, near):
+                links |= {(a, b) for a, x in links if x == k for y, b in links if y == k}
+        for a in {x for p in pairs for x in p}:
+            same = sorted(b for b in "abcdefg" if b == a or {(a, b), (b, a)} <= reach)
+            if len(same) > 1:
+                strong[g, a] = same[0]
+            weak[f"{g}{a}"] = f"{g}" + min([a, *(b for b in "abcdefg" if (a, b) in near)])
+    if hub:
+        assert {(r.g, r.module): r.component for r in reachability.strong_components(edges, "g", hub).collect()} == strong
+    named = edges.where("g is not null").select(F.concat("g", "src").alias("a"), F.concat("g", "dst").alias("b"))
+    got = reachability.connected_components(named, "a", "b", hub).collect()
+    assert len(got) == len(weak) and {r.node: r.component for r in got} == weak
+
+
+def test_long_ring_and_star(spark):
+    """A ring of 60 with a chain behind it, and a star, in few rounds."""
+    n = 60
+    ring = spark.range(n).select(F.lit("r").alias("g"), F.col("id").cast("string").alias("src"), ((F.col("id") + 1) % n).cast("string").alias("dst"))
+    chain = spark.range(n, n + 20).select(F.lit("r").alias("g"), F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    got = reachability.strong_components(ring.union(chain), "g").groupBy("component").count().collect()
+    assert [(r.component, r["count"]) for r in got] == [("0", n)]
+    star = spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    line = spark.range(10_000, 10_100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    parts = {r.component: r["count"] for r in reachability.connected_components(star.union(line), "a", "b", hub=1000).groupBy("component").count().collect()}
+    assert parts == {0: 5000, 10_000: 101}
+    empty = star.limit(0)
+    assert reachability.connected_components(empty, "a", "b").count() == 0 and reachability.strong_components(ring.limit(0), "g").count() == 0
+
+
+def test_a_hub_is_dealt_out(spark):
+    """A third of all links at one node: no task of the join gets over twice the median."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("low"), (F.col("id") + 100_000).alias("high"))
+    heavy = reachability.hubs(rows, "low", 60_000, 1000)
+    assert heavy == [0]
+    values = rows.select(F.col("low").alias("u")).distinct().withColumn("m", F.lit(1))
+    with_conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in with_conf}
+    for k, v in with_conf.items():
+        spark.conf.set(k, v)
+    try:
+        joined = reachability.join_values(rows, "low", "high", values, "u", heavy)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 60_000 and sizes[-1] < 2 * sizes[len(sizes) // 2]
 
 
 def test_cycles_query_is_the_shortest_of_the_whole_graph(spark):
@@ -37,12 +96,6 @@ def test_cycles_query_is_the_shortest_of_the_whole_graph(spark):
     assert sorted(got[:100]) == sorted("->".join(c) for c in (two + three)[:100]) or len(two + three) < 100
 
 
-def test_strong_components(spark):
-    edges = spark.createDataFrame([("g", *e) for e in ("ab", "bc", "ca", "cd", "de", "ed", "ff")], "g string, src string, dst string")
-    got = {(r.module, r.component) for r in graph.strong_components(edges, "g").collect()}
-    assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
-
-
 def test_script_targets(spark):
     paths = spark.createDataFrame([("src/a/x.ts",), ("src/b/index.js",), ("src/b.tsx",), ("lib/y.js",)], "path string")
     asked = [("src/a/x.ts", m) for m in ("../b", "./x", "../../lib/y", "./none", "react/jsx", "@org/kit/deep", "..")]

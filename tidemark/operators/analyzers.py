@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import short_hash
 from . import line_rules, python_endpoints, python_facts, python_modules, script_facts
 from .findings import union_findings
-from .graph import _ensure_checkpoints
+from .reachability import ensure_checkpoints
 
 
 class Analyzer(NamedTuple):
@@ -59,7 +59,7 @@ class Registry:
             try:
                 rows = with_ids(a.run(files))
                 if eager:
-                    _ensure_checkpoints(rows)
+                    ensure_checkpoints(rows)
                     rows = rows.checkpoint()
                 found.append(rows)
             except Exception as e:  # noqa: BLE001 - whatever one analyzer raises is its own failure

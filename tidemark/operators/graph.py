@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import reachability
+from .reachability import connected_components, ensure_checkpoints, strong_components  # noqa: F401
+
 # Fixed values of the duplicate and cycle rules.
 BUCKET = 6
 MIN_SIMILARITY = 0.85
@@ -78,38 +80,6 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.mapInPandas(run, T.StructType([*pairs.schema.fields, T.StructField("ratio", T.DoubleType())]))
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node and component (least node): labels spread along edges and jump until none changes.
-
-    Each round is cut from the last by a checkpoint, so lineage doesn't grow and lost executors cost one round.
-    """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u is not null and v is not null")
-    _ensure_checkpoints(edges)
-    both = both.checkpoint()
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("c"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
-        new = lower.join(jump, "label", "left").select("node", "old", F.coalesce("further", "label").alias("component")).checkpoint()
-        labels = new.select("node", "component")
-        if new.where("old != component").limit(1).count() == 0:
-            return labels
-
-
-def _ensure_checkpoints(df: DataFrame) -> None:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if where is None:
-            import tempfile
-
-            where = "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoints-")
-        sc.setCheckpointDir(where)
-
-
 def cluster_summary(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of each component: representative, size, files, mean similarity of its member pairs (1.0 for pairs not compared) and rule.
 
@@ -139,90 +109,9 @@ def degrees(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return modules.select("module").join(out, "module", "left").join(into, "module", "left").na.fill(0, ["fan_in", "fan_out"])
 
 
-def components_of(pairs: set[tuple[str, str]]) -> dict[str, str]:
-    """The least member of the strongly connected component of every node of one graph."""
-    adj: dict[str, list[str]] = {}
-    back: dict[str, list[str]] = {}
-    for s, d in sorted(pairs):
-        adj.setdefault(s, []).append(d)
-        back.setdefault(d, []).append(s)
-    order, seen = [], set()
-    for root in sorted(adj):
-        stack = [(root, iter(adj.get(root, ())))] if root not in seen else []
-        seen.add(root)
-        while stack:
-            for nxt in stack[-1][1]:
-                if nxt not in seen:
-                    seen.add(nxt)
-                    stack.append((nxt, iter(adj.get(nxt, ()))))
-                    break
-            else:
-                order.append(stack.pop()[0])
-    out: dict[str, str] = {}
-    done = set()
-    for root in reversed(order):
-        members, stack = [], [root] if root not in done else []
-        done.add(root)
-        while stack:
-            at = stack.pop()
-            members.append(at)
-            for b in back.get(at, ()):
-                if b not in done:
-                    done.add(b)
-                    stack.append(b)
-        out |= dict.fromkeys(members, min(members, default=root))
-    return out
-
-
-def shortest_cycles(pairs: set[tuple[str, str]], depth: int, limit: int) -> list[tuple[str, ...]]:
-    """Elementary cycles from their least node, by length and then by name, until ``limit`` are found.
-
-    Lengths are tried one after the other; a path goes on only to nodes from
-    which its start can still be reached in the steps that are left.
-    """
-    component = components_of(pairs)
-    adj: dict[str, list[str]] = {}
-    back: dict[str, list[str]] = {}
-    for s, d in sorted(pairs):
-        if s != d and component[s] == component[d]:
-            adj.setdefault(s, []).append(d)
-            back.setdefault(d, []).append(s)
-    found: list[tuple[str, ...]] = []
-    for length in range(2, depth + 1):
-        for start in sorted(adj):
-            steps, edge = {start: 0}, [start]
-            for n in range(1, length):
-                edge = [b for x in edge for b in back.get(x, ()) if b > start and b not in steps and not steps.update({b: n})]
-            stack = [(start, (start,))]
-            while stack:
-                at, path = stack.pop()
-                left = length - len(path)
-                if not left:
-                    if start in adj.get(at, ()):
-                        found.append(path)
-                        if len(found) >= limit:
-                            return found
-                    continue
-                for nxt in reversed(adj.get(at, ())):
-                    if nxt > start and steps.get(nxt, length) <= left and nxt not in path:
-                        stack.append((nxt, (*path, nxt)))
-    return found
-
-
 def bounded_cycles(edges: DataFrame, group: str, depth: int = MAX_DEPTH, limit: int = MAX_CYCLES) -> DataFrame:
-    """Elementary cycles of each graph, rotated to their least member, shortest first, at most ``limit`` a graph.
-
-    The graph of one repository's modules is small; each is searched whole by
-    one Python call, inside its strongly connected components only. The limit is
-    the report's, not a guard: the cycles left out are the longer ones.
-    """
-
-    def cycles(df: pd.DataFrame) -> pd.DataFrame:
-        found = shortest_cycles(set(zip(df["src"], df["dst"])), depth, limit)
-        return pd.DataFrame({group: [df[group].iloc[0]] * len(found), "cycle": pd.Series(["->".join(c) for c in found], dtype=object), "length": [len(c) for c in found]})
-
-    kind = dict(edges.dtypes)[group]
-    return edges.select(group, "src", "dst").distinct().groupBy(group).applyInPandas(cycles, f"{group} {kind}, cycle string, length long")
+    """Elementary cycles of each graph, rotated to their least member, shortest first, at most ``limit`` a graph."""
+    return reachability.bounded_cycles(edges, group, depth, limit)
 
 
 def with_layers(edges: DataFrame, modules: DataFrame) -> DataFrame:
@@ -321,18 +210,6 @@ def not_trivial(functions: DataFrame) -> DataFrame:
     return functions.where((F.col("statement_count") >= 2) & (F.col("node_count") >= 10) & ~((F.col("name") == "__init__") & (F.col("statement_count") <= 2)))
 
 
-def strong_components(edges: DataFrame, group: str) -> DataFrame:
-    """module and component (its least module) of the strongly connected components of each graph, single modules left out."""
-
-    def search(df: pd.DataFrame) -> pd.DataFrame:
-        found = components_of(set(zip(df["src"], df["dst"])))
-        size = Counter(found.values())
-        rows = [(m, c) for m, c in found.items() if size[c] > 1]
-        return pd.DataFrame({group: [df[group].iloc[0]] * len(rows), "module": pd.Series([r[0] for r in rows], dtype=object), "component": pd.Series([r[1] for r in rows], dtype=object)})
-
-    return edges.select(group, "src", "dst").groupBy(group).applyInPandas(search, f"{group} {dict(edges.dtypes)[group]}, module string, component string")
-
-
 def central_config(modules: DataFrame, edges: DataFrame, least: int = 3, share: float = 0.15) -> DataFrame:
     """One row: how many modules depend on a configuration module, of how many, and whether that is a convention."""
     config = modules.where((F.col("layer") == "config") | F.lower("module").rlike("config|settings")).select(F.col("module").alias("dst"))
