@@ -145,6 +145,8 @@ SQL = {
     "connected_components": "SELECT f.doc_id AS node, d.low AS component FROM v_func f JOIN v_dup d USING (exact_hash)",
     "cluster_summary": "SELECT d.low AS component, first(f.doc_id ORDER BY f.file, f.doc_id) AS representative, count(*) AS members, count(DISTINCT f.file) AS files, 1.0::DOUBLE AS avg_similarity, true AS is_exact, CASE WHEN count(*) >= 3 THEN 'ENT-DUP-005' WHEN count(DISTINCT f.file) > 1 THEN 'ENT-DUP-004' ELSE 'ENT-DUP-001' END AS rule_id FROM v_func f JOIN v_dup d USING (exact_hash) GROUP BY 1",
     "boilerplate": "WITH s AS (SELECT *, lang || '-' || statements AS shape FROM v_func) SELECT shape, count(*) AS members, count(DISTINCT file) AS files FROM s WHERE shape IN (SELECT shape FROM s GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT file) >= 2) AND exact_hash NOT IN (SELECT exact_hash FROM v_dup) GROUP BY 1 HAVING count(*) >= 3",
+    "short_cycles": "WITH RECURSIVE c AS (SELECT 'm' || c_custkey AS module, c_nationkey AS nation FROM customer), e AS (SELECT a.nation, v.src, v.dst FROM v_edge v JOIN c a ON a.module = v.src JOIN c b ON b.module = v.dst WHERE a.nation = b.nation), r AS (SELECT nation, src AS s, [src, dst] AS path, dst AS last FROM e WHERE dst > src UNION ALL SELECT r.nation, s, list_append(path, e.dst), e.dst FROM r JOIN e ON e.nation = r.nation AND e.src = r.last WHERE e.dst > s AND NOT list_contains(path, e.dst) AND len(path) < 4) SELECT nation, array_to_string(path, '->') AS cycle, len(path)::BIGINT AS length FROM r JOIN e USING (nation) WHERE e.src = r.last AND e.dst = r.s QUALIFY row_number() OVER (PARTITION BY nation ORDER BY len(path), path) <= 100",
+    "strong_components": "WITH RECURSIVE c AS (SELECT 'm' || c_custkey AS module, c_nationkey AS nation FROM customer), e AS (SELECT a.nation, v.src, v.dst FROM v_edge v JOIN c a ON a.module = v.src JOIN c b ON b.module = v.dst WHERE a.nation = b.nation), r AS (SELECT nation, src AS a, dst AS b FROM e UNION SELECT r.nation, r.a, e.dst FROM r JOIN e ON e.nation = r.nation AND e.src = r.b) SELECT x.nation, x.a AS module, min(x.b) AS component FROM r x JOIN r y ON x.nation = y.nation AND x.a = y.b AND x.b = y.a GROUP BY 1, 2",
     "module_degrees": "SELECT m.module, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) AS fan_in FROM v_module m LEFT JOIN (SELECT src AS module, count(*) AS n FROM v_edge GROUP BY 1) o USING (module) LEFT JOIN (SELECT dst AS module, count(*) AS n FROM v_edge GROUP BY 1) i USING (module)",
     "layer_violations": "SELECT src, count(DISTINCT dst) AS n_repositories FROM v_ledge WHERE src_layer = 'api' AND dst_layer = 'repository' GROUP BY 1",
     "cross_layer_coupling": "SELECT src, count(DISTINCT dst_layer) AS n_layers FROM v_ledge WHERE NOT is_root GROUP BY 1 HAVING count(DISTINCT dst_layer) >= 4",
@@ -178,6 +180,8 @@ def full(sql: str) -> str:
     if not need:
         return sql
     views = ", ".join(f"{v} AS ({VIEWS[v].strip()})" for v in need)
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {sql[15:]}"
     return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
 
 

@@ -492,6 +492,17 @@ def bounded_cycles(spark, sf):
     return graph.bounded_cycles(e.withColumn("repository", F.lit("all")), "repository")
 
 
+@query
+def short_cycles(spark, sf):
+    """Cycles of up to four modules inside a nation."""
+    return graph.bounded_cycles(tb.nation_edges(spark, sf), "nation", depth=4)
+
+
+@query
+def strong_components(spark, sf):
+    return graph.strong_components(tb.nation_edges(spark, sf), "nation")
+
+
 @query
 def layer_violations(spark, sf):
     m, e = tb.modules(spark, sf)

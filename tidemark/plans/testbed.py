@@ -102,6 +102,14 @@ def modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return s, e
 
 
+def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports among the modules of one nation, each nation a graph of its own."""
+    c = read(spark, sf, "customer").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("module"), F.col("c_nationkey").alias("nation"))
+    _, e = modules(spark, sf)
+    e = e.join(c.withColumnRenamed("module", "src"), "src").join(c.withColumnRenamed("module", "dst").withColumnRenamed("nation", "other"), "dst")
+    return e.where("nation = other").select("nation", "src", "dst")
+
+
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     d, lab = read(spark, sf, "documents"), read(spark, sf, "labels")
     return d.select("doc_id", "lang", "source", "n_chars").join(lab, "doc_id").select("doc_id", "lang", "source", (F.col("n_chars") % 101).cast("int").alias("score"), (F.col("quality") == 1).alias("positive"), "quality", "toxic")
