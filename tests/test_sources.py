@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
-from tidemark.operators import files, findings, graph, line_rules, python_facts
+from tidemark.operators import duplicates, files, findings, graph, line_rules, python_facts
 from tidemark.sources import sinks, trees
 from tidemark.streaming import events
 
@@ -129,7 +129,7 @@ def test_discover(spark):
 
 def test_similarity_ratio(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "c"])], "a array<string>, b array<string>")
-    assert graph.sequence_ratio(df, "a", "b").first().ratio == pytest.approx(0.8)
+    assert duplicates.sequence_ratio(df, "a", "b").first().ratio == pytest.approx(0.8)
 
 
 def test_inline_suppression(spark):

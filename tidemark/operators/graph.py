@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import reachability
 from .reachability import connected_components, ensure_checkpoints, strong_components  # noqa: F401
@@ -67,19 +64,6 @@ def length_bound_pairs(functions: DataFrame, size: str, member: str, same: list[
     return _class_pairs(size_classes(functions.where(F.col(size) > 0), size, member, same), same, F.floor(F.log(F.col("size") + F.lit(0.0)) / F.lit(math.log(ratio * 1.0001))))
 
 
-def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ratio: difflib's, which depends on the order of its arguments."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
-        for df in batches:
-            df["ratio"] = [SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(df[a], df[b])]
-            yield df
-
-    return pairs.mapInPandas(run, T.StructType([*pairs.schema.fields, T.StructField("ratio", T.DoubleType())]))
-
-
 def cluster_summary(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of each component: representative, size, files, mean similarity of its member pairs (1.0 for pairs not compared) and rule.
 
