@@ -20,9 +20,11 @@ cross documents.
    a smaller doc_id.
 4. Repeats are gathered by document and cut from its bytes.
 
-A fingerprint has 80 bits beside those that choose its group, so two different
-runs are taken for one with a probability of under 2**-50 on any real corpus.
-The filter only saves work: where it is full, all runs are sent, 17 bytes for
+Runs of one anchor are told apart by 64 bits of their bytes. An anchor with k
+differing runs takes two of them for one with a probability of about k * k /
+2**65: one in a million for six million runs, about as many as ``hot`` lets
+through at 100 TB.
+The filter only saves work: where it is full, all runs are sent, 20 bytes for
 each 16 bytes of text. Hot anchors (``hot`` runs and more, of which there are at
 most 2**20) and anchors of over ``split`` differing runs are dealt window by
 window, so no anchor's runs fill a task or one suffix array.
@@ -71,7 +73,7 @@ WEIGHTS = np.random.default_rng(20240902).integers(1, 1 << 63, (2, LENGTH), dtyp
 SIGN = np.uint64(1 << 63)
 #: Widths in bytes of the columns of runs (anchor, run, doc, key, start, windows, place of the anchor), spans (doc, key, start, stop)
 #: and strings (anchor, doc, key, start, windows, place of the anchor, whether to split).
-RUN = (5, 5, 8, 8, 4, 1, 1)
+RUN = (5, 8, 8, 8, 4, 1, 1)
 SPANS = (8, 8, 4, 4)
 REPS = (8, 8, 8, 4, 1, 1, 1)
 
@@ -475,7 +477,7 @@ def shared_runs(docs: DataFrame, bits: bytes, hot: np.ndarray, sizes: Sizes) ->
                         h, same, first = np.r_[h[~is_hot], h1], np.r_[same[~is_hot], h2], np.r_[first[~is_hot], each]
                         n, off = np.r_[n[~is_hot], np.ones(len(each), np.int64)], np.r_[off[~is_hot], np.zeros(len(each), np.int64)]
                     row = rows[first]
-                    found.append([h, same & np.uint64((1 << 40) - 1), doc[row], key[row], (first - shift[first]).astype(np.uint64), n.astype(np.uint64), off.astype(np.uint64)])
+                    found.append([h, same, doc[row], key[row], (first - shift[first]).astype(np.uint64), n.astype(np.uint64), off.astype(np.uint64)])
                     size += len(h)
                     if size >= GATHER:
                         yield send()
@@ -568,7 +570,7 @@ def strings_of(texts: DataFrame, reps: DataFrame, sizes: Sizes) -> DataFrame:
             inside = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             h1, h2 = window_hashes(a, np.repeat(begin, m) + inside)
             one, none = np.ones(len(h1), np.uint64), np.zeros(len(h1), np.uint64)
-            rows = [h1, h2 & np.uint64((1 << 40) - 1), np.repeat(doc[which], m), np.repeat(key[which], m), np.repeat(start[which], m) + inside.astype(np.uint64), one, none]
+            rows = [h1, h2, np.repeat(doc[which], m), np.repeat(key[which], m), np.repeat(start[which], m) + inside.astype(np.uint64), one, none]
             out += [(p, True, b, None) for p, b in dealt(deal(h1, sizes.parts), RUN, rows)]
         columns = list(zip(*out)) if out else [[]] * 4
         return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=STRINGS.names)
