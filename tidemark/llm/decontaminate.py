@@ -4,9 +4,10 @@ Documents are read as overlapping passages over the benchmark's content terms. A
 randomised range finder with one power step over the TF-IDF passages of the
 whole corpus, and of the benchmark at equal mass, gives a latent space;
 passages and benchmark items that are near in it by cosine are candidates. Terms
-of many passages have no weight in that space, so a part of an item that has any
-is looked up by its terms instead: it is a candidate of every passage that has
-enough of them for a hit, however common they are. A candidate is a hit if the
+of many passages have no weight in that space. A part of an item of which those
+terms alone would make a hit can't rely on the cosine, so it is looked up by its
+terms: it is a candidate of every passage that has enough of them, however
+common they are. A candidate is a hit if the
 longest common subsequence of content terms covers ``COVER`` of the item, or
 ``COVER_WITH_ANSWER`` and the item's answer (its last ``ANSWER`` content terms)
 is there as well, in order. An item of over ``STRIDE`` words is looked for in
@@ -269,9 +270,9 @@ def judge(passage: list[int], item: list[int]) -> tuple[float, bool]:
     return common_subsequence(item, passage) / len(item), common_subsequence(answer, passage) == len(answer)
 
 
-def index_of(bench: Bench, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Parts with a term without weight, the terms that a hit of each needs, and by term: where its entries start, their parts (by order) and counts."""
-    which = np.array([c for c, (_, s, _, _) in enumerate(bench.parts) if any(idf[t] <= 0 for t in s)], np.int64)
+def index_of(bench: Bench, idf: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts whose terms without weight are enough for a hit (or all), the terms that a hit of each needs, and by term: where its entries start, their parts (by order) and counts."""
+    which = np.array([c for c, (_, s, _, less) in enumerate(bench.parts) if every or sum(idf[t] <= 0 for t in s) >= less * len(s) - 1e-9], np.int64)
     need = np.array([bench.parts[c][3] * len(bench.parts[c][1]) for c in which])
     entries = sorted((t, k, n) for k, c in enumerate(which) for t, n in Counter(bench.parts[c][1]).items())
     term, part, times = np.array(entries, np.int64).reshape(-1, 3).T
@@ -300,7 +301,7 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
 
 
-def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> DataFrame:
+def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType, by_terms: bool = False) -> DataFrame:
     bench = Bench(items)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", item_type), *fields(("cosine", T.DoubleType()), ("cover", T.DoubleType()), ("answer", T.BooleanType())).fields])
     spark = docs.sparkSession
@@ -310,7 +311,7 @@ def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> Da
     sparse = table(sparse_documents(docs, bench.terms), "bench-terms")
     count, df = passage_counts(sparse, v)
     idf = np.where(df <= max(20, COMMON_PASSAGES * count), np.log((count + 1) / (df + 1)) + 1, 0.0)
-    index = index_of(bench, idf)
+    index = index_of(bench, idf, by_terms)
     basis = latent_basis(sparse, bench, idf, count)
     latent = unit(dense(*bench_rows(bench, idf), len(bench.parts), basis))
     held = spark.sparkContext.broadcast((idf, basis, latent, bench.parts, index))
@@ -364,8 +365,12 @@ def block_hits(docs: DataFrame, items: list[tuple], item_type: T.DataType) -> Da
     return sparse.mapInArrow(run, schema)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, cosine, cover and answer of every document that holds a benchmark item."""
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", by_terms: bool = False) -> DataFrame:
+    """doc_id, item_id, cosine, cover and answer of every document that holds a benchmark item.
+
+    ``by_terms`` takes as candidates all passages with enough terms of a part,
+    whatever their cosine: slow and without loss, to measure the recall against.
+    """
     prepare(docs.sparkSession)
     rows = text_rows(docs, id_col, text_col)
     wanted = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
@@ -374,10 +379,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for r in wanted.toLocalIterator():
         block.append((r[0], r[1]))
         if len(block) >= ITEMS:
-            found = block_hits(rows, block, kind)
+            found = block_hits(rows, block, kind, by_terms)
             out, block = found if out is None else out.unionByName(found), []
     if block or out is None:
-        found = block_hits(rows, block, kind)
+        found = block_hits(rows, block, kind, by_terms)
         out = found if out is None else out.unionByName(found)
     return out
 
