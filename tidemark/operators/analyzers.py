@@ -68,11 +68,18 @@ class Registry:
 
 
 def with_ids(findings: DataFrame) -> DataFrame:
-    """Findings with an id and a fingerprint, from rule and place where they have none."""
-    place = [F.col("rule_id"), F.col("file"), F.col("line_start")]
-    for c in ("id", "fingerprint"):
-        if c not in findings.columns:
-            findings = findings.withColumn(c, short_hash(*place))
+    """Findings with an id and a fingerprint where they have none.
+
+    The fingerprint leaves out the place, so lines that move don't make a
+    finding new; findings of one rule, file and title share it and are compared by number.
+    """
+    sign = [F.col("rule_id"), F.col("file"), F.col("title")]
+    if "symbol" in findings.columns:
+        sign.append(F.coalesce("symbol", F.lit("")))
+    if "id" not in findings.columns:
+        findings = findings.withColumn("id", short_hash(*sign, F.col("line_start"), F.col("line_end")))
+    if "fingerprint" not in findings.columns:
+        findings = findings.withColumn("fingerprint", short_hash(*sign))
     return findings
 
 
