@@ -107,8 +107,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "base_quality_measures": base_quality_measures,
 }
 
-#: No operator has SQL as a whole; these are for the parts that do.
+#: op12 has SQL as a whole; the others are for the parts that do.
 ORACLES: dict[str, str] = {
+    "op12_spelling_variants": r"""
+WITH RECURSIVE
+  crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  run AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM
+    (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) WHERE length(r) >= 6 GROUP BY 1, 2),
+  coded AS (SELECT doc_id, r, n, hex(encode(doc_id || ':' || r)) AS x FROM run),
+  hashed AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h
+    FROM coded, crc),
+  v AS (SELECT w AS word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM hashed) WHERE length(w) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+  cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+  near AS (SELECT a.word AS w, b.word AS o, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+  best AS (SELECT w, count(*) OVER (PARTITION BY w) AS n_near, o, n FROM near QUALIFY row_number() OVER (PARTITION BY w ORDER BY n DESC, o) = 1),
+  f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 5 * v.n THEN o END AS form, CASE WHEN b.n >= 5 * v.n THEN b.n END AS form_n FROM v LEFT JOIN best b ON w = word),
+  chain AS (SELECT word, word AS at_word, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON f.word = c.next)
+SELECT f.word, form, c.at_word AS root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN chain c ON c.word = f.word AND c.next IS NULL""",
     "base_personal_data": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
   m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
