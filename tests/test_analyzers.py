@@ -34,7 +34,7 @@ def test_registry_keeps_failures_apart(spark):
     found, failed = registry.run_all(files, eager=True)
     assert {r.rule_id for r in found.collect()} == {"ENT-ERR-001"} and failed == {"lines": "RuntimeError: no"}
     rules = registry.catalogue(spark).collect()
-    assert len(rules) == 31 and {r.analyzer_id for r in rules if r.rule_id == "X-1"} == {"lines"} and [a.analyzer_id for a in registry.of_category("input_validation")] == ["endpoints", "scripts"]
+    assert len(rules) == 35 and {r.analyzer_id for r in rules if r.rule_id == "X-1"} == {"lines"} and [a.analyzer_id for a in registry.of_category("input_validation")] == ["endpoints", "scripts"]
 
 
 def test_structure(spark):

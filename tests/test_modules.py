@@ -76,3 +76,33 @@ def test_without_a_convention_the_environment_may_be_read(spark):
     found = pm.module_findings(modules(spark, FILES[:1] + [(f"app/x{i}.py", "") for i in range(9)]))
     assert {r.rule_id for r in found.collect()} == {"ENT-ARCH-003"}
     assert pm.module_findings(modules(spark, FILES).limit(0)).count() == 0
+
+
+LAYERS = [
+    ("app/main.py", "from fastapi import FastAPI\nfrom app.api import a, b\nfrom app.repositories import r\nfrom app.services import s\nfrom app.models import m\nfrom app.config import settings\napp = FastAPI()\n"),
+    ("app/api/a.py", "import os\nfrom app.services import s\nfrom app.repositories import r\n"),
+    ("app/api/b.py", "from app.services.s import f\n"),
+    ("app/api/c.py", "from app.services import s\n"),
+    ("app/api/d.py", "def f(cursor):\n    cursor.execute('x')\n"),
+    ("app/services/s.py", "from app.repositories.r import g\nfrom app.models import m\nfrom app.config import settings\nfrom app.utils import u\n"),
+    ("app/repositories/r.py", "from app.models import m\n"),
+    ("app/models/m.py", "import json\nfrom app.repositories import r\n"),
+    ("app/config/settings.py", ""),
+    ("app/utils/u.py", "def f():\n    from app.services import s\n"),
+]
+
+
+def test_dependency_rules(spark):
+    def run(files):
+        df = spark.createDataFrame([(p, "python", t) for p, t in files], "path string, language string, content string")
+        return sorted((r.rule_id, r.file, r.line_start, r.line_end, r.symbol, r.title) for r in pm.architecture_findings(df).where("rule_id in ('ENT-ARCH-001', 'ENT-ARCH-002', 'ENT-ARCH-007', 'ENT-ARCH-008')").collect())
+
+    got = run(LAYERS)
+    assert [g[:5] for g in got] == [
+        ("ENT-ARCH-001", "app/models/m.py", 2, 2, "app.models.m"),
+        ("ENT-ARCH-002", "app/api/a.py", 3, 3, "app.api.a"),
+        ("ENT-ARCH-007", "app/services/s.py", 1, 4, "app.services.s"),
+        ("ENT-ARCH-008", "app/api/d.py", 1, 2, "app.api.d"),
+    ]
+    assert got[0][5] == "Circular Module Dependency (2 Modules in Cycle)" and "Across 4 " in got[2][5]
+    assert run([f for f in LAYERS if "services" not in f[0] and "models" not in f[0]]) == []

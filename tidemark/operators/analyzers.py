@@ -102,7 +102,7 @@ def default_registry() -> Registry:
         Analyzer("endpoints", "Endpoints", ("python", *script_facts.LANGUAGES), ENDPOINT_RULES, endpoint_findings),
         Analyzer("scripts", "Errors and input of scripts", script_facts.LANGUAGES, (*of("error_handling", "ENT-ERR-JS-001", "ENT-ERR-JS-002"), *of("input_validation", "ENT-INPUT-JS-001")), script_facts.script_findings),
         Analyzer("logging-and-secrets", "Logging and secrets", ("python",), of("logging_and_secrets", *(f"ENT-LOG-00{i}" for i in range(1, 5))), python_facts.python_logging_and_secrets),
-        Analyzer("architecture", "Architecture", ("python",), of("architectural_consistency", *(f"ENT-ARCH-00{i}" for i in range(3, 7))), lambda files: python_modules.module_findings(python_modules.python_modules(files))),
+        Analyzer("architecture", "Architecture", ("python",), of("architectural_consistency", *(f"ENT-ARCH-00{i}" for i in range(1, 9))), python_modules.architecture_findings),
         Analyzer("duplication", "Duplicated functions", ("python",), of("code_duplication", *(f"ENT-DUP-00{i}" for i in range(1, 6))), lambda files: duplicates.duplicate_findings(duplicates.python_signatures(files))),
         Analyzer("lines", "Line rules", tuple(sorted({r.language for r in line_rules.RULES})), tuple((r.rule_id, r.category) for r in line_rules.RULES), line_rules.find),
     )

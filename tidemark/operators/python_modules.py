@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.text import short_hash
 from .files import architecture_excluded
 from .findings import union_findings
-from .graph import layer_of, module_targets
+from .graph import bounded_cycles, layer_of, module_targets
 from .python_endpoints import holds, low
 from .python_facts import parse, python_imported_names, python_structure
+from .reachability import cut
 
 # What shows each responsibility.
 ROUTE_MARKS = ("router.", "app.", "route", "blueprint.", "api_view")
@@ -31,6 +32,13 @@ AUTH_NAMES = ("hash_password", "verify_password", "create_access_token", "decode
 CONFIG_IMPORTS = ("BaseSettings", "SettingsConfigDict")
 IO_PACKAGES = ("subprocess", "shutil")
 MADE_BY_HAND = ("SessionLocal", "get_db", "get_session")
+# Calls that make a module the one that wires an application together, and what shows direct work on a database.
+APPLICATIONS = ("FastAPI", "Flask", "Starlette", "Sanic", "Tornado", "Bottle", "AiohttpApp", "WSGIApplication")
+WIRING = (".include_router", ".register_blueprint")
+RUNNERS = ("uvicorn.run", "app.run")
+RAW_DATABASE = ("raw_sql", "cursor.execute")
+# Layers that a module may depend on before it is too many, and the share of routes that makes services the convention.
+MOST_LAYERS, LEAST_ROUTES, SHARE_ROUTES = 3, 3, 0.65
 # Parts of method names that show a class's domains.
 DOMAINS = {
     "routing_http": ("handle", "route", "get_", "post_", "request"),
@@ -45,10 +53,10 @@ GOD_METHODS, GOD_DOMAINS = 10, 3
 LEAST_DEPENDENTS, SHARE_DEPENDENTS = 3, 0.15
 
 MODULE_SCHEMA = (
-    "file string, module string, loc int, n_functions int, n_classes int, imports array<string>, duties array<string>, uses_di boolean, "
+    "file string, module string, loc int, n_functions int, n_classes int, imports array<string>, duties array<string>, uses_di boolean, is_root boolean, raw_database boolean, "
     "made array<struct<line int, line_end int, name string>>, env array<struct<line int, line_end int>>, classes array<struct<line int, line_end int, name string, methods int, domains array<string>>>"
 )
-COLUMNS = ("file", "module", "loc", "n_functions", "n_classes", "imports", "duties", "uses_di", "made", "env", "classes")
+COLUMNS = ("file", "module", "loc", "n_functions", "n_classes", "imports", "duties", "uses_di", "is_root", "raw_database", "made", "env", "classes")
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -96,7 +104,8 @@ def facts_of(path: str, text: str) -> list[tuple]:
         rows.append((c.lineno, c.end_lineno, c.name, len(methods), sorted(d for d, parts in DOMAINS.items() if any(holds(m, parts) for m in methods))))
     env = [(c.lineno, c.end_lineno) for c in calls if reads_environment(c)]
     uses_di = "Depends" in names or "Depends(" in text
-    return [(path, module_of(path), len(text.splitlines()), len(functions), len(classes), sorted({*sources, *full}), sorted(d for d, x in duties.items() if x), uses_di, made, env, rows)]
+    is_root = any(c.endswith(WIRING) or c in RUNNERS or c.rsplit(".", 1)[-1] in APPLICATIONS for c in called)
+    return [(path, module_of(path), len(text.splitlines()), len(functions), len(classes), sorted({*sources, *full}), sorted(d for d, x in duties.items() if x), uses_di, is_root, holds(text, RAW_DATABASE), made, env, rows)]
 
 
 def python_modules(files: DataFrame) -> DataFrame:
@@ -131,6 +140,60 @@ def module_dependencies(files: DataFrame) -> DataFrame:
     return module_targets(imports, modules).select("src", "target", "external").distinct()
 
 
+def module_edges(files: DataFrame) -> DataFrame:
+    """src, dst and line (the first import of it) of the imports between modules of the files; deferred imports don't count."""
+    known = files.where("language = 'python'").where(~architecture_excluded(F.col("path")))
+    modules = python_structure(known).select(_module_name(F.col("file")).alias("module"), F.col("file").alias("ord"))
+    named = python_imported_names(known).where(~F.col("is_deferred")).select(_module_name(F.col("file")).alias("src"), "module", "name", "level", "line")
+    keys = ("src", "module", "name", "level")
+    found = module_targets(named.select(*keys), modules).where("target is not null").select(F.col("target").alias("dst"), *[F.col(k).alias(f"_{k}") for k in keys])
+    lines = named.groupBy(*keys).agg(F.min("line").alias("line"))
+    return found.join(lines, [lines[k].eqNullSafe(found[f"_{k}"]) for k in keys]).where("src != dst").groupBy("src", "dst").agg(F.min("line").alias("line"))
+
+
+def dependency_findings(modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """ENT-ARCH-001, 002, 007 and 008: cycles, routes that skip the services, modules of too many layers, and routes that work on the database where most use services.
+
+    ``modules`` has the facts of ``python_modules``, ``edges`` src, dst and line.
+    Conventions are counts over all modules, taken as scalar subqueries.
+    """
+    m = modules.select("module", "file", "layer", "loc", "is_root", "raw_database")
+    links = edges.join(m.select(F.col("module").alias("src"), F.col("layer").alias("src_layer")), "src").join(m.select(F.col("module").alias("dst"), F.col("layer").alias("dst_layer")), "dst")
+    out = []
+
+    cycles = bounded_cycles(edges.withColumn("graph", F.lit(1)), "graph").select("cycle", "length", F.split("cycle", "->").alias("path"))
+    cycles = cycles.withColumn("module", F.col("path")[0])
+    inside = cycles.join(edges, F.col("module") == F.col("src")).where(F.array_contains("path", F.col("dst"))).groupBy("cycle").agg(F.min("line").alias("line"))
+    c = cycles.join(inside, "cycle").join(m, "module")
+    title = F.concat(F.lit("Circular Module Dependency ("), F.col("length").cast("string"), F.lit(" Modules in Cycle)"))
+    out.append(_finding(c, "ENT-ARCH-001", "medium", "high", "", F.col("line"), F.col("line"), F.col("module"), title, F.col("cycle")))
+
+    uses = links.where("src_layer = 'api' and dst_layer = 'service'").select(F.col("src").alias("module")).distinct()
+    of = lambda layer: F.count_if(F.col("layer") == layer)
+    layered = m.agg(((of("service") > 0) & (of("repository") > 0) & (of("api") > 0)).alias("x")).scalar()
+    services, users, routes = m.agg(of("service").alias("x")).scalar(), uses.agg(F.count("*").alias("x")).scalar(), m.agg(of("api").alias("x")).scalar()
+    skips = links.where("src_layer = 'api' and dst_layer = 'repository'").where(layered & ((users >= 1) | (services >= 2))).withColumn("module", F.col("src")).join(m, "module")
+    out.append(_finding(skips, "ENT-ARCH-002", "medium", "medium", "Architectural Layer Violation: 'api' Directly Imports 'repository'", F.col("line"), F.col("line"), F.col("module"), sign=F.col("dst")))
+
+    spread = links.where("dst_layer != 'unknown'").groupBy(F.col("src").alias("module")).agg(F.count_distinct("dst_layer").alias("n")).where(F.col("n") > MOST_LAYERS)
+    coupled = spread.join(m.where(~F.col("is_root") & ~F.col("layer").isin("unknown", "utility")), "module")
+    title = F.concat(F.lit("Excessive Cross-Layer Coupling: Direct Dependencies Across "), F.col("n").cast("string"), F.lit(" Architectural Layers"))
+    out.append(_finding(coupled, "ENT-ARCH-007", "medium", "medium", "", F.lit(1), F.least(F.lit(10), F.col("loc")), F.col("module"), title))
+
+    stores = edges.where(F.contains("dst", F.lit("db"))).select(F.col("src").alias("module")).distinct().withColumn("_db", F.lit(True))
+    apart = m.where("layer = 'api'").join(uses, "module", "left_anti").join(stores, "module", "left").where(F.col("raw_database") | F.coalesce("_db", F.lit(False)))
+    apart = apart.where((routes >= LEAST_ROUTES) & (users >= SHARE_ROUTES * routes))
+    title = "Inconsistent Architectural Pattern: Follows 'Route -> Direct Database Access' Instead of 'Route -> Service Layer'"
+    out.append(_finding(apart, "ENT-ARCH-008", "low", "medium", title, F.lit(1), F.least(F.lit(8), F.col("loc")), F.col("module")))
+    return union_findings(*out)
+
+
+def architecture_findings(files: DataFrame) -> DataFrame:
+    """ENT-ARCH-001 to 008 of the Python files (path, language, content)."""
+    modules = cut(python_modules(files))
+    return union_findings(module_findings(modules), dependency_findings(modules, cut(module_edges(files))))
+
+
 def config_convention(modules: DataFrame) -> DataFrame:
     """One row: whether enough modules import a configuration module for that to be the convention.
 
@@ -144,10 +207,11 @@ def config_convention(modules: DataFrame) -> DataFrame:
     return n.withColumn("is_convention", (F.col("dependents") >= LEAST_DEPENDENTS) | (F.col("dependents") > 0) & (F.col("dependents") >= SHARE_DEPENDENTS * F.col("modules")))
 
 
-def _finding(rows: DataFrame, rule: str, severity: str, confidence: str, title: str, line: Column, stop: Column, sign: Column) -> DataFrame:
+def _finding(rows: DataFrame, rule: str, severity: str, confidence: str, title: str, line: Column, stop: Column, symbol: Column, named: Column | None = None, sign: Column | None = None) -> DataFrame:
+    sign = symbol if sign is None else sign
     return rows.select(
         "file", F.lit(rule).alias("rule_id"), line.alias("line_start"), stop.alias("line_end"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"),
-        F.lit("architectural_consistency").alias("category"), F.lit(title).alias("title"), sign.alias("symbol"),
+        F.lit("architectural_consistency").alias("category"), (F.lit(title) if named is None else named).alias("title"), symbol.alias("symbol"),
         short_hash(F.lit(rule), F.col("file"), line, stop, sign).alias("id"), short_hash(F.lit(rule), F.col("file"), sign).alias("fingerprint"),
     )
 
