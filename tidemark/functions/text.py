@@ -157,34 +157,6 @@ def route_group(path: Column) -> Column:
     return F.when(first == "", "/").otherwise(F.concat(F.lit("/"), first))
 
 
-def matches_route(path: Column, pattern: str) -> Column:
-    """Segment-wise match in which ``*`` stands for one segment."""
-    want = pattern.strip("/").split("/")
-    have = F.split(F.btrim(path, F.lit("/")), "/")
-    tests = [F.size(have) == len(want)] + [F.get(have, F.lit(i)) == w for i, w in enumerate(want) if w != "*"]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
-
-
-def public_endpoint(path: Column, method: Column, allow: tuple[str, ...], deny: tuple[str, ...], mutating_allow: tuple[str, ...], prefixes: tuple[str, ...] = ("api", "v1", "v2", "v3")) -> Column:
-    """Allow-list match after at most two version prefixes are stripped; a denied segment overrides, and mutating methods need their own list."""
-    bare = path
-    for _ in range(2):
-        bare = F.when(F.split_part(bare, F.lit("/"), F.lit(2)).isin(*prefixes), F.regexp_replace(bare, r"^/[^/]*", "")).otherwise(bare)
-    bare = F.when(bare == "", "/").otherwise(bare)
-    denied = F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, deny)))
-
-    def any_of(patterns: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for p in patterns:
-            out = out | matches_route(bare, p) | matches_route(path, p)
-        return out
-
-    return ~denied & F.when(F.upper(method).isin("POST", "PUT", "DELETE", "PATCH"), any_of(mutating_allow)).otherwise(any_of(allow))
-
-
 def repository_id(remote: Column, path: Column) -> Column:
     """First 16 hex digits of the hash of the remote address, or of the path where there is none."""
     return F.substring(F.sha2(F.lower(F.trim(F.coalesce(F.when(F.trim(remote) != "", remote), path))), 256), 1, 16)

@@ -4,6 +4,13 @@ from __future__ import annotations
 
 import re
 
+from ..operators import python_endpoints as pe
+
+
+def listed(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 VIEWS = {
     "v_finding": """
 SELECT l_orderkey AS scan_id, o_custkey AS repository_id, o_orderdate AS started_at, p_brand AS rule_id, p_type AS category,
@@ -16,7 +23,7 @@ SELECT l_orderkey AS scan_id, o_custkey AS repository_id, o_orderdate AS started
   CASE WHEN l_quantity >= 46 THEN 10.0 WHEN l_quantity >= 36 THEN 7.0 WHEN l_quantity >= 21 THEN 4.0 WHEN l_quantity >= 6 THEN 1.0 ELSE 0.0 END::DOUBLE
     * CASE WHEN l_discount <= 0.03 THEN 1.0 WHEN l_discount <= 0.07 THEN 0.8 ELSE 0.5 END::DOUBLE AS w
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
-    "v_cur": "SELECT * FROM v_finding WHERE side = 'R'",
+    "v_cur": "SELECT * FROM v_finding WHERE side <> 'A'",
     "v_prev": "SELECT * FROM v_finding WHERE side = 'A'",
     "v_loc": "SELECT o_custkey AS repository_id, sum(l_quantity) AS loc FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "v_weight": "SELECT * FROM (VALUES ('STANDARD', 0.20::DOUBLE, 0), ('LARGE', 0.20, 1), ('SMALL', 0.15, 2), ('MEDIUM', 0.15, 3), ('ECONOMY', 0.15, 4), ('PROMO', 0.10, 5)) t(category, weight, ord)",
@@ -61,7 +68,7 @@ SELECT doc_id, source AS file, substr(sha256(text), 1, 16) AS exact_hash, n_char
     "v_metric": """
 SELECT repository_id, has_baseline, metric, actual FROM (UNPIVOT (
   SELECT o.repository_id, n.a > 0 AS has_baseline, o.score::DOUBLE AS score, (n.r - n.a)::DOUBLE AS score_delta, n.r::DOUBLE AS n_new, n.h::DOUBLE AS n_new_high, n.c::DOUBLE AS n_new_critical
-  FROM v_overall o JOIN (SELECT repository_id, count(*) FILTER (side = 'R') AS r, count(*) FILTER (side = 'A') AS a, count(*) FILTER (side = 'R' AND severity = 'high') AS h, count(*) FILTER (side = 'R' AND severity = 'critical') AS c FROM v_finding GROUP BY 1) n USING (repository_id))
+  FROM v_overall o JOIN (SELECT repository_id, count(*) FILTER (side <> 'A') AS r, count(*) FILTER (side = 'A') AS a, count(*) FILTER (side <> 'A' AND severity = 'high') AS h, count(*) FILTER (side <> 'A' AND severity = 'critical') AS c FROM v_finding GROUP BY 1) n USING (repository_id))
   ON score, score_delta, n_new, n_new_high, n_new_critical INTO NAME metric VALUE actual)""",
     "v_policy": """
 SELECT * FROM (VALUES ('max_score', 'absolute', 'score', 80.0::DOUBLE, 'fail'), ('max_delta', 'delta', 'score_delta', 5.0, 'fail'), ('warn_delta', 'delta', 'score_delta', 2.0, 'warn'),
@@ -83,8 +90,8 @@ SQL = {
     "top_rules": "SELECT rule_id, n AS n_findings, round(base + CASE WHEN n > 20 THEN base / 20 * 5.0 * ln(1.0 + n - 20) ELSE 0 END, 6) AS penalty FROM (SELECT rule_id, count(*) AS n, sum(w) FILTER (rn <= 20) AS base FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY w DESC) AS rn FROM v_finding) GROUP BY 1) ORDER BY penalty DESC, n_findings DESC, rule_id LIMIT 10",
     "top_findings": "SELECT id, severity, file, line_start, rule_id FROM v_finding ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, file, line_start, rule_id, id LIMIT 20",
     "finding_lifecycle": "SELECT fingerprint, occurrence, CASE WHEN p.id IS NULL THEN 'new' WHEN c.id IS NULL THEN 'resolved' ELSE 'persistent' END AS state, coalesce(c.id, p.id) AS id, coalesce(c.severity, p.severity) AS severity FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY line_start, line_end, id)::INTEGER AS occurrence FROM v_cur) c FULL JOIN (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY line_start, line_end, id)::INTEGER AS occurrence FROM v_prev) p USING (fingerprint, occurrence)",
-    "multiset_diff": "SELECT fingerprint, greatest(c - p, 0)::BIGINT AS n_new, greatest(p - c, 0)::BIGINT AS n_resolved, least(c, p)::BIGINT AS n_persistent FROM (SELECT fingerprint, count(*) FILTER (side = 'R') AS c, count(*) FILTER (side = 'A') AS p FROM v_finding WHERE side IN ('A', 'R') GROUP BY 1)",
-    "rule_deltas": "SELECT rule_id, count(*) FILTER (side = 'R') AS n_current, count(*) FILTER (side = 'A') AS n_previous, coalesce(min(category) FILTER (side = 'R'), min(category)) AS category, count(*) FILTER (side = 'R') - count(*) FILTER (side = 'A') AS delta FROM v_finding WHERE side IN ('A', 'R') GROUP BY 1",
+    "multiset_diff": "SELECT fingerprint, greatest(c - p, 0)::BIGINT AS n_new, greatest(p - c, 0)::BIGINT AS n_resolved, least(c, p)::BIGINT AS n_persistent FROM (SELECT fingerprint, count(*) FILTER (side <> 'A') AS c, count(*) FILTER (side = 'A') AS p FROM v_finding GROUP BY 1)",
+    "rule_deltas": "SELECT rule_id, count(*) FILTER (side <> 'A') AS n_current, count(*) FILTER (side = 'A') AS n_previous, coalesce(min(category) FILTER (side <> 'A'), min(category)) AS category, count(*) FILTER (side <> 'A') - count(*) FILTER (side = 'A') AS delta FROM v_finding GROUP BY 1",
     "baseline_new": "SELECT id, fingerprint, rule_id FROM v_cur WHERE fingerprint NOT IN (SELECT fingerprint FROM v_prev)",
     "baseline_unchanged": "SELECT id, fingerprint, rule_id FROM v_cur WHERE fingerprint IN (SELECT fingerprint FROM v_prev)",
     "baseline_resolved": "SELECT fingerprint, id, rule_id, file FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY line_start DESC, id DESC) AS k FROM v_prev WHERE fingerprint NOT IN (SELECT fingerprint FROM v_cur)) WHERE k = 1",
@@ -99,8 +106,8 @@ SQL = {
     "resolve_identifier": "SELECT i.identifier, coalesce((SELECT max(repository_id) FROM v_scan WHERE repository_id::VARCHAR = i.identifier), (SELECT repository_id FROM v_scan WHERE repo_name = i.identifier ORDER BY started_at DESC, scan_id::VARCHAR DESC LIMIT 1), (SELECT repository_id FROM v_scan WHERE 'scan-' || scan_id = i.identifier)) AS repository_id FROM (VALUES ('7'), ('repo-3'), ('scan-11'), ('nothing')) i(identifier)",
     "page_count": "SELECT status, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM v_scan GROUP BY 1",
     "scan_point_lookup": "SELECT scan_id, repository_id, status, score::INTEGER AS score FROM v_scan WHERE scan_id = 42",
-    "upsert_scans": "SELECT scan_id, repository_id, CASE WHEN scan_id % 2 = 0 THEN repo_name ELSE 'other' END AS repo_name, CASE WHEN scan_id % 3 = 0 THEN 'completed' ELSE status END AS status, (score + CASE WHEN scan_id % 3 = 0 THEN 1 ELSE 0 END)::INTEGER AS score FROM v_scan WHERE scan_id % 2 = 0 OR scan_id % 3 = 0",
-    "upsert_coalesce": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'NEW' WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "upsert_scans": "SELECT scan_id, repository_id, CASE WHEN scan_id % 2 = 0 THEN repo_name ELSE 'other' END AS repo_name, CASE WHEN scan_id % 2 = 0 AND scan_id % 3 <> 0 THEN status ELSE 'completed' END AS status, (score + CASE WHEN scan_id % 2 = 0 AND scan_id % 3 <> 0 THEN 0 ELSE 1 END)::INTEGER AS score FROM v_scan",
+    "upsert_coalesce": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'NEW' WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment, c_nationkey FROM customer",
     "idempotent_insert": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 2 = 0)) WHERE k = 1",
     "policy_absolute": "SELECT repository_id, rule_name, threshold, actual, status FROM v_result WHERE kind = 'absolute'",
     "policy_delta": "SELECT repository_id, rule_name, threshold, actual, status FROM v_result WHERE kind = 'delta'",
@@ -128,7 +135,15 @@ SQL = {
     "json_extract": "SELECT k % 10 AS bucket, count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events) GROUP BY 1",
     "sarif_levels": "SELECT CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, rule_id, count(*) AS n, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END)::INTEGER AS top_rank FROM v_finding GROUP BY 1, 2",
     "route_groups": "SELECT route_group, count(*) AS n, count(DISTINCT path) AS paths FROM v_endpoint GROUP BY 1",
-    "public_endpoint": "SELECT page_id, len(string_split(path, '/')) = 3 AND CASE WHEN method = 'POST' THEN route_group = '/fr' ELSE route_group IN ('/en', '/de') END AND NOT list_has_any(string_split(lower(path), '/'), ['admin', 'internal']) AS is_public FROM v_endpoint",
+    "public_endpoint": f"""
+WITH h AS (SELECT page_id, lower(CASE WHEN page_id % 8 = 7 THEN path ELSE ['/login', '/api/v1/health', '/auth/users', '/admin/health', '/password-recovery/x', '/docs/a', '/oauth/token/'][page_id % 8 + 1] END) AS path,
+    CASE WHEN page_id % 5 = 0 THEN 'purge_all_users' ELSE pattern END AS symbol, method = 'POST' AS changes, page_id % 11 = 0 AS marked FROM v_endpoint),
+  s AS (SELECT *, list_filter(string_split(split_part(path, '?', 1), '/'), lambda x: x <> '') AS p FROM h),
+  r AS (SELECT *, {listed(pe.ROUTE_PREFIXES)} AS pre, regexp_matches(replace(array_to_string(list_append(p, lower(symbol)), '/'), '_', '-'), '{"|".join(pe.NEVER_PUBLIC)}') AS denied,
+    [array_to_string(p, '/'), CASE WHEN list_contains({listed(pe.ROUTE_PREFIXES)}, p[1]) THEN array_to_string(p[2:], '/') END, CASE WHEN list_contains({listed(pe.ROUTE_PREFIXES)}, p[1]) AND list_contains({listed(pe.ROUTE_PREFIXES)}, p[2]) THEN array_to_string(p[3:], '/') END] AS tried FROM s)
+SELECT page_id, NOT (len(p) > 0 AND denied) AND (NOT changes OR regexp_matches(path, '{"|".join(pe.CHANGING_PUBLIC)}'))
+  AND (len(list_filter(tried, lambda t: coalesce(regexp_full_match(t, '{"|".join(x.replace(".", "[.]").replace("*", "[^/]+") for x in pe.PUBLIC_ROUTES)}'), false))) > 0 OR list_contains({listed(pe.PUBLIC_EXACT)}, rtrim(path, '/'))
+    OR regexp_matches(path, '^({"|".join(pe.PUBLIC_STARTS)})') OR marked) AS is_public FROM r""",
     "bits_per_char": "SELECT doc_id, value, round(bits, 6) AS bits FROM v_assign",
     "secret_candidates": "SELECT doc_id, value FROM v_assign WHERE length(value) >= 8 AND value <> '123456' AND (length(value) >= 12 AND (bits > 3.3 OR length(value) >= 20))",
     "mask_secret": "SELECT doc_id, CASE WHEN length(value) > 10 THEN substr(value, 1, 4) || '...' || right(value, 4) ELSE '***' END AS masked FROM v_assign",
@@ -185,4 +200,4 @@ def full(sql: str) -> str:
     return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
 
 
-ORACLES = {k: full(v) for k, v in SQL.items()}
+ORACLES = {k: full(v.strip()) for k, v in SQL.items()}

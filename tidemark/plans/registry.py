@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import calibration, compare, files, findings, graph, history, policy, scoring
+from ..operators import calibration, compare, files, findings, graph, history, policy, python_endpoints, scoring
 from ..schema import band, pick, severity_rank
 from ..streaming import events
 from . import testbed as tb
@@ -186,14 +186,14 @@ def scan_point_lookup(spark, sf):
 @query
 def upsert_scans(spark, sf):
     s = tb.scans(spark, sf)
-    new = s.where("scan_id % 3 = 0").withColumn("status", F.lit("completed")).withColumn("score", F.col("score") + 1).withColumn("repo_name", F.lit("other"))
+    new = s.where("scan_id % 2 = 1 or scan_id % 3 = 0").withColumn("status", F.lit("completed")).withColumn("score", F.col("score") + 1).withColumn("repo_name", F.lit("other"))
     return history.upsert_latest(s.where("scan_id % 2 = 0"), new, "scan_id", ["repository_id", "repo_name"], ["status", "score"])
 
 
 @query
 def upsert_coalesce(spark, sf):
     c = tb.read(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    new = c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.lit("NEW")))
+    new = c.where("c_custkey % 2 = 1 or c_custkey % 3 = 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.lit("NEW")))
     return history.upsert_coalesce(c.where("c_custkey % 2 = 0"), new, "c_custkey", ["c_mktsegment", "c_nationkey"])
 
 
@@ -211,8 +211,8 @@ def _metrics(spark, sf):
     scores = scoring.overall(_scores(spark, sf), "repository_id").select("repository_id", F.col("score").cast("double").alias("score"))
     f = tb.findings(spark, sf)
     n = f.groupBy("repository_id").agg(
-        F.count_if(F.col("side") == "R").cast("double").alias("r"), F.count_if(F.col("side") == "A").cast("double").alias("a"),
-        F.count_if((F.col("side") == "R") & (F.col("severity") == "high")).cast("double").alias("n_new_high"), F.count_if((F.col("side") == "R") & (F.col("severity") == "critical")).cast("double").alias("n_new_critical"),
+        F.count_if(F.col("side") != "A").cast("double").alias("r"), F.count_if(F.col("side") == "A").cast("double").alias("a"),
+        F.count_if((F.col("side") != "A") & (F.col("severity") == "high")).cast("double").alias("n_new_high"), F.count_if((F.col("side") != "A") & (F.col("severity") == "critical")).cast("double").alias("n_new_critical"),
     )
     wide = scores.join(n, "repository_id").select("repository_id", (F.col("a") > 0).alias("has_baseline"), "score", (F.col("r") - F.col("a")).alias("score_delta"), F.col("r").alias("n_new"), "n_new_high", "n_new_critical")
     return wide.unpivot(["repository_id", "has_baseline"], ["score", "score_delta", "n_new", "n_new_high", "n_new_critical"], "metric", "actual")
@@ -396,8 +396,7 @@ def route_groups(spark, sf):
 
 @query
 def public_endpoint(spark, sf):
-    e = tb.endpoints(spark, sf)
-    return e.select("page_id", t.public_endpoint(F.col("path"), F.col("method"), ("/en/*", "/de/*"), ("admin", "internal"), ("/fr/*",)).alias("is_public"))
+    return tb.handlers(spark, sf).select("page_id", python_endpoints.is_public().alias("is_public"))
 
 
 # --- secrets

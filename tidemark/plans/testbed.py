@@ -39,9 +39,9 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(current, previous)."""
+    """(current, previous): every line stands on one of them."""
     f = findings(spark, sf)
-    return f.where("side = 'R'"), f.where("side = 'A'")
+    return f.where("side != 'A'"), f.where("side = 'A'")
 
 
 def repo_loc(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,6 +93,15 @@ def endpoints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def handlers(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as handlers of routes, some of which are public."""
+    e, n = endpoints(spark, sf), F.col("page_id")
+    own = F.element_at(F.array(*map(F.lit, ("/login", "/api/v1/health", "/auth/users", "/admin/health", "/password-recovery/x", "/docs/a", "/oauth/token/", ""))), (n % 8 + 1).cast("int"))
+    symbol = F.when(n % 5 == 0, "purge_all_users").otherwise(F.col("pattern"))
+    marks = F.when(n % 11 == 0, F.array(F.lit("allow_anonymous"))).otherwise(F.array().cast("array<string>"))
+    return e.select("page_id", F.when(own == "", F.col("path")).otherwise(own).alias("route_path"), symbol.alias("symbol"), F.array("method").alias("methods"), marks.alias("decorators"))
+
+
 def modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(modules, edges): customers as modules of layers, each importing the parts that its lines name."""
     layer = lambda n: F.element_at(F.array(*map(F.lit, ("api", "service", "repository", "model", "config", "utility"))), (n % 6 + 1).cast("int"))
