@@ -511,3 +511,29 @@ def test_pipeline(spark):
     assert 0 < len(out) == len(ids) < docs.count()
     good = {r.doc_id for r in quality_rules.measure(docs, spark.read.parquet(f"{sf}/labels.parquet")).where(F.col("kept")).collect()}
     assert ids <= good
+
+
+LAYOUT = [
+    ("a<br><br>b", "a\n\nb"),
+    ("a<br>b<br>", "a\nb"),
+    ("<p>a<br></p><p>b</p>", "a\n\nb"),
+    ("<ol start=-3><li>x<li>y</ol>", "-3. x\n-2. y"),
+    ("<ol><li>x<li value=5>y<li>z</ol>", "1. x\n5. y\n6. z"),
+    ("<ol reversed><li>x<li>y</ol>", "2. x\n1. y"),
+    ("<input type=submit value=Send><input type=hidden value=no><input placeholder=Name><input type=checkbox value=no>", "SendName"),
+    ("<table><tr><td rowspan=2>a</td><td>bb</td><td>c</td></tr><tr><td>d</td><td>e</td></tr><tr><td>f</td><td>g</td><td>h</td></tr></table>", "a  bb  c\n   d   e\nf  g   h"),
+    ("<table><tr><th>n</th><th colspan=2>long words</th></tr><tr><td rowspan=0>1</td><td>2</td><td>3</td></tr><tr><td>4</td></tr></table>", "n  long words\n1  2  3\n   4"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), LAYOUT)
+def test_html_layout(html, text):
+    assert html_text.html_to_text(html) == text
+
+
+def test_html_of_odd_tables(spark):
+    rows = [(None, "<p>x</p>", "clash", "clash"), (1, None, None, "t"), (1, "", "u", "t"), (2, "<ul><li>" * 300 + "deep", "u", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string, text string")
+    got = html_text.extract(pages)
+    assert got.columns == ["page_id", "text"] and sorted((r.page_id or 0, r.text.strip(" -")) for r in got.collect()) == [(0, "x"), (1, ""), (1, ""), (2, "deep")]
+    assert html_text.extract(pages.limit(0)).count() == 0

@@ -61,6 +61,11 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)
 END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 COLLAPSE = re.compile(r"[ \t\n\r\f]+")
+INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]+)")
+#: Inputs that show their value, and those that show a placeholder without one.
+VALUE_SHOWN = frozenset("text search tel url email number date month week time datetime-local submit reset button".split())
+PLACEHOLDER_SHOWN = frozenset("text search tel url email number password".split())
+HIDING_INPUTS = frozenset("hidden checkbox radio file image color range".split())
 STYLE_NONE = re.compile(r"display\s*:\s*none", re.I)
 STYLE_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
@@ -291,33 +296,65 @@ def wrap(s: str) -> Node:
     return node
 
 
+def number(v: str | None) -> int | None:
+    """The integer that an attribute starts with."""
+    m = INTEGER.match(v or "")
+    return int(m.group(1)) if m and len(m.group(1)) < 10 else None
+
+
+def input_text(node: Node) -> str:
+    """What an input shows: its value or else its placeholder."""
+    kind, value = node.attributes.get("type", "text").lower(), node.attributes.get("value") or ""
+    kind = kind if kind in VALUE_SHOWN | PLACEHOLDER_SHOWN | HIDING_INPUTS else "text"
+    if kind in VALUE_SHOWN and value:
+        return value
+    return (node.attributes.get("placeholder") or "") if kind in PLACEHOLDER_SHOWN and not value else ""
+
+
 def table_lines(table: Node, shown: bool) -> list[str]:
-    """The table with every column padded to its widest cell; what spans columns isn't counted."""
-    grid: list[list[tuple[str, int]]] = []
-    for row in cells(table, shown):
-        out = [(" ".join(render(c, s, in_cell=True).split()), n) for c, s, n in row]
-        if any(t for t, _ in out):
-            grid.append(out)
+    """The table with every column padded to its widest cell; what spans columns isn't counted.
+
+    A cell that spans rows keeps its columns free in the rows below it.
+    """
+    grid: list[list[tuple[int, str, int]]] = []
     widths: dict[int, int] = {}
-    for row in grid:
-        at = 0
-        for t, n in row:
-            if n == 1 and len(row) > 1:
-                widths[at] = max(widths.get(at, 0), len(t))
+    below: dict[int, int] = {}  # column -> rows for which a cell from above holds it
+    for row in cells(table, shown):
+        out, at, holds = [], 0, {c: n - 1 for c, n in below.items() if n > 1}
+        held = len(below)
+        for c, s, n in row:
+            while at in below:
+                at += 1
+            rows = number(c.attributes.get("rowspan")) if c.tag in ("td", "th") else None
+            if rows is not None and (rows > 1 or rows == 0):
+                holds.update(dict.fromkeys(range(at, at + n), min(rows - 1, 65534) if rows else 65534))
+            out.append((at, " ".join(render(c, s, in_cell=True).split()), n))
             at += n
+        below = {c: n for c, n in holds.items() if n > 0}
+        if any(t for _, t, _ in out):
+            grid.append(out)
+            for k, t, n in out:
+                if n == 1 and len(out) + held > 1:
+                    widths[k] = max(widths.get(k, 0), len(t))
+    # where each column starts, for as many columns as any cell stands in
+    last = max((k for out in grid for k, _, _ in out), default=0)
+    starts = [0]
+    for k in range(last):
+        starts.append(starts[-1] + widths.get(k, 0) + 2)
     lines = []
-    for row in grid:
-        at, parts = 0, []
-        for t, n in row:
-            parts.append(t.ljust(sum(widths.get(at + i, 0) for i in range(n)) + 2 * (n - 1)))
-            at += n
-        lines.append("  ".join(parts).rstrip())
+    for out in grid:
+        line = ""
+        for k, t, _ in out:
+            gap = "  " if line or k else ""
+            line = line.ljust(starts[k]) if len(line) + len(gap) <= starts[k] else line + gap
+            line += t
+        lines.append(line.rstrip())
     return lines
 
 
 def render(root: Node, shown: bool = True, in_cell: bool = False) -> str:
     w = Writer()
-    lists: list[int] = []  # the next number of each open ordered list, -1 for bullets
+    lists: list[tuple[int, int] | None] = []  # the next number of each open ordered list and its step, None for bullets
     pre = 0
     work: list[tuple] = [(root, shown, 0)]
     while work:
@@ -345,7 +382,11 @@ def render(root: Node, shown: bool = True, in_cell: bool = False) -> str:
                 continue
             shown = see
         if tag == "br":
-            w.newline(True) if w.line else w.newline()
+            w.newline(True)
+            continue
+        if tag == "input":
+            if shown and (said := input_text(node)):
+                w.write(said)
             continue
         if tag in BLOCK:
             w.block(2 if tag in SPACED and not (lists and tag in ("ul", "ol")) else 1)
@@ -358,13 +399,19 @@ def render(root: Node, shown: bool = True, in_cell: bool = False) -> str:
             w.block(2)
             continue
         if tag in ("ul", "ol", "menu", "dir"):
-            start = node.attributes.get("start") or "1"
-            lists.append(int(start) if tag == "ol" and start.isascii() and start.isdigit() else 1 if tag == "ol" else -1)
+            first = number(node.attributes.get("start"))
+            back = "reversed" in node.attributes
+            if first is None:
+                first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if back else 1
+            lists.append((first, -1 if back else 1) if tag == "ol" else None)
         elif tag == "li":
             mark = "- "
-            if lists and lists[-1] >= 0:
-                mark = f"{lists[-1]}. "
-                lists[-1] += 1
+            if lists and lists[-1] is not None:
+                at, step = lists[-1]
+                own = number(node.attributes.get("value"))
+                at = at if own is None else own
+                mark = f"{at}. "
+                lists[-1] = (at + step, step)
             w.indent.append(" " * len(mark))
             w.bullet = mark
         elif tag in ("blockquote", "dd"):
