@@ -149,3 +149,34 @@ def test_stream_equals_batch(spark, tmp_path):
     q = events.dedupe_stream(stream, ["event_id"]).writeStream.format("memory").queryName("deduped").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("deduped").count() == batch.select("event_id").distinct().count()
+
+
+def test_many_ignore_rules_equal_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(9)
+    names = ["a", "b.py", "c.o", "build", "x.tar.gz", ".env", "lib", "[odd", "d.PY"]
+    lines = ["*.py", "!b.py", "build/", "/lib", "a/*.o", "**/build", "x.*", "*.tar.gz", "lib/**", "?.o", "[bc].*", "!build/", "a/**/c.o", ".env", "/*", "!/a", "[odd", "# x", "", "*.[po]*", "b.p?", "!x.tar.gz", "a/b.py/"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randrange(1, 5))) for _ in range(250)})
+    folders = sorted({p.rsplit("/", 1)[0] for p in paths if "/" in p})
+    rules = {"": rng.sample(lines, 9), **{d: rng.sample(lines, 4) for d in rng.sample(folders, 12)}}
+    rows = [(1, p, None) for p in paths] + [(1, f"{d}/.gitignore".lstrip("/"), "\n".join(r)) for d, r in rules.items()] + [(2, p, None) for p in paths]
+
+    def out(place):
+        found = None
+        parts = place.rstrip("/").split("/")
+        for k in range(len(parts)):
+            base = "/".join(parts[:k])
+            inner = place[len(base) + 1 :] if base else place
+            for line in rules.get(base, ()):
+                if line and not line.startswith("#"):
+                    regex, negated = files.ignore_regex(line)
+                    if re.search(regex, inner):
+                        found = not negated
+        return bool(found)
+
+    everything = {p for r, p, _ in rows if r == 1}
+    want = {p for p in everything if out(p) or any(out("/".join(p.split("/")[:k]) + "/") for k in range(1, p.count("/") + 1))}
+    got = files.ignored_by_files(spark.createDataFrame(rows, "repo int, path string, content string"), ["repo"])
+    assert {(r.repo, r.path) for r in got.collect()} == {(1, p) for p in want} and 20 < len(want) < len(everything)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
@@ -179,6 +180,28 @@ def ignore_regex(pattern: str) -> tuple[str, bool]:
     return ("^" if anchored else "(?:^|/)") + "".join(out) + ("/" if only_dirs else "(?:/|$)"), negated
 
 
+def rule_key(pattern: str) -> tuple[str, str]:
+    """What a path must have for a gitignore line to match it: a segment, or an extension of one; else nothing.
+
+    A segment without wildcards matches whole segments only, and what stands
+    behind the last dot of the last segment ends a segment.
+    """
+    segments = pattern.removeprefix("!").rstrip("/").split("/")
+    plain = [x for x in segments if x and not re.search(r"[*?\[]", x)]
+    if plain:
+        return "segment", max(plain, key=len)
+    name, dot, ending = segments[-1].rpartition(".")
+    return ("ending", ending) if dot and ending and not re.search(r"[*?\[]", ending) else ("any", "")
+
+
+def path_keys(path: Column) -> Column:
+    """All keys by which a rule may match a path."""
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    of = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    endings = F.transform(F.filter(segments, lambda x: F.contains(x, F.lit("."))), lambda x: of("ending", F.substring_index(x, ".", -1)))
+    return F.array_distinct(F.concat(F.array(of("any", F.lit(""))), F.transform(segments, lambda x: of("segment", x)), endings))
+
+
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Whether the last pattern that matches isn't negated."""
     out = F.lit(False)
@@ -198,9 +221,9 @@ def _above(path: Column) -> Column:
 
 
 def ignore_file_rules(files: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each rule of each .gitignore file (path, content): the directory it stands in, its turn, what it matches and whether it ignores."""
+    """A row for each rule of each .gitignore file (path, content): the directory it stands in, its turn, what it matches, whether it ignores, and what a path must have for it."""
     at = files.where(F.col("path").rlike(r"(^|/)\.gitignore$")).select(*keys, F.regexp_replace("path", r"/?\.gitignore$", "").alias("base"), "content")
-    schema = T.StructType([*at.drop("content").schema.fields, *T.StructType.fromDDL("turn int, regex string, ignores boolean").fields])
+    schema = T.StructType([*at.drop("content").schema.fields, *T.StructType.fromDDL("turn int, regex string, ignores boolean, kind string, key string").fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -209,7 +232,7 @@ def ignore_file_rules(files: DataFrame, keys: list[str]) -> DataFrame:
                 for turn, line in enumerate((text or "").splitlines()):
                     if line.strip() and not line.strip().startswith("#"):
                         regex, negated = ignore_regex(line.strip())
-                        rows.append((*where, turn, regex, not negated))
+                        rows.append((*where, turn, regex, not negated, *rule_key(line.strip())))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return at.mapInPandas(run, schema)
@@ -218,8 +241,8 @@ def ignore_file_rules(files: DataFrame, keys: list[str]) -> DataFrame:
 def ignored_by_files(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys and path of the files that the .gitignore files of their tree leave out.
 
-    Every file, and every directory once, meets the rules of the directories
-    above it; the last one that matches decides, deeper files counting as later.
+    Every file, and every directory once, meets those rules of the directories
+    above it that ask for one of its segments or endings; the last one that matches decides, deeper files counting as later.
     What lies in an ignored directory is out, whatever later rules say of it.
     ``keys`` tell trees apart; null paths are never ignored.
     """
@@ -227,9 +250,11 @@ def ignored_by_files(files: DataFrame, keys: list[str]) -> DataFrame:
     as_dirs = F.transform(_above(F.col("path")), lambda d: F.concat(d, F.lit("/")))
     places = known.withColumnRenamed("path", "place").unionByName(known.select(*keys, F.explode(as_dirs).alias("place"))).distinct()
     bases = F.concat(F.array(F.lit("")), _above(F.rtrim("place", F.lit("/"))))
-    met = places.select(*keys, "place", F.explode(bases).alias("base")).join(ignore_file_rules(files, keys), [*keys, "base"])
     inner = F.when(F.col("base") == "", F.col("place")).otherwise(F.substring("place", F.length("base") + 2, F.length("place")))
-    last = met.where(F.rlike(inner, F.col("regex"))).groupBy(*keys, "place").agg(F.max_by("ignores", F.struct(F.length("base"), "turn")).alias("out"))
+    asked = places.select(*keys, "place", F.explode(bases).alias("base")).withColumn("inner", inner)
+    # rules and paths meet by what the rule asks of a path, so a thousand rules above a file are not tried one by one
+    met = asked.select(*keys, "place", "base", "inner", F.inline(path_keys(F.col("inner")))).join(ignore_file_rules(files, keys), [*keys, "base", "kind", "key"])
+    last = met.where(F.rlike("inner", F.col("regex"))).groupBy(*keys, "place").agg(F.max_by("ignores", F.struct(F.length("base"), "turn")).alias("out"))
     return known.withColumn("place", F.explode(F.concat(F.array("path"), as_dirs))).join(last.where("out"), [*keys, "place"], "left_semi").select(*keys, "path").distinct()
 
 
