@@ -110,3 +110,14 @@ def test_floor_counts_active_categories_and_files_in_scope(spark):
     assert {r.repo: r.floor for r in floors.collect()} == {"r": 61, "s": 41, "t": 0}
     scores = spark.createDataFrame([("r", 10.0, 1.0, 1), ("s", 90.0, 1.0, 1), ("u", 5.0, 1.0, 0)], "repo string, score double, weight double, n_findings int")
     assert {r.repo: (r.score, r.band) for r in scoring.overall(scores, "repo", floors).collect()} == {"r": (61, "high"), "s": (90, "very_high"), "u": (5, "very_low")}
+
+
+def test_first_rows_are_limited_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import findings, history
+
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    for out in (findings.dedupe_first(df, ["k"], "id"), history.latest_per_key(df, ["k"], F.desc("id"))):
+        lines = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+        assert sum("WindowGroupLimit" in x for x in lines) == 2 and out.count() == 3

@@ -46,7 +46,10 @@ def apply_suppressions(findings: DataFrame, rules: DataFrame, ids: DataFrame, in
 
 
 def dedupe_first(rows: DataFrame, keys: list[str], *emission) -> DataFrame:
-    """The row emitted first of each key; dropDuplicates would take any."""
+    """The row emitted first of each key; dropDuplicates would take any.
+
+    The plan keeps one row a key and task before the shuffle, so a hot key stays small.
+    """
     w = Window.partitionBy(*keys).orderBy(*emission)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
