@@ -66,6 +66,55 @@ def test_long_ring_and_star(spark):
     assert reachability.connected_components(empty, "a", "b").count() == 0 and reachability.strong_components(ring.limit(0), "g").count() == 0
 
 
+def reached(pairs):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    far = {}
+    for a in out:
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        far[a] = seen
+    return far
+
+
+def test_strong_components_of_sparse_graphs_in_few_rounds(spark, monkeypatch):
+    """Three random graphs of little over one edge a node, whose ways are long: a hundred rounds and more if labels alone are spread."""
+    rng = random.Random(5)
+    rows, strong = set(), {}
+    for g in range(3):
+        pairs = {(rng.randrange(600), rng.randrange(600)) for _ in range(750)}
+        far = reached(pairs)
+        rows |= {(g, f"m{a}", f"m{b}") for a, b in pairs}
+        for a in far:
+            same = [f"m{b}" for b in far[a] if b == a or a in far.get(b, ())]
+            if len({*same, f"m{a}"}) > 1:
+                strong[g, f"m{a}"] = min(same)
+    made, cut = [], reachability.cut
+    monkeypatch.setattr(reachability, "cut", lambda df, *spent: made.append(1) or cut(df, *spent))
+    got = reachability.strong_components(spark.createDataFrame(sorted(rows), "g int, src string, dst string"), "g").collect()
+    assert len(got) == len(strong) > 100 and {(r.g, r.module): r.component for r in got} == strong
+    assert len(made) <= 70
+
+
+def test_lines_between_nations_leave_before_edges_are_compared(spark):
+    """One distinct, above both joins with customers."""
+    from tidemark.plans import testbed
+
+    sf = "/root/testdata/sf0.001"
+    e = testbed.nation_edges(spark, sf)
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Aggregate") < plan.index("Join")
+    c = {f"m{r.c_custkey}": r.c_nationkey for r in testbed.read(spark, sf, "customer").collect()}
+    want = {(c[r.src], r.src, r.dst) for r in testbed.modules(spark, sf)[1].collect() if r.src in c and c[r.src] == c.get(r.dst)}
+    got = [tuple(r) for r in e.select("nation", "src", "dst").collect()]
+    assert len(got) == len(want) > 0 and set(got) == want
+
+
 def test_a_hub_is_dealt_out(spark):
     """A third of all links at one node: no task of the join gets over twice the median."""
     rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("low"), (F.col("id") + 100_000).alias("high"))

@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 SALTS = 64
 HUB = 100_000
 
+#: Edges in or out of a node that is replaced by edges.
+FEW = 64
+
+#: The part of the edges that a round of replacing nodes may leave for another to follow.
+KEPT = 0.8
+
+#: Edges that labels follow between two tables.
+HOPS = 2
+
 
 def ensure_checkpoints(df: DataFrame) -> None:
     """Set the checkpoint folder to spark.checkpoint.dir where it is not set yet; only local mode may lack that."""
@@ -111,58 +120,107 @@ def _least_label(nodes: DataFrame, edges: DataFrame, a: str, b: str, heavy: list
     """node and label, the least label among the nodes from which edges a -> b lead to it, and its own.
 
     Labels are checksums before names. That order is as good as random, so a
-    label's own label reaches further by a factor in each round.
+    label's own label reaches further by a factor in each round. A round follows
+    ``HOPS`` edges before that, as its fixed costs are the most of a small graph's.
     """
-    labels = nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node")).alias("label"))
-    held, total = labels, nodes.count()
+    labels, total = nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node")).alias("label")), nodes.count()
+    steps = edges.select(a, b).unionAll(nodes.select(F.col("node").alias(a), F.col("node").alias(b)))
+    mark, held = None, ()
     while True:
-        came = join_values(edges.select(a, b), a, b, labels, "node", heavy).groupBy(F.col(b).alias("node")).agg(F.min("label").alias("came"))
-        nearer = labels.join(came, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("came", "label")).alias("label"))
-        pointers = nearer.withColumn("_at", F.col("label.node"))
+        near = labels
+        for _ in range(HOPS):
+            near = join_values(steps, a, b, near, "node", heavy).groupBy(F.col(b).alias("node")).agg(F.min("label").alias("label"))
+        pointers = near.withColumn("_at", F.col("label.node"))
         further = labels.where("label.node != node").select(F.col("node").alias("_own"), F.col("label").alias("further"))
         # many nodes have one label
         jumped = join_values(pointers, "_at", "node", further, "_own", hubs(pointers, "_at", total, hub), "left")
-        new = cut(jumped.select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), held)
-        held, labels = new, new.select("node", "label")
-        if not new.where("old != label").head(1):
+        labels = cut(jumped.select("node", F.least("label", F.coalesce("further", "label")).alias("label")), *held)
+        held = (labels,)
+        if mark == (mark := _mark(labels)):
             return labels
 
 
+def _eliminate(left: DataFrame, salt: int, out_heavy: list, in_heavy: list) -> tuple[DataFrame, DataFrame]:
+    """``left`` without nodes that few edges replace, and the edges a -> b of those nodes; ``ka`` or ``kb`` says which end went.
+
+    Nodes without an edge in or out lie on no cycle and go at once. A node whose
+    edges in times edges out are no more than its edges goes if its random number
+    is the least among its neighbours, so no two neighbours go; an edge from each
+    node before it to each node behind it keeps what reaches what.
+    """
+    chance = lambda c: F.xxhash64(F.lit(salt), c)
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(0).alias("into"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), F.lit(1).alias("into"), F.lit(0).alias("out")))
+    degree = left.select(F.inline(ends)).groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out"), F.min(chance("other")).alias("nearest"))
+    few = (F.col("into") * F.col("out") <= F.col("into") + F.col("out")) & (F.greatest("into", "out") <= FEW) & (chance("node") < F.col("nearest"))
+    gone = degree.select("node", F.when(F.least("into", "out") == 0, "trimmed").when(few, "replaced").alias("k")).where("k is not null")
+    told = join_values(left, "a", "b", gone.withColumnRenamed("k", "ka"), "node", out_heavy, "left")
+    told = cut(join_values(told, "b", "a", gone.withColumnRenamed("k", "kb"), "node", in_heavy, "left").where("coalesce(ka, '') != 'trimmed' and coalesce(kb, '') != 'trimmed'").select("a", "b", "ka", "kb"), left)
+    before, behind = told.where("kb is not null").select("a", F.col("b").alias("node")), told.where("ka is not null").select(F.col("a").alias("node"), "b")
+    kept = told.where("ka is null and kb is null").select("a", "b").unionAll(before.join(behind, "node").where("a != b").select("a", "b"))
+    return cut(kept.distinct()), told
+
+
+def _restore(told: DataFrame, whole: DataFrame) -> DataFrame:
+    """``whole`` (node and label) with the nodes of ``told``: a node lies in a component that has nodes both before and behind it."""
+    sides = F.when(F.col("kb").isNotNull(), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), F.lit(True).alias("before"))).otherwise(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(False).alias("before")))
+    near = told.where("ka is not null or kb is not null").select(F.inline(F.array(sides)))
+    of = near.join(whole.select(F.col("node").alias("other"), "label"), "other", "left").withColumn("label", F.coalesce("label", "other"))
+    both = of.groupBy("node", "label").agg(F.min("before").alias("low"), F.max("before").alias("high")).where("low != high").select("node", "label")
+    return cut(whole.unionAll(both), whole, told)
+
+
 def strong_components(edges: DataFrame, group: str, hub: int = HUB) -> DataFrame:
     """group, module and component (its least module) of the strongly connected components of each graph, single modules left out.
 
-    Nodes without an edge in or out are trimmed. Each other node takes the least
-    label that reaches it; within the nodes of one label those that reach that
-    label's node are its component. Edges between labels lie in no component, and
-    the rest is searched again. Null groups and names are left out.
+    Nodes that few edges replace go first, round by round while that makes the
+    graph a fifth smaller, which leaves a graph of short ways. Each of its nodes
+    takes the least label that reaches it; within the nodes of one label those
+    that reach that label's node are its component. Edges between labels lie in
+    no component, and the rest is searched again. The nodes that went are put
+    back last round first. Null groups and names are left out.
     """
     ensure_checkpoints(edges)
-    node = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("m"))
-    left = cut(edges.where(f"{group} is not null and src is not null and dst is not null and src != dst").select(node("src").alias("a"), node("dst").alias("b")).distinct())
-    out = None
-    while left.head(1):
-        sources, sinks = left.select(F.col("b").alias("a")).distinct(), left.select(F.col("a").alias("b")).distinct()
-        left = cut(left.join(sources, "a", "left_semi").join(sinks, "b", "left_semi").select("a", "b"), left)
+    spark, kinds = edges.sparkSession, dict(edges.dtypes)
+    named = cut(edges.where(f"{group} is not null and src is not null and dst is not null and src != dst").select(group, "src", "dst").distinct())
+    total = named.count()
+    names = cut(named.select(group, F.explode(F.array("src", "dst")).alias("module")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    numbered = named.select(F.struct(group, "src").alias("_src"), F.struct(group, "dst").alias("_dst"))
+    number = lambda c: names.select(F.struct(F.col(group), F.col("module").alias(c[1:])).alias(c), F.col("id").alias(f"{c}_id"))
+    for c, other in (("_src", "_dst"), ("_dst", "_src")):
+        numbered = join_values(numbered, c, other, number(c), c, hubs(numbered, c, total, hub))
+    left = cut(numbered.select(F.col("_src_id").alias("a"), F.col("_dst_id").alias("b")), named)
+    went, salt = [], 0
+    whole = spark.createDataFrame([], "node long, label long")
+    while total:
+        out_heavy, in_heavy = hubs(left, "a", total, hub), hubs(left, "b", total, hub)
+        while total:
+            left, told = _eliminate(left, salt, out_heavy, in_heavy)
+            went.append(told)
+            total, before, salt = left.count(), total, salt + 1
+            if total > KEPT * before:
+                break
+        if not total:
+            break
         both = cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        total = left.count()
         out_heavy, in_heavy = hubs(left, "a", total, hub), hubs(left, "b", total, hub)
         colour = _least_label(both, left, "a", "b", out_heavy, hub)
         ends = join_values(left, "a", "b", colour.withColumnRenamed("label", "la"), "node", out_heavy)
         inside = cut(join_values(ends, "b", "a", colour.withColumnRenamed("label", "lb"), "node", in_heavy).where("la = lb").select("a", "b"), left)
         back = _least_label(both, inside, "b", "a", in_heavy, hub).withColumnRenamed("label", "back")
-        whole = cut(colour.join(back, "node").where("label = back").select("node", "label"))
-        found = whole.groupBy("label").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-        found = whole.join(found, "label").select(F.col("node.g").alias(group), F.col("node.m").alias("module"), F.col("least.m").alias("component"))
-        found = cut(found)
-        out = found if out is None else out.unionAll(found)
+        found = cut(colour.join(back, "node").where("label = back").select("node", F.col("label.node").alias("label")), colour, back)
         # an edge between nodes of one label either lies in the component, or both or one of its ends are not done yet
-        rest = both.join(whole.select("node"), "node", "left_anti")
+        rest = both.join(found.select("node"), "node", "left_anti")
         left = inside.join(rest.withColumnRenamed("node", "a"), "a", "left_semi").join(rest.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
-        left = cut(left, inside, whole, both)
-    if out is None:
-        kinds = dict(edges.dtypes)
-        return edges.sparkSession.createDataFrame([], f"{group} {kinds[group]}, module {kinds['src']}, component {kinds['src']}")
-    return out
+        left = cut(left, inside, both)
+        whole = whole.unionAll(found.where("node != label"))
+        total = left.count()
+    whole = cut(whole)
+    for told in reversed(went):
+        whole = _restore(told, whole)
+    whole = whole.unionAll(whole.select(F.col("label").alias("node"), "label").distinct())
+    of = cut(whole.join(names.withColumnRenamed("id", "node"), "node").select(group, "module", "label"), whole)
+    least = of.groupBy("label").agg(F.min("module").alias("component"))
+    return of.join(least, "label").select(F.col(group).cast(kinds[group]), "module", "component")
 
 
 # --- cycles

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, route_group, route_path, short_hash
@@ -102,21 +102,34 @@ def handlers(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("page_id", F.when(own == "", F.col("path")).otherwise(own).alias("route_path"), symbol.alias("symbol"), F.array("method").alias("methods"), marks.alias("decorators"))
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer and part of every line, unless one number names both: as modules they are one."""
+    line = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return line.select("o_custkey", "l_partkey").where("o_custkey != l_partkey")
+
+
+def _module(key: str) -> Column:
+    return F.concat(F.lit("m"), F.col(key).cast("string"))
+
+
+def imports(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges of ``modules``, once for each line."""
+    return _lines(spark, sf).select(_module("o_custkey").alias("src"), _module("l_partkey").alias("dst"))
+
+
 def modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(modules, edges): customers as modules of layers, each importing the parts that its lines name."""
     layer = lambda n: F.element_at(F.array(*map(F.lit, ("api", "service", "repository", "model", "config", "utility"))), (n % 6 + 1).cast("int"))
-    line = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    s = read(spark, sf, "customer").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("module"), layer(F.col("c_custkey")).alias("layer"), (F.col("c_mktsegment") == "MACHINERY").alias("is_composition_root"))
-    e = line.select(F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("dst")).where("src != dst").distinct()
-    return s, e
+    s = read(spark, sf, "customer").select(_module("c_custkey").alias("module"), layer(F.col("c_custkey")).alias("layer"), (F.col("c_mktsegment") == "MACHINERY").alias("is_composition_root"))
+    return s, imports(spark, sf).distinct()
 
 
 def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Imports among the modules of one nation, each nation a graph of its own."""
-    c = read(spark, sf, "customer").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("module"), F.col("c_nationkey").alias("nation"))
-    _, e = modules(spark, sf)
-    e = e.join(c.withColumnRenamed("module", "src"), "src").join(c.withColumnRenamed("module", "dst").withColumnRenamed("nation", "other"), "dst")
-    return e.where("nation = other").select("nation", "src", "dst")
+    """Imports among the modules of one nation, each nation a graph of its own; lines between nations leave as numbers, before any are compared."""
+    c = read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    e = _lines(spark, sf).join(c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    e = e.join(c.withColumnRenamed("c_custkey", "l_partkey"), ["l_partkey", "nation"]).select("nation", "o_custkey", "l_partkey").distinct()
+    return e.select("nation", _module("o_custkey").alias("src"), _module("l_partkey").alias("dst"))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
