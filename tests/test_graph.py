@@ -115,6 +115,23 @@ def test_lines_between_nations_leave_before_edges_are_compared(spark):
     assert len(got) == len(want) > 0 and set(got) == want
 
 
+def test_graphs_full_of_pairs_need_no_strong_components(spark, monkeypatch):
+    """Graph 1 has its two cycles after pairs alone, so only graph 2 is searched on; with graph 1 alone nothing is."""
+    rows = [(1, a, b) for a, b in ("ab", "ba", "bc", "cb", "cd", "dc", "da")] + [(2, a, b) for a, b in ("ab", "ba", "bc", "ca")]
+    edges = spark.createDataFrame(rows * 2, "g int, src string, dst string")
+    asked, strong = [], reachability.strong_components
+
+    def counted(part, *more):
+        asked.append({r.g for r in part.select("g").distinct().collect()})
+        return strong(part, *more)
+
+    monkeypatch.setattr(reachability, "strong_components", counted)
+    got = sorted(tuple(r) for r in reachability.bounded_cycles(edges, "g", 4, 2).collect())
+    assert got == [(1, "a->b", 2), (1, "b->c", 2), (2, "a->b", 2), (2, "a->b->c", 3)] and asked == [{2}]
+    got = sorted(tuple(r) for r in reachability.bounded_cycles(edges.where("g = 1"), "g", 4, 2).collect())
+    assert got == [(1, "a->b", 2), (1, "b->c", 2)] and asked == [{2}]
+
+
 def test_a_hub_is_dealt_out(spark):
     """A third of all links at one node: no task of the join gets over twice the median."""
     rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("low"), (F.col("id") + 100_000).alias("high"))

@@ -229,48 +229,64 @@ def strong_components(edges: DataFrame, group: str, hub: int = HUB) -> DataFrame
 def bounded_cycles(edges: DataFrame, group: str, depth: int, limit: int, hub: int = HUB) -> DataFrame:
     """group, cycle and length of the elementary cycles of each graph, from their least member, shortest first, at most ``limit`` a graph.
 
-    Lengths are tried one after the other. A path starts at its least node and
-    is extended by one edge a join, inside a strong component, to nodes that can
-    still reach the start in the steps that are left; the table of those grows by
-    one step for each length. Graphs that have their ``limit`` take no part in
+    Lengths are tried one after the other. Cycles of two are pairs that edges
+    join both ways, so graphs with ``limit`` of them need no strong components.
+    A longer path starts at its least node and is extended by one edge a join,
+    inside a strong component, to nodes that can still reach the start in the
+    steps that are left; the table of those grows by one step for each length. Graphs that have their ``limit`` take no part in
     longer searches: the limit is the report's, and what it leaves out are longer
     cycles, or later ones of the same length.
     """
     ensure_checkpoints(edges)
-    parts = strong_components(edges, group, hub)
-    pairs = edges.where("src != dst").select(group, "src", "dst").distinct()
+    ways = [F.max(F.col("src") < F.col("dst")).alias("up"), F.max(F.col("src") > F.col("dst")).alias("down")]
+    sides = cut(edges.where(f"{group} is not null and src != dst").groupBy(group, F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).agg(*ways))
+    out = _first(sides.where("up and down").select(group, F.array("low", "high").alias("path")), group, limit, None)
+    found, full = _full(out, group, limit)
+    if full is not None:
+        sides = cut(sides.join(full, group, "left_anti"), sides)
+    if depth == 2 or not sides.head(1):
+        return out
+    both = F.array(F.when(F.col("up"), F.struct(F.col("low").alias("src"), F.col("high").alias("dst"))), F.when(F.col("down"), F.struct(F.col("high").alias("src"), F.col("low").alias("dst"))))
+    pairs = sides.select(group, F.inline(F.array_compact(both)))
+    parts = strong_components(pairs, group, hub)
     member = lambda c, name: parts.select(group, F.col("module").alias(c), F.col("component").alias(name))
-    inside = cut(pairs.join(member("src", "c"), [group, "src"]).join(member("dst", "d"), [group, "dst"]).where("c = d").select(group, "src", "dst"))
+    inside = cut(pairs.join(member("src", "c"), [group, "src"]).join(member("dst", "d"), [group, "dst"]).where("c = d").select(group, "src", "dst"), sides)
     # of each start: the nodes above it from which it can be reached, and in how many steps
     reach = inside.where("src > dst").select(group, F.col("dst").alias("start"), F.col("src").alias("node"), F.lit(1).alias("steps"))
     reach = cut(reach)
-    edge, out, found = reach, None, None
-    for length in range(2, depth + 1):
-        if length > 2:
-            back = edge.join(inside.withColumnRenamed("dst", "node"), [group, "node"]).where("src > start").select(group, "start", F.col("src").alias("node")).distinct()
-            edge = cut(back.join(reach, [group, "start", "node"], "left_anti").withColumn("steps", F.lit(length - 1)))
-            reach = reach.unionAll(edge)
+    edge = reach
+    for length in range(3, depth + 1):
+        if not inside.head(1):
+            break
+        back = edge.join(inside.withColumnRenamed("dst", "node"), [group, "node"]).where("src > start").select(group, "start", F.col("src").alias("node")).distinct()
+        edge = cut(back.join(reach, [group, "start", "node"], "left_anti").withColumn("steps", F.lit(length - 1)))
+        reach = reach.unionAll(edge)
         usable = lambda left: reach.where(F.col("steps") <= left).select(group, "start", F.col("node").alias("dst"))
         path = inside.where("dst > src").withColumnRenamed("src", "start").join(usable(length - 1), [group, "start", "dst"]).select(group, "start", F.col("dst").alias("src"), F.array("start", "dst").alias("path"))
         for k in range(2, length):
             path = path.join(inside, [group, "src"]).where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
             path = path.join(usable(length - k), [group, "start", "dst"]).select(group, "start", F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path"))
-        held = path.select(group, "path")
-        room = F.lit(limit)
-        if found is not None:
-            held = held.join(found, group, "left").withColumn("had", F.coalesce("had", F.lit(0)))
-            room = F.lit(limit) - F.col("had")
-        nth = F.row_number().over(Window.partitionBy(group).orderBy("path"))
-        ranked = held.withColumn("nth", nth).where(F.col("nth") <= limit).where(F.col("nth") <= room)
-        new = cut(ranked.select(group, F.array_join("path", "->").alias("cycle"), F.size("path").cast("long").alias("length")))
-        out = new if out is None else out.unionAll(new)
-        if length == depth:
-            break
-        found = out.groupBy(group).agg(F.count("*").alias("had"))
-        full = found.where(F.col("had") >= limit).select(group)
-        if full.head(1):
-            inside, reach, edge = (cut(x.join(full, group, "left_anti")) for x in (inside, reach, edge))
-        if not inside.head(1):
-            break
+        out = out.unionAll(_first(path.select(group, "path"), group, limit, found))
+        if length < depth:
+            found, full = _full(out, group, limit)
+            if full is not None:
+                inside, reach, edge = (cut(x.join(full, group, "left_anti")) for x in (inside, reach, edge))
     return out
 
+
+def _first(paths: DataFrame, group: str, limit: int, found: DataFrame | None) -> DataFrame:
+    """The first ``paths`` of each graph as cycles, as many as ``limit`` leaves beside those already ``found``."""
+    room = F.lit(limit)
+    if found is not None:
+        paths = paths.join(found, group, "left")
+        room = F.lit(limit) - F.coalesce("had", F.lit(0))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy("path"))
+    ranked = paths.withColumn("nth", nth).where(F.col("nth") <= limit).where(F.col("nth") <= room)
+    return cut(ranked.select(group, F.array_join("path", "->").alias("cycle"), F.size("path").cast("long").alias("length")))
+
+
+def _full(out: DataFrame, group: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Cycles of each graph so far, and the graphs that have their limit, None where none has."""
+    found = out.groupBy(group).agg(F.count("*").alias("had"))
+    full = found.where(F.col("had") >= limit).select(group)
+    return found, full if full.head(1) else None
