@@ -132,6 +132,19 @@ def test_graphs_full_of_pairs_need_no_strong_components(spark, monkeypatch):
     assert got == [(1, "a->b", 2), (1, "b->c", 2)] and asked == [{2}]
 
 
+def test_cycles_query_compares_each_line_once(spark, monkeypatch):
+    """A hundred pairs fill the report: no distinct of all lines before them, and no strong components."""
+    from tidemark.plans import testbed
+
+    sf, asked = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(reachability, "strong_components", lambda *a: asked.append(a))
+    got = registry.QUERIES["bounded_cycles"](spark, sf).collect()
+    assert len(got) == 100 and {r.length for r in got} == {2} and not asked
+    e = testbed.imports(spark, sf)
+    assert "Aggregate" not in e._jdf.queryExecution().optimizedPlan().toString()
+    assert e.distinct().count() == testbed.modules(spark, sf)[1].count()
+
+
 def test_a_hub_is_dealt_out(spark):
     """A third of all links at one node: no task of the join gets over twice the median."""
     rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("low"), (F.col("id") + 100_000).alias("high"))

@@ -487,8 +487,7 @@ def module_degrees(spark, sf):
 @query
 def bounded_cycles(spark, sf):
     """The report of one repository's module graph; no SQL searches cycles of ten modules, so tests hold it against brute force."""
-    _, e = tb.modules(spark, sf)
-    return graph.bounded_cycles(e.withColumn("repository", F.lit("all")), "repository")
+    return graph.bounded_cycles(tb.imports(spark, sf).withColumn("repository", F.lit("all")), "repository")
 
 
 @query
